@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.operators import asof, orphans
+from tidemark.operators import anomalies, asof, orphans, regrid
 
 QUERIES = {
     "p1_found": orphans.p1_found,
     "p1_orphan_counts": orphans.p1_orphan_counts,
+    "p2_found": regrid.p2_found,
+    "p2_grid": regrid.p2_grid,
+    "p3_found": anomalies.p3_found,
+    "p3_flags": anomalies.p3_flags,
     "p4_found": asof.p4_found,
 }
 
@@ -31,6 +35,22 @@ _UNIT = "lower(trim({0}, " + _CHARS + "))"
 ORACLE = {
     "p1_found": _ORPHANS + "select distinct table_name, row_id from orphans",
     "p1_orphan_counts": _ORPHANS + "select table_name, strftime(logged_at, '%Y-%m') as period, count(*) as n_orphans from orphans group by 1, 2",
+    "p2_found": f"""
+with plan as (select {_UNIT.format('source_member')} as member, max(cadence_h) as cadence from acquisition_plans group by 1),
+r as (
+  select 'stress2_events' as table_name, {_UNIT.format('dataset_unit_key')} as u, {_UNIT.format('source_member')} as member, aging_time_h as t,
+         unnest([{{'m': 'capacity_loss_pct', 'v': capacity_loss_pct}}, {{'m': 'esr_increase_pct', 'v': esr_increase_pct}}]) as x
+  from stress2_events
+  union all
+  select 'hidden_events', {_UNIT.format('dataset_unit_key')}, {_UNIT.format('source_member')}, observed_at,
+         unnest([{{'m': m, 'v': case when coalesce(missingness[m], false) then null else measurements[m] end}}
+                 for m in ['capacity_ratio', 'esr_ratio', 'case_temp_c']])
+  from hidden_events),
+s as (select table_name, u, x.m as m, x.v as v, cast(floor(t / cadence + 0.5) as bigint) as slot from r join plan using (member) where t is not null),
+ends as (select table_name, u, m, min(slot) as a, max(slot) as z from s group by 1, 2, 3),
+grid as (select table_name, u, m, unnest(range(a, z + 1)) as slot from ends),
+got as (select distinct table_name, u, m, slot from s where v is not null and isfinite(v))
+select table_name, u as dataset_unit_key, m as measure_name, slot from grid anti join got using (table_name, u, m, slot)""",
     "p4_found": f"""
 with ev as (select distinct event_id, {_UNIT.format('dataset_unit_key')} as u, event_index, observed_at, available_at from hidden_events),
 attrs as (select distinct attr_id, {_UNIT.format('dataset_unit_key')} as u, valid_from_h, known_at_h from unit_attributes),
