@@ -131,35 +131,49 @@ def confirmed(v: np.ndarray, post: np.ndarray, x: np.ndarray, s: float, low: flo
     state[(runs >= STUCK_RUN) & ~hard & (post[:, STUCK] > CANDIDATE)] = STUCK
     if not s > 0:
         return state
-    maybe = (state == NORMAL) & (post[:, SPIKE] > CANDIDATE)
     at = np.flatnonzero(state == NORMAL)
-    sound = np.flatnonzero((state == NORMAL) & ~maybe)
-    if not maybe.any() or not len(sound):
-        return state
-    k = 0
-    picks = np.flatnonzero(maybe[at])
-    while k < len(picks):
-        first = last = picks[k]
-        side = np.sign(x[at[first]])
-        while k + 1 < len(picks) and picks[k + 1] == last + 1 and np.sign(x[at[picks[k + 1]]]) == side:
-            k += 1
-            last = picks[k]
-        k += 1
-        run = at[first : last + 1]
-        b = np.searchsorted(sound, run[0])
-        if b == 0 or b == len(sound):
-            continue
-        _spike(v, state, run, sound, b, side, s)
+    maybe = post[at, NORMAL] < 1 - CANDIDATE
+    # A spike beside readings that are sound as they stand; taken out, it may bare another.
+    for _ in range(SPIKE_RUN):
+        hit = _spikes(v[at], maybe, s)
+        if not hit.any():
+            break
+        state[at[hit]] = SPIKE
+        at, maybe = at[~hit], maybe[~hit]
+    # Spikes beside spikes to the other side: each is set against the nearest readings that do not stand off.
+    strong = maybe & (np.abs(x[at]) > SPIKE_SCATTERS / 2)
+    sound = np.flatnonzero(~strong)
+    edges = np.flatnonzero(np.diff(np.r_[0, np.where(strong, np.sign(x[at]), 0), 0]))
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        b = np.searchsorted(sound, a)
+        if strong[a] and z - a <= SPIKE_RUN and 0 < b < len(sound):
+            before, after = v[at[sound[b - 1]]], v[at[sound[b]]]
+            if abs(before - after) <= AGREE_SCATTERS * s and _beyond(v[at[a:z]], before, after, s).all():
+                state[at[a:z]] = SPIKE
     return state
 
 
-def _spike(v, state, run, sound, b, side, s) -> None:
-    before, after = v[sound[b - 1]], v[sound[b]]
+def _beyond(w, before, after, s):
+    """Whether values lie beyond both neighbours, to one side, by more than the limit."""
     reach = SPIKE_SCATTERS * s
-    off = side * (v[run] - (max(before, after) if side > 0 else min(before, after))) > reach
-    run = run[off]
-    if 0 < len(run) <= SPIKE_RUN and run[-1] - run[0] < SPIKE_RUN + 1 and abs(before - after) <= AGREE_SCATTERS * s:
-        state[run] = SPIKE
+    over, under = w - np.maximum(before, after) > reach, np.minimum(before, after) - w > reach
+    return over if np.all(over) else under
+
+
+def _spikes(w: np.ndarray, maybe: np.ndarray, s: float) -> np.ndarray:
+    """Candidates in runs of up to SPIKE_RUN that stand off from both adjacent readings, which agree."""
+    hit = np.zeros(len(w), bool)
+    reach, agree = SPIKE_SCATTERS * s, AGREE_SCATTERS * s
+    for n in range(1, SPIKE_RUN + 1):
+        if len(w) < n + 2:
+            break
+        a, c = w[: -n - 1], w[n + 1 :]
+        inner = np.lib.stride_tricks.sliding_window_view(w[1:-1], n)
+        all_maybe = np.lib.stride_tricks.sliding_window_view(maybe[1:-1], n).all(axis=1)
+        off = (inner.min(axis=1) - np.maximum(a, c) > reach) | (np.minimum(a, c) - inner.max(axis=1) > reach)
+        for k in np.flatnonzero(all_maybe & off & (np.abs(a - c) <= agree)):
+            hit[k + 1 : k + 1 + n] = True
+    return hit
 
 
 def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
