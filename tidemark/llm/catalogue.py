@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from tidemark.llm import components
+from tidemark.llm import components, leakage, packing, spans
 
 _TIDY = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)))"
 
 QUERIES = {
+    "p5_found": spans.p5_found,
+    "p5_shares": spans.p5_shares,
     "p6_found": components.p6_found,
     "p6_splits": components.p6_splits,
+    "p7_containers": packing.p7_containers,
+    "p7_fill": packing.p7_fill,
+    "p8_found": leakage.p8_found,
+    "p8_leaks": leakage.p8_leaks,
 }
 
+_RUNS = """
+with r as (
+  select distinct gid, row_pos, status_code, time_us, voltage_v + 0.0 as v, current_ma + 0.0 as c, capacity_mah + 0.0 as q from instrument_records),
+m as (
+  select a.gid as ga, a.row_pos as pa, b.gid as gb, b.row_pos as pb
+  from r a join r b on a.status_code = b.status_code and a.time_us = b.time_us and a.v = b.v and a.c = b.c and a.q = b.q and a.gid < b.gid),
+i as (select *, pa - row_number() over (partition by ga, gb, pb - pa order by pa) as island from m),
+runs as (
+  select ga as gid_a, min(pa) as start_a, gb as gid_b, min(pb) as start_b, count(*) as n_rows
+  from i group by ga, gb, pb - pa, island having count(*) >= 32)
+"""
+
 ORACLE = {
+    "p5_found": _RUNS + "select * from runs",
+    "p5_shares": _RUNS + """,
+covered as (
+  select distinct gid, unnest(range(a, a + n_rows)) as row_pos
+  from (select gid_a as gid, start_a as a, n_rows from runs union all select gid_b, start_b, n_rows from runs)),
+sizes as (select gid, count(distinct row_pos) as n_rows from instrument_records group by gid),
+hits as (select gid, count(*) as n_shared from covered group by gid)
+select gid, n_rows, coalesce(n_shared, 0) as n_shared, round(coalesce(n_shared, 0) / n_rows, 6) as share
+from sizes left join hits using (gid)""",
     "p6_found": f"""
 with recursive m as (
   select distinct {_TIDY.format('dataset_unit_key')} as u, k || {_TIDY.format('v')} as mark
