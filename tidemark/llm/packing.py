@@ -120,8 +120,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
     again = filled.select(F.concat_ws("/", "part", "bin").alias("item"), "size").repartition(max(1, -(-n_parts * open_bins // ROWS_PER_PARTITION)), "item").sortWithinPartitions(F.desc("size"), "item")
     second = again.mapInPandas(_pack(capacity, 4 * open_bins), schema).filter("open = -1").select(F.col("item").alias("_bin"), F.col("part").alias("part2"), F.col("bin").alias("bin2"))
     placed = first.filter("open = -1").withColumn("_bin", F.concat_ws("/", "part", "bin")).join(second, "_bin", "left")
-    number = lambda p, b, base: F.lit(base) + F.col(p).cast("long") * (1 << 34) + F.col(b)
-    return placed.select("item", F.when(F.col("part2").isNull(), number("part", "bin", 0)).otherwise(number("part2", "bin2", 1 << 62)).alias("container_id"))
+    number = lambda p, b, base: (F.lit(base) + F.col(p)).cast("long") * (1 << 24) + F.col(b)
+    return placed.select("item", F.when(F.col("part2").isNull(), number("part", "bin", 0)).otherwise(number("part2", "bin2", n_parts)).alias("container_id"))
 
 
 def containers(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, path: str = TOKENIZER) -> DataFrame:
