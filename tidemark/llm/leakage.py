@@ -38,7 +38,7 @@ _MATCH = "doc_id long, h long, n int, pos int, words array<string>"
 def words(text: str) -> list[str]:
     """Maximal runs of letters or digits after NFKC, without U+200B and U+00AD, in lower case."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).replace("​", "").replace("­", "")
+        text = unicodedata.normalize("NFKC", text).replace("\u200b", "").replace("\u00ad", "")
     return _WORD.findall(text.lower())
 
 
