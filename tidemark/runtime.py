@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n\f\v "
+BLANKS = " \t\r\n\f\v\u00a0"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once per application.
+
+    Workers on other machines, and workers started elsewhere than in the repository, can
+    then load the functions of the operators. Spark keeps the file for executors that join later.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidemark-package-")) / "tidemark.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(target))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
