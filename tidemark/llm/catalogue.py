@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import components, leakage, packing, spans
+from tidemark.llm import components, leakage, packing, pii, spans
 
 _TIDY = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)))"
 
@@ -15,6 +15,8 @@ QUERIES = {
     "p7_fill": packing.p7_fill,
     "p8_found": leakage.p8_found,
     "p8_leaks": leakage.p8_leaks,
+    "p9_found": pii.p9_found,
+    "p9_redacted": pii.p9_redacted,
 }
 
 _RUNS = """
