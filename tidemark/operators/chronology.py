@@ -82,7 +82,7 @@ def segments(records: DataFrame, group: str = "gid", place: str = "row_pos") ->
     n = lambda cond, name: F.count_if(cond).alias(name)
     return rows.groupBy(F.col(group).alias("grp"), "segment").agg(
         F.min("cycle_no").alias("cycle_no"), F.min("step_no").alias("step_no"), F.min("status_code").alias("status_code"), F.count("*").alias("n_rows"), F.min(place).alias("first_row"), F.max(place).alias("last_row"),
-        F.min("current_ma").alias("current_min"), F.max("current_ma").alias("current_max"), n(F.col("current_ma") > 0, "positive_rows"), n(F.col("current_ma") < 0, "negative_rows"), n(F.col("current_ma") == 0, "zero_rows"),
+        F.min(F.col("current_ma") + F.lit(0.0)).alias("current_min"), F.max(F.col("current_ma") + F.lit(0.0)).alias("current_max"), n(F.col("current_ma") > 0, "positive_rows"), n(F.col("current_ma") < 0, "negative_rows"), n(F.col("current_ma") == 0, "zero_rows"),
         n(F.col("time_us") < F.col("_p_time_us"), "time_decreases"), n(F.col("time_us") == F.col("_p_time_us"), "equal_time_pairs"), n(F.col("voltage_v") > F.col("_p_voltage_v"), "voltage_increases"),
         n(F.col("voltage_v") < F.col("_p_voltage_v"), "voltage_decreases"), n(F.col("current_ma") != F.col("_p_current_ma"), "current_changes"), n(F.col("capacity_mah") < F.col("_p_capacity_mah"), "charge_decreases"),
         F.min_by("time_us", place).alias("first_time"), F.max_by("time_us", place).alias("last_time"), F.min_by("voltage_v", place).alias("first_voltage"), F.max_by("voltage_v", place).alias("last_voltage"),

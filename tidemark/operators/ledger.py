@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
 CHAIN = ["row_payload_json", "prev_row_hash", "row_hash"]
-PRECEDENCE = ["FAIL", "BLOCKED", "AMBER", "PASS"]
 
 
 def payload_json(columns: list[str], kinds: dict[str, str]) -> Column:
@@ -83,10 +82,8 @@ def barrier_violations(commits: DataFrame, reveals: DataFrame, key: list[str]) -
 
 def status_of(statuses: Column) -> Column:
     """The gravest status of a group: FAIL, BLOCKED, AMBER, PASS; BLOCKED if there is none. Use as an aggregate."""
-    rank = F.lit(None).cast("int")
-    for i, s in enumerate(PRECEDENCE):
-        rank = F.when(statuses == s, i).otherwise(rank)
-    return F.coalesce(F.element_at(F.array(*map(F.lit, PRECEDENCE)), (F.min(rank) + 1).cast("int")), F.lit("BLOCKED"))
+    rank = F.min(F.when(statuses == "FAIL", 0).when(statuses == "BLOCKED", 1).when(statuses == "AMBER", 2).when(statuses == "PASS", 3))
+    return F.when(rank == 0, "FAIL").when(rank == 2, "AMBER").when(rank == 3, "PASS").otherwise("BLOCKED")
 
 
 def missing_cells(planned: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

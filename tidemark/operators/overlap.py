@@ -71,11 +71,17 @@ def content_classes(df: DataFrame, key: str, content: Column) -> DataFrame:
     return h.join(classes, "content").select(F.col("id").alias(key), "class_key", "n_members").distinct()
 
 
+def _signed(k: int):
+    return lambda x, i: x * F.when(F.xxhash64(i, F.lit(k)) % 2 == 0, 1.0).otherwise(-1.0)
+
+
 def near_duplicates(vectors: DataFrame, key: str, values: str, min_r: float = 0.999999, max_nrmse: float = 1e-5, least: int = 64, digits: int = 3) -> DataFrame:
     """Pairs of class representatives whose vectors are almost equal, exact copies left to ``content_classes``.
 
-    Blocking is lossless for the error bound: near copies differ by at most the bound in
-    their root mean square, which is binned with each vector also sent to the next bin.
+    Blocking loses nothing within the bound: near copies have root mean squares in the same
+    or the next logarithmic bin, and their projections on three fixed directions differ by
+    no more than their distance, so cells of twice that width with each vector also sent to
+    the cells half a width away bring every such pair together.
     """
     v = vectors.select(F.col(key).alias("id"), F.transform(values, lambda x: x.cast("double")).alias("v")).filter("v is not null")
     rep = v.groupBy("v").agg(F.min("id").alias("id"))
@@ -84,9 +90,20 @@ def near_duplicates(vectors: DataFrame, key: str, values: str, min_r: float = 0.
     rep = rep.withColumn("rms", F.sqrt(dot(lambda x: x * x) / n)).filter(n >= least)
     width = 4 * max_nrmse
     at = F.floor(F.ln(F.greatest("rms", F.lit(1e-300))) / width)
+    # unit directions with signs from a hash of the place: |direction . (x - y)| <= |x - y|
+    for k in range(3):
+        terms = F.transform("v", _signed(k))
+        rep = rep.withColumn(f"p{k}", F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(n))
+    reach = lambda b: max_nrmse * F.sqrt(n) * F.exp((b + 2) * F.lit(width))  # noqa: E731  largest distance of a near pair of bin b
     a = rep.withColumn("bin", at)
-    b = rep.withColumn("bin", F.explode(F.array(at - 1, at, at + 1))).select(F.col("id").alias("id_b"), F.col("v").alias("w"), F.col("rms").alias("rms_b"), "bin")
-    p = a.join(b, "bin").filter((F.col("id") < F.col("id_b")) & (F.size("v") == F.size("w")))
+    a = a.withColumns({f"c{k}": F.floor(F.col(f"p{k}") / (2 * reach(F.col("bin")))) for k in range(3)})
+    b = rep.withColumn("bin", F.explode(F.array(at - 1, at, at + 1)))
+    for k in range(3):
+        r = reach(F.col("bin"))
+        b = b.withColumn(f"c{k}", F.explode(F.array_distinct(F.array(F.floor((F.col(f"p{k}") - r) / (2 * r)), F.floor((F.col(f"p{k}") + r) / (2 * r))))))
+    cell = ["bin", "c0", "c1", "c2"]
+    b = b.select(F.col("id").alias("id_b"), F.col("v").alias("w"), *cell)
+    p = a.join(b, cell).filter((F.col("id") < F.col("id_b")) & (F.size("v") == F.size("w"))).dropDuplicates(["id", "id_b"])
     z = F.zip_with("v", "w", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     tot = lambda f: F.aggregate(z, F.lit(0.0), lambda acc, q: acc + f(q["x"], q["y"]))
     sx, sy, sxy, sxx, syy, sd = (tot(f) for f in (lambda x, y: x, lambda x, y: y, lambda x, y: x * y, lambda x, y: x * x, lambda x, y: y * y, lambda x, y: (x - y) * (x - y)))

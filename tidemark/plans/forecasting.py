@@ -15,7 +15,7 @@ CONTEXT, HORIZONS = 4, [1, 2, 3]
 ENDPOINTS = {"capacity_loss_20pct": ("capacity_loss_pct", 20.0), "esr_increase_100pct": ("esr_increase_pct", 100.0)}
 
 
-def _r(c: str, digits: int = 6):
+def _r(c: str, digits: int = 9):
     return F.round(F.col(c), digits).alias(c)
 
 
@@ -75,7 +75,7 @@ def window_predictions(spark, d) -> DataFrame:
     return out
 
 
-def _predictions(*names: str):
+def _predictions(*names: str, digits: int = 9):
     def q(spark, d):
         s = users(spark, d)
         points = {"global_drift": M.global_drift, "local_linear_3": lambda: M.local_linear(3), "exponential_4": lambda: M.exponential(4), "exponential_4_down": lambda: M.exponential(4, "down"), "last_value": M.last_value}
@@ -83,24 +83,24 @@ def _predictions(*names: str):
         for n in names:
             p = M.predictions(s, n, points[n](), CONTEXT, HORIZONS)
             out = p if out is None else out.unionByName(p)
-        return out.select("unit", "origin", "horizon", "model", _r("point", 9), "actual")
+        return out.select("unit", "origin", "horizon", "model", (F.round("point", digits) + F.lit(0.0)).alias("point"), "actual")
 
     return q
 
 
 def unit_metrics(spark, d):
     m = scoring.unit_metrics(window_predictions(spark, d))
-    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _r("mae"), _r("rmse"))
+    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _r("mae", 8), _r("rmse", 8))
 
 
 def macro_metrics(spark, d):
     m = scoring.macro(scoring.unit_metrics(window_predictions(spark, d)), ["mae", "rmse"])
-    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae"), _r("macro_rmse"))
+    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae", 8), _r("macro_rmse", 8))
 
 
 def last_value_macro_mae(spark, d):
     p = M.predictions(users(spark, d), "last_value", M.last_value(), CONTEXT, [1])
-    return scoring.macro(scoring.unit_metrics(p), ["mae"]).select("model", "horizon", "n_units", "planned_count", _r("macro_mae"))
+    return scoring.macro(scoring.unit_metrics(p), ["mae"]).select("model", "horizon", "n_units", "planned_count", _r("macro_mae", 8))
 
 
 def mase_scale_leave_one_out(spark, d):
@@ -120,7 +120,7 @@ def config_selection(spark, d):
 
 def residual_quantiles(spark, d):
     p = M.predictions(users(spark, d), "last_value", M.last_value(), CONTEXT, HORIZONS)
-    return M.residual_quantiles(p, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]).select("model", "horizon", "level", F.round("offset", 6).alias("offset"))
+    return M.residual_quantiles(p, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]).select("model", "horizon", "level", F.round("offset", 9).alias("offset"))
 
 
 def qualification(spark, d):
@@ -185,13 +185,13 @@ def never_matured(spark, d):
 def ledger_unit_metrics(spark, d):
     s = ledger_scored(spark, d).withColumn("model", F.concat_ws("/", "model", "target_name"))
     m = scoring.unit_metrics(s)
-    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _r("mae"), _r("rmse"))
+    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _r("mae", 8), _r("rmse", 8))
 
 
 def ledger_macro_metrics(spark, d):
     s = ledger_scored(spark, d).withColumn("model", F.concat_ws("/", "model", "target_name"))
     m = scoring.macro(scoring.unit_metrics(s), ["mae", "rmse"])
-    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae"), _r("macro_rmse"))
+    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae", 8), _r("macro_rmse", 8))
 
 
 def failure_ledger_dedup(spark, d):
@@ -300,13 +300,13 @@ def weights(spark) -> DataFrame:
 
 
 def convex_fusion(spark, d):
-    return A.fuse(forecasts(spark, d), weights(spark), FKEY).select("template_id", *FKEY, *[_r(c) for c in A.FIELDS], "status")
+    return A.fuse(forecasts(spark, d), weights(spark), FKEY).select("template_id", *FKEY, *[_r(c, 10) for c in A.FIELDS], "status")
 
 
 def emit_shift_inflate(spark, d):
     f = forecasts(spark, d).join(scoring.training_scale(users_of_ledger(spark, d)), "unit")
     s, i = A.shift(F.col("scale"), 0.5), A.inflate(1.5)
-    return f.select("model", *FKEY, _r("point"), *[F.round(s[c], 6).alias(f"shifted_{c}") for c in A.FIELDS], *[F.round(i[c], 6).alias(f"inflated_{c}") for c in ("lower", "upper")], A.valid_forecast().alias("is_valid"))
+    return f.select("model", *FKEY, _r("point"), *[F.round(s[c], 9).alias(f"shifted_{c}") for c in A.FIELDS], *[F.round(i[c], 9).alias(f"inflated_{c}") for c in ("lower", "upper")], A.valid_forecast().alias("is_valid"))
 
 
 def users_of_ledger(spark, d) -> DataFrame:
@@ -323,7 +323,7 @@ def all_or_fallback(spark, d):
 
 
 def median_bundle(spark, d):
-    return A.median_bundle(forecasts(spark, d), FKEY).select(*FKEY, "n_members", *[_r(c, 9) for c in A.FIELDS])
+    return A.median_bundle(forecasts(spark, d), FKEY).select(*FKEY, "n_members", *[_r(c, 10) for c in A.FIELDS])
 
 
 def fallback_weights(spark, d):
@@ -347,5 +347,5 @@ QUERIES = {
 } | {
     "drift_predictions": _predictions("global_drift"),
     "local_linear_predictions": _predictions("local_linear_3"),
-    "exponential_predictions": _predictions("exponential_4", "exponential_4_down"),
+    "exponential_predictions": _predictions("exponential_4", "exponential_4_down", digits=5),
 }

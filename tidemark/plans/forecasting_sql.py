@@ -66,9 +66,9 @@ def metrics(of: str) -> str:
 
 
 UNIT = """select model, horizon, unit, planned_count, predicted_count, matured_count, failed_count,
-  case when failed_count > 0 then 'NA_planned_failure' else 'OK' end as metric_status, round(mae, 6) as mae, round(rmse, 6) as rmse from um"""
+  case when failed_count > 0 then 'NA_planned_failure' else 'OK' end as metric_status, round(mae, 8) as mae, round(rmse, 8) as rmse from um"""
 MACRO = """select model, horizon, count(*) as n_units, cast(sum(planned_count) as bigint) as planned_count, cast(sum(failed_count) as bigint) as failed_count,
-  round(case when count(*) = count(mae) then avg(mae) end, 6) as macro_mae, round(case when count(*) = count(rmse) then avg(rmse) end, 6) as macro_rmse from um group by 1, 2"""
+  round(case when count(*) = count(mae) then avg(mae) end, 8) as macro_mae, round(case when count(*) = count(rmse) then avg(rmse) end, 8) as macro_rmse from um group by 1, 2"""
 ALL = tuple(POINTS)
 STRESS = f"""st as (
   select distinct row_id, {tidy('dataset_unit_key')} as unit, event_index_0based as event_index, aging_time_h as time_h,
@@ -92,7 +92,7 @@ g as (select k, action_id, avg(m) as g, case when count(*) > 1 then stddev_samp(
 KEYS = "target_name, horizon, unit, origin"
 FORE = f"fo as (select model, {KEYS}, point, point - abs(point) * 0.1 as lower, point as median, point + abs(point) * 0.1 as upper from pl)"
 _M = ["last_value", "global_drift", "local_linear", "exponential", "local_trend_kf", "ridge"]
-ACTIONS = f"""ba as (select * from (values {', '.join(f"('EMIT', '{m}')" for m in _M)}, {', '.join(f"('FUSE', 'w{i}')" for i in range(1, 6))}, ('FALLBACK', null)) as t(operator, reference_id)),
+ACTIONS = f"""ba as (select * from (values {', '.join(f"('EMIT', '{m}')" for m in _M)}, {', '.join(f"('FUSE', 'w{i}')" for i in range(1, 9))}, ('FALLBACK', null)) as t(operator, reference_id)),
 tr as (select transform, cast(parameter as double) as parameter from (values (null, null), ('SHIFT', -1.0), ('SHIFT', -0.5), ('SHIFT', 0.5), ('SHIFT', 1.0), ('INFLATE', 1.25), ('INFLATE', 1.5), ('INFLATE', 2.0)) as t(transform, parameter)),
 ac as (
   select sha256(concat_ws('|', operator, coalesce(reference_id, '-'), coalesce(transform, '-'), coalesce(cast(cast(round(parameter * 100) as bigint) as varchar), '-'))) as action_id,
@@ -116,13 +116,13 @@ pj as (select um.model, um.horizon, base - mae as d from um join pb on um.horizo
 """
 
 ORACLE = {
-    "trajectory_events": f"with {EV} select unit, event_index, round(value, 6) as value, is_tie from ev",
+    "trajectory_events": f"with {EV} select unit, event_index, round(value, 9) as value, is_tie from ev",
     "origin_grid": f"with {EV} select unit, event_index as origin, horizon from ev cross join {H} where event_index >= 3 and event_index < n - horizon",
     "window_features": f"""with {EV} select unit, event_index, round(value - lag(value) over w, 4) as first_difference, round(sum(value) over (partition by unit order by event_index), 4) as prefix_sum,
       max(value) over (partition by unit order by event_index rows between 2 preceding and current row) as trailing_max, lead(value, 2) over w as ahead from ev window w as (partition by unit order by event_index)""",
     "derived_ratios": """with x as (select distinct row_id, case when isfinite(capacity_loss_pct) then 1 - capacity_loss_pct / 100 end as c, case when isfinite(esr_increase_pct) then 1 + esr_increase_pct / 100 end as r from stress2_events)
-      select row_id, round(c, 6) as capacity_ratio, round(r, 6) as esr_ratio, round(c, 6) as soh_capacity, round(case when r <> 0 then 1 / r end, 6) as soh_esr_inverse,
-      round(case when c is not null and r is not null then least(greatest(least((c - 0.8::double) / 0.2::double, 2 - r), 0), 1) end, 6) as composite_health_margin from x""",
+      select row_id, round(c, 9) as capacity_ratio, round(r, 9) as esr_ratio, round(c, 9) as soh_capacity, round(case when r <> 0 then 1 / r end, 9) as soh_esr_inverse,
+      round(case when c is not null and r is not null then least(greatest(least((c - 0.8::double) / 0.2::double, 2 - r), 0), 1) end, 9) as composite_health_margin from x""",
     "at_risk_flags": f"""with {STRESS}, f as (select *, min(case when c >= 20 then event_index end) over (partition by unit) as fc, min(case when r >= 100 then event_index end) over (partition by unit) as fr from st)
       select row_id, fc is null or event_index < fc as is_at_risk_capacity, fr is null or event_index < fr as is_at_risk_esr from f""",
     "interval_labels": f"""with {STRESS}, l as (select unit, event_index, time_h, e, th, v from st cross join lateral (values ('capacity_loss_20pct', 20.0, c), ('esr_increase_100pct', 100.0, r)) as q(e, th, v)),
@@ -137,23 +137,23 @@ ORACLE = {
     "unit_metrics": f"{preds(*ALL)}, {metrics('p')} {UNIT}",
     "macro_metrics": f"{preds(*ALL)}, {metrics('p')} {MACRO}",
     "last_value_macro_mae": f"{preds('last_value')}, q as (select * from p where horizon = 1), {metrics('q')} select model, horizon, n_units, planned_count, macro_mae from ({MACRO})",
-    "drift_predictions": f"{preds('global_drift')} select unit, origin, horizon, model, round(point, 9) as point, actual from p",
-    "local_linear_predictions": f"{preds('local_linear_3')} select unit, origin, horizon, model, round(point, 9) as point, actual from p",
-    "exponential_predictions": f"{preds('exponential_4', 'exponential_4_down')} select unit, origin, horizon, model, round(point, 9) as point, actual from p",
+    "drift_predictions": f"{preds('global_drift')} select unit, origin, horizon, model, round(point, 9) + 0.0::double as point, actual from p",
+    "local_linear_predictions": f"{preds('local_linear_3')} select unit, origin, horizon, model, round(point, 9) + 0.0::double as point, actual from p",
+    "exponential_predictions": f"{preds('exponential_4', 'exponential_4_down')} select unit, origin, horizon, model, round(point, 5) + 0.0::double as point, actual from p",
     "mase_scale_leave_one_out": f"""with {EV}, o as (select unit, avg(d) as own from (select unit, abs(value - lag(value) over (partition by unit order by event_index)) as d from ev) group by unit having avg(d) is not null)
-      select unit, round(((select sum(own) from o) - own) / ((select count(*) from o) - 1), 6) as scale from o""",
+      select unit, round(((select sum(own) from o) - own) / ((select count(*) from o) - 1), 9) as scale from o""",
     "skill_vs_last_value": f"""{preds(*ALL)}, {metrics('p')}, b as (select horizon as bh, unit as bu, mae as base from um where model = 'last_value')
-      select model, horizon, unit, round(case when mae is not null and base > 0 then mae / base end, 6) as relative_mae, round(case when mae is not null and base > 0 then 1 - mae / base end, 6) as skill,
+      select model, horizon, unit, round(case when mae is not null and base > 0 then mae / base end, 9) as relative_mae, round(case when mae is not null and base > 0 then 1 - mae / base end, 9) as skill,
       case when mae is null then 'NA_failed' when base is null then 'NA_baseline_failed' when base = 0 then 'NA_zero_baseline' else 'OK' end as comparison_status from um left join b on horizon = bh and unit = bu""",
     "config_selection": f"""{preds('local_linear_2', 'local_linear_3', 'local_linear_4')}, {metrics('p')}, ma as (select horizon as grp, model as config, avg(mae) as score from um group by 1, 2)
-      select grp, config, round(score, 6) as score from (select *, row_number() over (partition by grp order by score, config) as rn from ma) where rn = 1""",
-    "residual_quantiles": f"""{preds('last_value')} select model, horizon, cast(level as double) as level, round(quantile_cont(actual - point, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95])[i], 6) as "offset"
+      select grp, config, round(score, 9) as score from (select *, row_number() over (partition by grp order by score, config) as rn from ma) where rn = 1""",
+    "residual_quantiles": f"""{preds('last_value')} select model, horizon, cast(level as double) as level, round(quantile_cont(actual - point, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95])[i], 9) as "offset"
       from p cross join (values (1, 0.05), (2, 0.1), (3, 0.25), (4, 0.5), (5, 0.75), (6, 0.9), (7, 0.95)) as l(i, level) group by model, horizon, i, level""",
     "qualification": f"""{preds(*ALL)}, o as (select model, unit, origin, count(distinct horizon) as n, count(*) as m, bool_and(point is not null and isfinite(point)) as ok from p group by 1, 2, 3),
       u as (select model, unit, max(n) as hs, bool_and(n = m) as uk, bool_and(ok) as fin from o group by 1, 2) select model, count(*) as n_units, bool_and(fin) as finite, bool_and(uk) as unique_keys, bool_and(hs = 3) as complete from u group by 1""",
     "common_key_parity": f"with {LEDGER} select {KEYS}, count(distinct model) as n_models from pl group by all having count(distinct model) < (select count(distinct model) from pl)",
     "robust_scale": f"""with {EV}, d as (select unit, value - lag(value) over (partition by unit order by event_index) as d from ev), m as (select unit, quantile_cont(d, 0.5) as m, quantile_cont(abs(d), 0.5) as a from d where d is not null group by 1),
-      s as (select d.unit, 1.4826 * quantile_cont(abs(d - m), 0.5) as s, max(a) as a from d join m using (unit) where d is not null group by 1) select unit, round(greatest(case when s > 0 then s else a end, 1e-8), 6) as scale from s""",
+      s as (select d.unit, 1.4826 * quantile_cont(abs(d - m), 0.5) as s, max(a) as a from d join m using (unit) where d is not null group by 1) select unit, round(greatest(case when s > 0 then s else a end, 1e-8), 9) as scale from s""",
     "maturity_join": f"with {LEDGER} select prediction_id, unit, model, horizon, point, actual, label_available_seq from sc where maturity = 'MATURED'",
     "never_matured": f"with {LEDGER} select model, target_name, horizon, maturity, count(*) as n from sc group by all",
     "ledger_unit_metrics": f"with {LEDGER}, q as (select concat_ws('/', model, target_name) as model, horizon, unit, point, actual from sc), {metrics('q')} {UNIT}",
@@ -164,11 +164,11 @@ ORACLE = {
     "target_lookup": f"""with {LEDGER}, he as (select distinct {tidy('dataset_unit_key')} as u, event_index, event_id, available_at from hidden_events),
       la as (select u, event_index, event_id from (select *, row_number() over (partition by u, event_index order by available_at desc nulls last, event_id desc) as rn from he) where rn = 1)
       select prediction_id, event_id, case when event_id is null then 'NO_EVENT' else 'FOUND' end as lookup from pl left join la on unit = u and target_index = event_index""",
-    "cluster_mean_se": f'with {LEDGER}, {LOSS} select k as "key", stratum, action_id, nc as n_clusters, round(mean, 6) as mean, round(se, 6) as se from s',
+    "cluster_mean_se": f'with {LEDGER}, {LOSS} select k as "key", stratum, action_id, nc as n_clusters, round(mean, 9) as mean, round(se, 9) as se from s',
     "enum_argmin": f"""with {LEDGER}, {LOSS}, sco as (select k, stratum, action_id, nc, case when nc < 5 then g + se_g else g + 0.5 * (mean - g) + se end + 0.01 as score from s join g using (k, action_id)),
       rk as (select *, row_number() over (partition by k, stratum order by score, action_id) as rn, bool_and(nc < 5) over (partition by k, stratum) as uq, count(*) over (partition by k, stratum) as na from sco)
-      select k as "key", stratum, action_id, round(score, 6) as score, uq as stratum_unqualified, na as n_actions from rk where rn = 1""",
-    "paired_t_moments": _PM + "select model, horizon, count(*) as n, round(case when count(*) > 1 then avg(d) end, 6) as mean, round(case when count(*) > 1 then stddev_samp(d) / sqrt(count(*)) end, 6) as se from pj where d is not null group by 1, 2",
+      select k as "key", stratum, action_id, round(score, 9) as score, uq as stratum_unqualified, na as n_actions from rk where rn = 1""",
+    "paired_t_moments": _PM + "select model, horizon, count(*) as n, round(case when count(*) > 1 then avg(d) end, 9) as mean, round(case when count(*) > 1 then stddev_samp(d) / sqrt(count(*)) end, 9) as se from pj where d is not null group by 1, 2",
     "holm_rejections": """with r as (select c_nationkey as family, c_custkey as member, abs(c_acctbal) / 1e6 as p, row_number() over (partition by c_nationkey order by abs(c_acctbal) / 1e6, c_custkey) as rn, count(*) over (partition by c_nationkey) as n from customer)
       select family, member, bool_and(p <= 0.05 / (n - rn + 1)) over (partition by family order by p, member) as rejected from r""",
     "action_space_96": f"with {ACTIONS} select * from ac",
@@ -177,14 +177,14 @@ ORACLE = {
     "program_count": f"with {PREDICATES} select operator, count(*) * 19 * 18 as n_programs from pr group by 1 union all select 'NONE', 19",
     "convex_fusion": f"""with {LEDGER}, {FORE}, {WEIGHTS}, f as (
       select template_id, {KEYS}, count(*) as n, count(point) as nn, sum(w * point) as point, sum(w * lower) as lower, sum(w * median) as median, sum(w * upper) as upper from fo join wt using (model) group by all)
-      select template_id, {KEYS}, {', '.join(f'round(case when n = 6 and n = nn then {c} end, 6) as {c}' for c in ('point', 'lower', 'median', 'upper'))}, case when n < 6 then 'INVALID_MISSING' when nn = 0 then 'NA' when nn < n then 'INVALID_MIXED' else 'NUMERIC' end as status from f""",
-    "emit_shift_inflate": f"""with {LEDGER}, {FORE}, {UNITS} select model, {KEYS}, round(point, 6) as point, round(point + 0.5 * scale, 6) as shifted_point, round(lower + 0.5 * scale, 6) as shifted_lower, round(median + 0.5 * scale, 6) as shifted_median,
-      round(upper + 0.5 * scale, 6) as shifted_upper, round(point - 1.5 * (point - lower), 6) as inflated_lower, round(point + 1.5 * (upper - point), 6) as inflated_upper, coalesce(lower <= median and median <= upper and point between lower and upper, false) as is_valid
+      select template_id, {KEYS}, {', '.join(f'round(case when n = 6 and n = nn then {c} end, 10) as {c}' for c in ('point', 'lower', 'median', 'upper'))}, case when n < 6 then 'INVALID_MISSING' when nn = 0 then 'NA' when nn < n then 'INVALID_MIXED' else 'NUMERIC' end as status from f""",
+    "emit_shift_inflate": f"""with {LEDGER}, {FORE}, {UNITS} select model, {KEYS}, round(point, 9) as point, round(point + 0.5 * scale, 9) as shifted_point, round(lower + 0.5 * scale, 9) as shifted_lower, round(median + 0.5 * scale, 9) as shifted_median,
+      round(upper + 0.5 * scale, 9) as shifted_upper, round(point - 1.5 * (point - lower), 9) as inflated_lower, round(point + 1.5 * (upper - point), 9) as inflated_upper, coalesce(lower <= median and median <= upper and point between lower and upper, false) as is_valid
       from fo join ts using (unit)""",
     "all_or_fallback": f"""with {LEDGER}, b as (select *, max(case when model = 'last_value' then point end) over (partition by {KEYS}) as fb, bool_and(point is not null) over (partition by model, unit, origin) as ok from pl)
-      select prediction_id, ok as bundle_ok, round(case when ok then point else fb end, 6) as executed from b""",
-    "median_bundle": f"with {LEDGER}, {FORE} select {KEYS}, count(*) as n_members, {', '.join(f'round(quantile_cont({c}, 0.5), 9) as {c}' for c in ('point', 'lower', 'median', 'upper'))} from fo group by {KEYS}",
+      select prediction_id, ok as bundle_ok, round(case when ok then point else fb end, 9) as executed from b""",
+    "median_bundle": f"with {LEDGER}, {FORE} select {KEYS}, count(*) as n_members, {', '.join(f'round(quantile_cont({c}, 0.5), 10) as {c}' for c in ('point', 'lower', 'median', 'upper'))} from fo group by {KEYS}",
     "fallback_weights": f"""with {LEDGER}, e as (select concat_ws('/', target_name, horizon) as grp, model, avg(abs(actual - point)) as e from sc where maturity = 'MATURED' and point is not null group by 1, 2)
       select grp, model, case when row_number() over (partition by grp order by e, model) = 1 then 1.0 else 0.0 end as weight from e""",
-    "disagreement_route": f"with {LEDGER}, {FORE} select {KEYS}, round(max(point) - min(point), 6) as spread, case when max(point) - min(point) > 0.05 then 'REVIEW' else 'NUMERIC_ONLY' end as route from fo group by {KEYS}",
+    "disagreement_route": f"with {LEDGER}, {FORE} select {KEYS}, round(max(point) - min(point), 9) as spread, case when max(point) - min(point) > 0.05 then 'REVIEW' else 'NUMERIC_ONLY' end as route from fo group by {KEYS}",
 }
