@@ -135,6 +135,7 @@ def onto_grid(rows: DataFrame, plans: DataFrame) -> DataFrame:
     time count nowhere; units without a plan have no grid. A measure without any reading in
     a block has null value and sd there. Repeated rows count once.
     """
+    rows = rows.select("tab", "unit", "member", "row_key", "t", "m0", "m1", "m2")
     plans = plans.filter("cadence > 0").groupBy("member").agg(F.max("cadence").alias("cadence"))
     timed = rows.filter("t is not null and not isnan(t) and abs(t) < 1e12").join(plans, "member")
     timed = timed.withColumn("slot", F.floor(F.col("t") / F.col("cadence") + 0.5).cast("long"))

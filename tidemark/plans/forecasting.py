@@ -19,6 +19,11 @@ def _r(c: str, digits: int = 9):
     return F.round(F.col(c), digits).alias(c)
 
 
+def _steady(c: str):
+    """Errors of exponential forecasts reach thousands, where ten digits would show the order of summation."""
+    return F.when(F.col("model").startswith("exponential"), F.round(c, 4)).otherwise(F.round(c, 10)).alias(c)
+
+
 def users(spark, d: str) -> DataFrame:
     return S.trajectories(table(spark, d, "events"), "user_id", "ts", "event_id", "value")
 
@@ -90,17 +95,17 @@ def _predictions(*names: str, digits: int = 9):
 
 def unit_metrics(spark, d):
     m = scoring.unit_metrics(window_predictions(spark, d))
-    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _r("mae", 8), _r("rmse", 8))
+    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _steady("mae"), _steady("rmse"))
 
 
 def macro_metrics(spark, d):
     m = scoring.macro(scoring.unit_metrics(window_predictions(spark, d)), ["mae", "rmse"])
-    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae", 8), _r("macro_rmse", 8))
+    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae", 10), _r("macro_rmse", 10))
 
 
 def last_value_macro_mae(spark, d):
     p = M.predictions(users(spark, d), "last_value", M.last_value(), CONTEXT, [1])
-    return scoring.macro(scoring.unit_metrics(p), ["mae"]).select("model", "horizon", "n_units", "planned_count", _r("macro_mae", 8))
+    return scoring.macro(scoring.unit_metrics(p), ["mae"]).select("model", "horizon", "n_units", "planned_count", _r("macro_mae", 10))
 
 
 def mase_scale_leave_one_out(spark, d):
@@ -185,13 +190,13 @@ def never_matured(spark, d):
 def ledger_unit_metrics(spark, d):
     s = ledger_scored(spark, d).withColumn("model", F.concat_ws("/", "model", "target_name"))
     m = scoring.unit_metrics(s)
-    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _r("mae", 8), _r("rmse", 8))
+    return m.select("model", "horizon", "unit", "planned_count", "predicted_count", "matured_count", "failed_count", "metric_status", _steady("mae"), _steady("rmse"))
 
 
 def ledger_macro_metrics(spark, d):
     s = ledger_scored(spark, d).withColumn("model", F.concat_ws("/", "model", "target_name"))
     m = scoring.macro(scoring.unit_metrics(s), ["mae", "rmse"])
-    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae", 8), _r("macro_rmse", 8))
+    return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae", 10), _r("macro_rmse", 10))
 
 
 def failure_ledger_dedup(spark, d):
@@ -306,7 +311,7 @@ def convex_fusion(spark, d):
 def emit_shift_inflate(spark, d):
     f = forecasts(spark, d).join(scoring.training_scale(users_of_ledger(spark, d)), "unit")
     s, i = A.shift(F.col("scale"), 0.5), A.inflate(1.5)
-    return f.select("model", *FKEY, _r("point"), *[F.round(s[c], 9).alias(f"shifted_{c}") for c in A.FIELDS], *[F.round(i[c], 9).alias(f"inflated_{c}") for c in ("lower", "upper")], A.valid_forecast().alias("is_valid"))
+    return f.select("model", *FKEY, _r("point", 11), *[F.round(s[c], 11).alias(f"shifted_{c}") for c in A.FIELDS], *[F.round(i[c], 11).alias(f"inflated_{c}") for c in ("lower", "upper")], A.valid_forecast().alias("is_valid"))
 
 
 def users_of_ledger(spark, d) -> DataFrame:

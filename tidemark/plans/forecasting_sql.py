@@ -66,9 +66,9 @@ def metrics(of: str) -> str:
 
 
 UNIT = """select model, horizon, unit, planned_count, predicted_count, matured_count, failed_count,
-  case when failed_count > 0 then 'NA_planned_failure' else 'OK' end as metric_status, round(mae, 8) as mae, round(rmse, 8) as rmse from um"""
+  case when failed_count > 0 then 'NA_planned_failure' else 'OK' end as metric_status, case when model like 'exponential%' then round(mae, 4) else round(mae, 10) end as mae, case when model like 'exponential%' then round(rmse, 4) else round(rmse, 10) end as rmse from um"""
 MACRO = """select model, horizon, count(*) as n_units, cast(sum(planned_count) as bigint) as planned_count, cast(sum(failed_count) as bigint) as failed_count,
-  round(case when count(*) = count(mae) then avg(mae) end, 8) as macro_mae, round(case when count(*) = count(rmse) then avg(rmse) end, 8) as macro_rmse from um group by 1, 2"""
+  round(case when count(*) = count(mae) then avg(mae) end, 10) as macro_mae, round(case when count(*) = count(rmse) then avg(rmse) end, 10) as macro_rmse from um group by 1, 2"""
 ALL = tuple(POINTS)
 STRESS = f"""st as (
   select distinct row_id, {tidy('dataset_unit_key')} as unit, event_index_0based as event_index, aging_time_h as time_h,
@@ -92,11 +92,11 @@ g as (select k, action_id, avg(m) as g, case when count(*) > 1 then stddev_samp(
 KEYS = "target_name, horizon, unit, origin"
 FORE = f"fo as (select model, {KEYS}, point, point - abs(point) * 0.1 as lower, point as median, point + abs(point) * 0.1 as upper from pl)"
 _M = ["last_value", "global_drift", "local_linear", "exponential", "local_trend_kf", "ridge"]
-ACTIONS = f"""ba as (select * from (values {', '.join(f"('EMIT', '{m}')" for m in _M)}, {', '.join(f"('FUSE', 'w{i}')" for i in range(1, 9))}, ('FALLBACK', null)) as t(operator, reference_id)),
+ACTIONS = f"""ba as (select * from (values {', '.join(f"('EMIT', '{m}')" for m in _M)}, {', '.join(f"('FUSE', 'w{i}')" for i in range(1, 6))}, ('FALLBACK', null)) as t(operator, reference_id)),
 tr as (select transform, cast(parameter as double) as parameter from (values (null, null), ('SHIFT', -1.0), ('SHIFT', -0.5), ('SHIFT', 0.5), ('SHIFT', 1.0), ('INFLATE', 1.25), ('INFLATE', 1.5), ('INFLATE', 2.0)) as t(transform, parameter)),
 ac as (
   select sha256(concat_ws('|', operator, coalesce(reference_id, '-'), coalesce(transform, '-'), coalesce(cast(cast(round(parameter * 100) as bigint) as varchar), '-'))) as action_id,
-         operator, reference_id, transform, parameter, case when transform is null then 1 else 2 end as complexity
+         operator, reference_id, transform, parameter, cast(case when transform is null then 1 else 2 end as bigint) as complexity
   from ba cross join tr)"""
 ATOMS = "at1 as (select f || '=' || b as atom from (values ('age'), ('drift'), ('noise'), ('spread'), ('trend')) as x(f) cross join (values ('high'), ('low'), ('mid')) as y(b))"
 PREDICATES = f"""{ATOMS}, pr as (
@@ -178,8 +178,8 @@ ORACLE = {
     "convex_fusion": f"""with {LEDGER}, {FORE}, {WEIGHTS}, f as (
       select template_id, {KEYS}, count(*) as n, count(point) as nn, sum(w * point) as point, sum(w * lower) as lower, sum(w * median) as median, sum(w * upper) as upper from fo join wt using (model) group by all)
       select template_id, {KEYS}, {', '.join(f'round(case when n = 6 and n = nn then {c} end, 10) as {c}' for c in ('point', 'lower', 'median', 'upper'))}, case when n < 6 then 'INVALID_MISSING' when nn = 0 then 'NA' when nn < n then 'INVALID_MIXED' else 'NUMERIC' end as status from f""",
-    "emit_shift_inflate": f"""with {LEDGER}, {FORE}, {UNITS} select model, {KEYS}, round(point, 9) as point, round(point + 0.5 * scale, 9) as shifted_point, round(lower + 0.5 * scale, 9) as shifted_lower, round(median + 0.5 * scale, 9) as shifted_median,
-      round(upper + 0.5 * scale, 9) as shifted_upper, round(point - 1.5 * (point - lower), 9) as inflated_lower, round(point + 1.5 * (upper - point), 9) as inflated_upper, coalesce(lower <= median and median <= upper and point between lower and upper, false) as is_valid
+    "emit_shift_inflate": f"""with {LEDGER}, {FORE}, {UNITS} select model, {KEYS}, round(point, 11) as point, round(point + 0.5 * scale, 11) as shifted_point, round(lower + 0.5 * scale, 11) as shifted_lower, round(median + 0.5 * scale, 11) as shifted_median,
+      round(upper + 0.5 * scale, 11) as shifted_upper, round(point - 1.5 * (point - lower), 11) as inflated_lower, round(point + 1.5 * (upper - point), 11) as inflated_upper, coalesce(lower <= median and median <= upper and point between lower and upper, false) as is_valid
       from fo join ts using (unit)""",
     "all_or_fallback": f"""with {LEDGER}, b as (select *, max(case when model = 'last_value' then point end) over (partition by {KEYS}) as fb, bool_and(point is not null) over (partition by model, unit, origin) as ok from pl)
       select prediction_id, ok as bundle_ok, round(case when ok then point else fb end, 9) as executed from b""",

@@ -1 +1 @@
-
+"""Readers of instrument, matrix, archive and ledger files as DataFrames."""

@@ -1 +1 @@
-
+"""Structured Streaming: blind replay, commit barrier, delayed labels."""
