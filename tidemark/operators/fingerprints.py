@@ -53,12 +53,12 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in whole_groups(batches, ["gid", "block"], 50_000):
         frame = frame[~frame.duplicated(["gid", "block", "row_pos"])]
         rows = []
-        for (gid, block), g in frame.groupby(["gid", "block"], sort=False):
+        for (gid, _), g in frame.groupby(["gid", "block"], sort=False):
             raw = tokens(g).tobytes()
-            pos = g["row_pos"].to_numpy()
+            pos, core = g["row_pos"].to_numpy(), g["core"].to_numpy()
             d = [hashlib.sha256(raw[40 * i : 40 * (i + SHINGLE)]).digest() for i in range(len(g) - SHINGLE + 1)]
             for i in winnowed(d):
-                if pos[i] // BLOCK == block:
+                if core[i] == 1:
                     rows.append((d[i], gid, pos[i]))
         yield pd.DataFrame(rows, columns=["digest", "gid", "row_offset"])
 

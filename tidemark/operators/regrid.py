@@ -40,8 +40,8 @@ def smooth(t: np.ndarray, y: np.ndarray, r: np.ndarray, q: np.ndarray) -> tuple[
     level = y[first, np.arange(n)]
     level = np.where(np.isnan(level), 0.0, level)
     m = np.stack([level, np.zeros(n)])
-    span = np.maximum(t[-1] - t[0], 1e-9)
-    p00, p01, p11 = 100 * r + 1e-12, np.zeros(n), 100 * r / np.minimum(span, 1e3) ** 2 + q * span * 1e-3 + 1e-18
+    spacing = np.maximum((t[-1] - t[0]) / steps, 1e-9)
+    p00, p01, p11 = 100 * r + 1e-12, np.zeros(n), 100 * r / spacing**2  # vague: any slope that steps could show
     keep = np.empty((10, steps, n))
     for k in range(steps):
         if k:
@@ -77,6 +77,15 @@ def smooth(t: np.ndarray, y: np.ndarray, r: np.ndarray, q: np.ndarray) -> tuple[
     return out, var
 
 
+def noise_variance(v: np.ndarray) -> float:
+    """Half the variance of first differences about their median, so that a steady trend is no noise."""
+    d = np.diff(v)
+    s = 1.4826 * np.median(np.abs(d - np.median(d))) if len(d) else 0.0
+    if not s > 0:
+        s = scatter(v)
+    return max(s * s / 2 if s > 0 else 0.0, 1e-12)
+
+
 def _smooth_batch(jobs: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
     """jobs: (times, values, noise, trend), each sorted by time."""
     order = np.argsort([len(j[0]) for j in jobs], kind="stable")
@@ -115,8 +124,7 @@ def _grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     v = values[i][rows]
                     times = np.r_[t[rows], slots * cad]
                     by = np.argsort(times, kind="stable")
-                    s = scatter(v)
-                    r = max((s / 1.4142) ** 2 if s > 0 else 0.0, 1e-12)
+                    r = noise_variance(v)
                     jobs.append((times[by], np.r_[v, np.full(len(slots), np.nan)][by], r, TREND * r / cad**3, np.flatnonzero(by >= len(rows))))
         done = _smooth_batch(jobs)
         parts = []
