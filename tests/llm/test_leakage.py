@@ -32,7 +32,7 @@ def brute(docs, items):
 @pytest.mark.parametrize("small", [True, False])
 def test_equals_brute_force(rows, monkeypatch, small):
     if not small:
-        monkeypatch.setattr(L, "ITEM_LIMIT", 3)
+        monkeypatch.setattr(L, "WINDOW_LIMIT", 3)
     r = random.Random(0)
     text = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
     items = [(i, text(r.choice([3, 8, 11, 12, 13, 30]))) for i in range(25)] + [(100, None), (101, "  ... "), (102, "")]

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.spans import rolling
+from tidemark.operators.scoring import budget
 from tidemark.runtime import cut, table
 
 WINDOW = 12
-ITEM_LIMIT = 50_000
+WINDOW_LIMIT = 200_000  # item windows that may travel with the tasks
+NAME_LIMIT = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are units of measurement.
 UNITS = [
@@ -125,13 +127,14 @@ def leaks(docs: DataFrame, items: DataFrame, roster: DataFrame) -> DataFrame:
     """``doc_id, item_id, pos, n, verbatim, consistent``: every joined window with its slot check.
 
     Null and blank texts match nothing. Repeated rows give repeated windows. Up to
-    ITEM_LIMIT items their hashes go along with the tasks and thin the document windows
-    before the join; beyond, all document windows are shuffled to the join.
+    WINDOW_LIMIT item windows their hashes go along with the tasks and thin the document
+    windows before the join; beyond, all document windows are shuffled to the join. The
+    names of the roster go along in any case; more than NAME_LIMIT are an error.
     """
     names = roster.select(F.explode(F.array("given_name", "family_name")).alias("w")).dropna().distinct()
-    names = sorted({w for r in names.limit(ITEM_LIMIT).collect() for w in words(r["w"])})
+    names = sorted({w for r in budget(names, NAME_LIMIT).collect() for w in words(r["w"])})
     wins = cut(item_windows(items, names))
-    small = items.limit(ITEM_LIMIT + 1).count() <= ITEM_LIMIT
+    small = wins.count() <= WINDOW_LIMIT
     sizes = sorted(r["n"] for r in wins.select("n").distinct().collect())  # 1 to WINDOW
     vocabulary = wanted = None
     if small:
