@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import actions as A
 from tidemark.operators import forecast as M
-from tidemark.operators import orphans, profile, scoring, stats
+from tidemark.operators import candidates, orphans, profile, scoring, stats
 from tidemark.operators import series as S
 from tidemark.runtime import table, tidy
 
@@ -153,6 +153,18 @@ def particle_predictions(spark, d):
     return M.particle_predictions(users(spark, d), [1], CONTEXT)
 
 
+def elastic_net_predictions(spark, d):
+    return candidates.direct_predictions(users(spark, d), "elastic_net")
+
+
+def theta_predictions(spark, d):
+    return candidates.smoothing_predictions(users(spark, d), "theta", HORIZONS, CONTEXT)
+
+
+def holt_predictions(spark, d):
+    return candidates.smoothing_predictions(users(spark, d), "holt", HORIZONS, CONTEXT)
+
+
 def robust_scale(spark, d):
     return profile.robust_scale(users(spark, d), "unit", "event_index", "value").select("unit", _r("scale"))
 
@@ -300,6 +312,10 @@ def program_count(spark, d):
     return A.programs(A.primary_space(_spaces(spark)), A.predicates(spark, FEATURES)).groupBy(F.coalesce("operator", F.lit("NONE")).alias("operator")).agg(F.count("*").alias("n_programs"))
 
 
+def arm_permissions(spark, d):
+    return candidates.permitted_actions(_spaces(spark)).groupBy("arm").agg(F.count("*").alias("n_actions"))
+
+
 def weights(spark) -> DataFrame:
     return spark.createDataFrame([(t, m, float(w)) for t, ws in TEMPLATES.items() for m, w in zip(MODEL_NAMES, ws, strict=True)], "template_id string, model string, weight double")
 
@@ -345,7 +361,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         trajectory_events, origin_grid, window_features, derived_ratios, at_risk_flags, interval_labels, unit_metrics, macro_metrics, last_value_macro_mae, mase_scale_leave_one_out, skill_vs_last_value,
-        config_selection, residual_quantiles, qualification, common_key_parity, kalman_predictions, rls_predictions, ridge_predictions, particle_predictions, robust_scale, maturity_join, never_matured,
+        config_selection, residual_quantiles, qualification, common_key_parity, kalman_predictions, rls_predictions, ridge_predictions, particle_predictions, elastic_net_predictions, theta_predictions, holt_predictions, robust_scale, arm_permissions, maturity_join, never_matured,
         ledger_unit_metrics, ledger_macro_metrics, failure_ledger_dedup, duplicate_prediction_ids, target_lookup, cluster_mean_se, enum_argmin, paired_t_moments, paired_t_decisions, holm_rejections,
         clopper_pearson, design_simulation_cells, action_space_96, action_space_19, predicate_225, program_count, convex_fusion, emit_shift_inflate, all_or_fallback, median_bundle, fallback_weights, disagreement_route,
     )

@@ -173,6 +173,9 @@ ORACLE = {
       select family, member, bool_and(p <= 0.05 / (n - rn + 1)) over (partition by family order by p, member) as rejected from r""",
     "action_space_96": f"with {ACTIONS} select * from ac",
     "action_space_19": f"with {ACTIONS} select * from ac where transform is null or operator = 'FALLBACK'",
+    "arm_permissions": f"""with {ACTIONS}, m as (select 'H1' as arm, count(*) filter (where transform is null and operator = 'EMIT') as n_actions from ac union all select 'RF1', count(*) filter (where transform is null and operator = 'FUSE') from ac
+      union all select 'RC1', count(*) filter (where operator = 'FALLBACK') from ac union all select a, count(*) filter (where transform is null or operator = 'FALLBACK') from ac cross join (values ('ACT1'), ('IF1')) as v(a) group by a
+      union all select 'ACT_COMP96', count(*) from ac) select * from m""",
     "predicate_225": f"with {PREDICATES} select * from pr",
     "program_count": f"with {PREDICATES} select operator, count(*) * 19 * 18 as n_programs from pr group by 1 union all select 'NONE', 19",
     "convex_fusion": f"""with {LEDGER}, {FORE}, {WEIGHTS}, f as (
