@@ -36,7 +36,9 @@ BOUNDS = {
     "case_temp_c": (-40.0, 150.0),
 }
 BLOCK, MARGIN = 4096, 256
-STUCK_RUN, SPIKE_RUN, SPIKE_SCATTERS, AGREE_SCATTERS = 8, 3, 10.0, 5.0
+STUCK_RUN, SPIKE_RUN, SPIKE_SCATTERS, AGREE_SCATTERS = 8, 3, 10.0, 7.5
+DEVIATION = 1.4826  # standard deviations of normal differences in one median absolute difference
+STRONG = 4.0  # deviations from the local median from which a candidate is no neighbour to measure by
 MEDIAN_OF = 11
 NORMAL, SPIKE, STUCK, OUT = range(4)
 KINDS = np.array(["normal", "spike", "stuck", "out_of_range"])
@@ -55,19 +57,19 @@ def equal_runs(v: np.ndarray) -> np.ndarray:
 
 
 def scatter(v: np.ndarray) -> float:
-    """Usual reading-to-reading scatter: the scaled median of absolute first differences."""
+    """Usual reading-to-reading scatter: the median absolute first difference."""
     d = np.abs(np.diff(v))
     if not len(d):
         return np.nan
-    s = 1.4826 * np.median(d)
+    s = np.median(d)
     if s > 0:
         return float(s)
     rest = d[d > 0]
-    return float(1.4826 * np.median(rest) * min(1.0, 2 * len(rest) / len(d))) if len(rest) else np.nan
+    return float(np.median(rest) * min(1.0, 2 * len(rest) / len(d))) if len(rest) else np.nan
 
 
 def emissions(v: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Likelihoods (n, 4) of one series, its signed distances from the local median, its scatter."""
+    """Likelihoods (n, 4) of one series, its signed distances from the local median in deviations, its scatter."""
     n = len(v)
     hard = ~(np.isfinite(v) & (v >= low) & (v <= high))
     runs = equal_runs(v)
@@ -79,7 +81,7 @@ def emissions(v: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.nd
         half = min(MEDIAN_OF // 2, max(0, (len(w) - 1) // 2))
         around = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(w, half, mode="reflect"), 2 * half + 1), axis=1)
         level = np.interp(np.arange(n), np.flatnonzero(calm), around)
-        x[~hard] = (v[~hard] - level[~hard]) / s
+        x[~hard] = (v[~hard] - level[~hard]) / (DEVIATION * s)
     equal = runs >= 2
     usual = np.clip(np.mean(equal[calm]) if calm.any() else 0.0, 0.02, 0.25)
     e = np.empty((n, 4))
@@ -141,7 +143,7 @@ def confirmed(v: np.ndarray, post: np.ndarray, x: np.ndarray, s: float, low: flo
         state[at[hit]] = SPIKE
         at, maybe = at[~hit], maybe[~hit]
     # Spikes beside spikes to the other side: each is set against the nearest readings that do not stand off.
-    strong = maybe & (np.abs(x[at]) > SPIKE_SCATTERS / 2)
+    strong = maybe & (np.abs(x[at]) > STRONG)
     sound = np.flatnonzero(~strong)
     edges = np.flatnonzero(np.diff(np.r_[0, np.where(strong, np.sign(x[at]), 0), 0]))
     for a, z in zip(edges[:-1], edges[1:], strict=True):

@@ -82,7 +82,7 @@ def noise_variance(v: np.ndarray) -> float:
     d = np.diff(v)
     s = 1.4826 * np.median(np.abs(d - np.median(d))) if len(d) else 0.0
     if not s > 0:
-        s = scatter(v)
+        s = 1.4826 * scatter(v)
     return max(s * s / 2 if s > 0 else 0.0, 1e-12)
 
 
