@@ -327,7 +327,7 @@ def convex_fusion(spark, d):
 def emit_shift_inflate(spark, d):
     f = forecasts(spark, d).join(scoring.training_scale(users_of_ledger(spark, d)), "unit")
     s, i = A.shift(F.col("scale"), 0.5), A.inflate(1.5)
-    return f.select("model", *FKEY, _r("point", 11), *[F.round(s[c], 11).alias(f"shifted_{c}") for c in A.FIELDS], *[F.round(i[c], 11).alias(f"inflated_{c}") for c in ("lower", "upper")], A.valid_forecast().alias("is_valid"))
+    return f.select("model", *FKEY, _r("point", 10), *[F.round(s[c], 10).alias(f"shifted_{c}") for c in A.FIELDS], *[F.round(i[c], 10).alias(f"inflated_{c}") for c in ("lower", "upper")], A.valid_forecast().alias("is_valid"))
 
 
 def users_of_ledger(spark, d) -> DataFrame:

@@ -181,8 +181,8 @@ ORACLE = {
     "convex_fusion": f"""with {LEDGER}, {FORE}, {WEIGHTS}, f as (
       select template_id, {KEYS}, count(*) as n, count(point) as nn, sum(w * point) as point, sum(w * lower) as lower, sum(w * median) as median, sum(w * upper) as upper from fo join wt using (model) group by all)
       select template_id, {KEYS}, {', '.join(f'round(case when n = 6 and n = nn then {c} end, 10) as {c}' for c in ('point', 'lower', 'median', 'upper'))}, case when n < 6 then 'INVALID_MISSING' when nn = 0 then 'NA' when nn < n then 'INVALID_MIXED' else 'NUMERIC' end as status from f""",
-    "emit_shift_inflate": f"""with {LEDGER}, {FORE}, {UNITS} select model, {KEYS}, round(point, 11) as point, round(point + 0.5 * scale, 11) as shifted_point, round(lower + 0.5 * scale, 11) as shifted_lower, round(median + 0.5 * scale, 11) as shifted_median,
-      round(upper + 0.5 * scale, 11) as shifted_upper, round(point - 1.5 * (point - lower), 11) as inflated_lower, round(point + 1.5 * (upper - point), 11) as inflated_upper, coalesce(lower <= median and median <= upper and point between lower and upper, false) as is_valid
+    "emit_shift_inflate": f"""with {LEDGER}, {FORE}, {UNITS} select model, {KEYS}, round(point, 10) as point, round(point + 0.5 * scale, 10) as shifted_point, round(lower + 0.5 * scale, 10) as shifted_lower, round(median + 0.5 * scale, 10) as shifted_median,
+      round(upper + 0.5 * scale, 10) as shifted_upper, round(point - 1.5 * (point - lower), 10) as inflated_lower, round(point + 1.5 * (upper - point), 10) as inflated_upper, coalesce(lower <= median and median <= upper and point between lower and upper, false) as is_valid
       from fo join ts using (unit)""",
     "all_or_fallback": f"""with {LEDGER}, b as (select *, max(case when model = 'last_value' then point end) over (partition by {KEYS}) as fb, bool_and(point is not null) over (partition by model, unit, origin) as ok from pl)
       select prediction_id, ok as bundle_ok, round(case when ok then point else fb end, 9) as executed from b""",
