@@ -8,14 +8,14 @@ batches; ridge and the selection of configurations use leave-group-out sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import by_event, with_targets
+from tidemark.operators.series import by_event
 from tidemark.runtime import whole_groups
 
 MODELS = ["last_value", "global_drift", "local_linear", "exponential", "local_trend_kf", "ridge"]
@@ -30,14 +30,18 @@ CONFIGS = {
 }
 
 
-def last_value() -> Column:
-    return F.col("value")
+Point = Callable[[Column], Column]  # horizon -> forecast, over the rows of one series
 
 
-def global_drift() -> Column:
+def last_value() -> Point:
+    return lambda h: F.col("value")
+
+
+def global_drift() -> Point:
     """Last value plus the mean step of the whole prefix."""
     start = F.first("value").over(by_event())
-    return F.col("value") + F.col("horizon") * F.when(F.col("event_index") > 0, (F.col("value") - start) / F.col("event_index")).otherwise(0.0)
+    step = F.when(F.col("event_index") > 0, (F.col("value") - start) / F.col("event_index")).otherwise(0.0)
+    return lambda h: F.col("value") + h * step
 
 
 def _line(y: Column, window: int | str) -> tuple[Column, Column, Column]:
@@ -49,29 +53,38 @@ def _line(y: Column, window: int | str) -> tuple[Column, Column, Column]:
     return slope, F.avg(x).over(w), F.avg(y).over(w)
 
 
-def local_linear(window: int) -> Column:
+def local_linear(window: int) -> Point:
     slope, x, y = _line(F.col("value"), window)
-    return y + slope * (F.col("event_index") + F.col("horizon") - x)
+    return lambda h: y + slope * (F.col("event_index") + h - x)
 
 
-def exponential(window: int | str, direction: str | None = None) -> Column:
+def exponential(window: int | str, direction: str | None = None) -> Point:
     """Line through logarithms; ``direction`` 'down' or 'up' clips the slope. Null if any value in the frame is not positive."""
     slope, x, y = _line(F.ln(F.when(F.col("value") > 0, F.col("value"))), window)
     w = by_event().rowsBetween(Window.unboundedPreceding if window == "all" else 1 - int(window), 0)
     if direction:
         slope = F.least(slope, F.lit(0.0)) if direction == "down" else F.greatest(slope, F.lit(0.0))
-    return F.when(F.min("value").over(w) > 0, F.exp(y + slope * (F.col("event_index") + F.col("horizon") - x)))
-
-
-def predictions(series: DataFrame, model: str, point, context: int, horizons: list[int]) -> DataFrame:
-    """``unit, origin, horizon, model, point, actual`` for a window model; the expression sees the prefix only."""
-    ahead = with_targets(series.select("unit", "event_index", "value"), context, horizons).select("unit", "event_index", "horizon", "actual")
-    # windows run over the bare series, one row per event, before horizons multiply it
-    parts = [series.withColumn("horizon", F.lit(h)).withColumn("point", point).select("unit", "event_index", "horizon", "point") for h in horizons]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.join(ahead, ["unit", "event_index", "horizon"]).select("unit", F.col("event_index").alias("origin"), "horizon", F.lit(model).alias("model"), "point", "actual")
+    return lambda h: F.when(F.min("value").over(w) > 0, F.exp(y + slope * (F.col("event_index") + h - x)))
+
+
+def predict(series: DataFrame, models: dict[str, Point], context: int, horizons: list[int]) -> DataFrame:
+    """``unit, origin, horizon, model, point, actual`` of window models, which see the prefix only.
+
+    All models and horizons share one sort of the bare series: every forecast is a column
+    of one projection, and rows are multiplied only after the windows.
+    """
+    w = by_event()
+    cols = {f"_a{h}": F.lead("value", h).over(w) for h in horizons} | {f"_t{h}": F.lead("event_index", h).over(w) for h in horizons}
+    cols |= {f"_p{k}_{h}": point(F.lit(h)) for k, point in enumerate(models.values()) for h in horizons}
+    wide = series.select("unit", "event_index", *[c.alias(n) for n, c in cols.items()]).filter(F.col("event_index") >= context - 1)
+    cells = [F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model"), F.col(f"_p{k}_{h}").alias("point"), F.col(f"_a{h}").alias("actual"), F.col(f"_t{h}").isNotNull().alias("there")) for k, m in enumerate(models) for h in horizons]
+    long = wide.select("unit", F.col("event_index").alias("origin"), F.explode(F.array(*cells)).alias("c")).filter("c.there")
+    return long.select("unit", "origin", "c.horizon", "c.model", "c.point", "c.actual")
+
+
+def predictions(series: DataFrame, model: str, point: Point, context: int, horizons: list[int]) -> DataFrame:
+    """``predict`` for one model."""
+    return predict(series, {model: point}, context, horizons)
 
 
 def _units(batches: Iterator[pd.DataFrame], fold) -> Iterator[pd.DataFrame]:

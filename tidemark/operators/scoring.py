@@ -52,9 +52,13 @@ def training_scale(series: DataFrame) -> DataFrame:
 
 
 def with_skill(metrics: DataFrame, baseline: str = "last_value") -> DataFrame:
-    """Relative error and skill against the baseline of the same horizon and unit, with a status for its gaps."""
-    base = metrics.filter(F.col("model") == baseline).select("horizon", "unit", F.col("mae").alias("base_mae"))
-    out = metrics.join(base, ["horizon", "unit"], "left")
+    """Relative error and skill against the baseline of the same horizon and unit, with a status for its gaps.
+
+    The baseline's row is one of its partition's rows, so a window takes the place of a
+    self-join and the metrics are computed once.
+    """
+    base = F.max(F.when(F.col("model") == baseline, F.col("mae"))).over(Window.partitionBy("horizon", "unit"))
+    out = metrics.withColumn("base_mae", base)
     good = F.col("mae").isNotNull() & F.col("base_mae").isNotNull() & (F.col("base_mae") > 0)
     return out.select(
         *metrics.columns, "base_mae", F.when(good, F.col("mae") / F.col("base_mae")).alias("relative_mae"), F.when(good, 1 - F.col("mae") / F.col("base_mae")).alias("skill"),

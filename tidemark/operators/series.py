@@ -79,11 +79,3 @@ def origins(series: DataFrame, context: int, horizons: list[int]) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("unit"))
     grid = series.withColumn("n", n).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
     return grid.filter((F.col("event_index") >= context - 1) & (F.col("event_index") < F.col("n") - F.col("horizon"))).select("unit", F.col("event_index").alias("origin"), "horizon")
-
-
-def with_targets(series: DataFrame, context: int, horizons: list[int]) -> DataFrame:
-    """Origin rows with the value at each horizon: ``unit, event_index, value, ..., horizon, actual``."""
-    w = by_event()
-    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("value", h).over(w).alias("actual"), F.lead("event_index", h).over(w).alias("target_index")) for h in horizons])
-    out = series.withColumn("_s", ahead).withColumn("_a", F.explode("_s")).filter((F.col("event_index") >= context - 1) & F.col("_a.target_index").isNotNull())
-    return out.select(*[c for c in series.columns], F.col("_a.horizon").alias("horizon"), F.col("_a.actual").alias("actual"))

@@ -73,21 +73,14 @@ def window_predictions(spark, d) -> DataFrame:
         "last_value": M.last_value(), "global_drift": M.global_drift(), "local_linear_2": M.local_linear(2), "local_linear_3": M.local_linear(3), "local_linear_4": M.local_linear(4),
         "exponential_4": M.exponential(4), "exponential_4_down": M.exponential(4, "down"), "exponential_all": M.exponential("all"),
     }
-    out = None
-    for name, point in models.items():
-        p = M.predictions(s, name, point, CONTEXT, HORIZONS)
-        out = p if out is None else out.unionByName(p)
-    return out
+    return M.predict(s, models, CONTEXT, HORIZONS)
 
 
 def _predictions(*names: str, digits: int = 9):
     def q(spark, d):
         s = users(spark, d)
         points = {"global_drift": M.global_drift, "local_linear_3": lambda: M.local_linear(3), "exponential_4": lambda: M.exponential(4), "exponential_4_down": lambda: M.exponential(4, "down"), "last_value": M.last_value}
-        out = None
-        for n in names:
-            p = M.predictions(s, n, points[n](), CONTEXT, HORIZONS)
-            out = p if out is None else out.unionByName(p)
+        out = M.predict(s, {n: points[n]() for n in names}, CONTEXT, HORIZONS)
         return out.select("unit", "origin", "horizon", "model", (F.round("point", digits) + F.lit(0.0)).alias("point"), "actual")
 
     return q
