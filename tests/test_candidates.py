@@ -43,8 +43,11 @@ def test_smoothing_sees_only_the_prefix(rows, kind):
 
 
 def test_theta_of_a_line_follows_half_its_slope():
-    p = C.theta_points(np.arange(40.0), [1, 2])
-    assert p[-1, 1] - p[-1, 0] == pytest.approx(0.5)
+    machine = C.Theta()
+    for y in np.arange(40.0):
+        machine.feed(y)
+    a, b = machine.points([1, 2])
+    assert b - a == pytest.approx(0.5)
 
 
 def test_permissions(spark):

@@ -56,7 +56,11 @@ def test_exponential_needs_positive_values(rows):
 
 def test_kalman_equals_matrix_form():
     _, v = walk(15, 2)
-    got = M.kalman_points(v, [1, 3], 0.7, 1e-2, 1e-4, 1.0)
+    machine = M.Kalman(0.7, 1e-2, 1e-4, 1.0)
+    got = []
+    for y in v:
+        machine.feed(y)
+        got.append(machine.points([1, 3]))
     f, h = np.array([[1, 1], [0, 1.0]]), np.array([1.0, 0])
     x, p = np.array([v[0], v[1] - v[0]]), 10 * 0.49 * np.eye(2)
     for i in range(1, 15):

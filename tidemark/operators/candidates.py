@@ -6,11 +6,10 @@ AutoARIMA is left out: its order search needs a library that is not there.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.forecast import fold_of, over_units
+from tidemark.operators.forecast import fold_of, streamed
 from tidemark.operators.series import by_event
 
 FEATURES = ["last", "global_slope", "local_slope", "curvature", "robust_step", "n_seen", "local_min", "local_max"]
@@ -63,70 +62,64 @@ def direct_predictions(series: DataFrame, kind: str, horizon: int = 1, folds: in
     return out if out is not None else series.select("unit", F.col("event_index").alias("origin"), F.lit(horizon).alias("horizon"), F.lit(kind).alias("model"), F.col("value").alias("point"), F.col("value").alias("actual")).limit(0)
 
 
-def _smoothed(v: np.ndarray, alpha: float) -> np.ndarray:
-    out = np.empty(len(v))
-    out[0] = v[0]
-    for i in range(1, len(v)):
-        out[i] = alpha * v[i] + (1 - alpha) * out[i - 1]
-    return out
+class Theta:
+    """Smoothed level plus half the slope of the prefix.
 
+    Levels of several smoothing weights run side by side; the one with the least one-step
+    error so far speaks.
+    """
 
-def theta_points(v: np.ndarray, horizons: list[int], alphas=(0.1, 0.3, 0.5, 0.7, 0.9)) -> np.ndarray:
-    """Theta forecasts of every prefix: smoothed level of the doubled-curvature line plus half the prefix's slope.
+    def __init__(self, alphas: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9)) -> None:
+        self.alphas, self.seen = np.array(alphas), 0
+        self.errors = np.zeros(len(alphas))
+        self.sums = np.zeros(4)  # of index, value, index * value, index squared
+
+    def feed(self, y: float) -> None:
+        i = float(self.seen)
+        self.sums += (i, y, i * y, i * i)
+        if self.seen:
+            self.errors += (y - self.levels) ** 2
+            self.levels = self.levels + self.alphas * (y - self.levels)
+        else:
+            self.levels = np.full(len(self.alphas), y)
+        self.seen += 1
+
+    def points(self, horizons: list[int]) -> list[float]:
+        n, (sx, sy, sxy, sxx) = self.seen, self.sums
+        den = n * sxx - sx * sx
+        drift = (n * sxy - sx * sy) / den / 2 if den > 0 else 0.0
+        k = int(self.errors.argmin())
+        a = self.alphas[k]
+        return [float(self.levels[k] + drift * (h - 1 + 1 / a - (1 - a) ** n / a)) for h in horizons]
+
+
+class Holt:
+    """Damped additive trend; a grid of weights runs side by side, the least one-step error so far speaks."""
+
+    def __init__(self, grid: tuple[float, ...] = (0.2, 0.5, 0.8), damp: float = 0.98) -> None:
+        self.a, self.b = (g.ravel() for g in np.meshgrid(grid, grid, indexing="ij"))
+        self.damp, self.seen = damp, 0
+        self.errors = np.zeros(len(self.a))
+
+    def feed(self, y: float) -> None:
+        if self.seen:
+            guess = self.level + self.damp * self.trend
+            gap = y - guess
+            self.errors += gap * gap
+            self.level, self.trend = guess + self.a * gap, self.damp * self.trend + self.a * self.b * gap
+        else:
+            self.level, self.trend = np.full(len(self.a), y), np.zeros(len(self.a))
+        self.seen += 1
 
-    The smoothing weight of a prefix is the one with the least one-step error within it.
-    """
-    n = len(v)
-    i = np.arange(n, dtype=float)
-    sx, sy, sxy, sxx = np.cumsum(i), np.cumsum(v), np.cumsum(i * v), np.cumsum(i * i)
-    k = i + 1
-    den = k * sxx - sx * sx
-    slope = np.where(den > 0, (k * sxy - sx * sy) / np.where(den > 0, den, 1), 0.0)
-    levels = np.array([_smoothed(v, a) for a in alphas])
-    err = np.zeros((len(alphas), n))
-    err[:, 1:] = np.cumsum((v[1:] - levels[:, :-1]) ** 2, axis=1)
-    best = err.argmin(axis=0)
-    level, alpha = levels[best, np.arange(n)], np.array(alphas)[best]
-    drift = slope / 2
-    return level[:, None] + drift[:, None] * (np.array(horizons) - 1 + (1 / alpha - (1 - alpha) ** k / alpha)[:, None])
-
-
-def holt_points(v: np.ndarray, horizons: list[int], grid=(0.2, 0.5, 0.8), damp: float = 0.98) -> np.ndarray:
-    """Damped additive-trend smoothing of every prefix; weights with the least one-step error within the prefix."""
-    n = len(v)
-    tracks, errors = [], []
-    for a in grid:
-        for b in grid:
-            level, trend, e = np.empty(n), np.empty(n), np.zeros(n)
-            level[0], trend[0] = v[0], 0.0
-            for i in range(1, n):
-                guess = level[i - 1] + damp * trend[i - 1]
-                e[i] = e[i - 1] + (v[i] - guess) ** 2
-                level[i] = guess + a * (v[i] - guess)
-                trend[i] = damp * trend[i - 1] + a * b * (v[i] - guess)
-            tracks.append((level, trend))
-            errors.append(e)
-    best = np.argmin(errors, axis=0)
-    level = np.array([t[0] for t in tracks])[best, np.arange(n)]
-    trend = np.array([t[1] for t in tracks])[best, np.arange(n)]
-    steps = np.array([sum(damp**j for j in range(1, h + 1)) for h in horizons])
-    return level[:, None] + trend[:, None] * steps
+    def points(self, horizons: list[int]) -> list[float]:
+        k = int(self.errors.argmin())
+        return [float(self.level[k] + self.trend[k] * sum(self.damp**j for j in range(1, h + 1))) for h in horizons]
 
 
 def smoothing_predictions(series: DataFrame, kind: str, horizons: list[int], context: int) -> DataFrame:
     """``theta`` or ``holt`` forecasts of all origins."""
-    points = {"theta": theta_points, "holt": holt_points}[kind]
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        v = g["value"].to_numpy(float)
-        p = points(v, horizons)
-        keep = [(i, j) for i in range(context - 1, len(v)) for j, h in enumerate(horizons) if i + h < len(v)]
-        i, j = np.array([k[0] for k in keep], int), np.array([k[1] for k in keep], int)
-        hs = np.array(horizons)
-        return pd.DataFrame({"unit": g["unit"].iloc[0], "origin": i, "horizon": hs[j], "model": kind, "point": p[i, j], "actual": v[i + hs[j]] if len(i) else np.zeros(0)})
-
-    unit_type = dict(series.dtypes)["unit"]
-    return over_units(series.select("unit", "event_index", "value"), fold, f"unit {unit_type}, origin long, horizon int, model string, point double, actual double")
+    machine = {"theta": Theta, "holt": Holt}[kind]
+    return streamed(series.select("unit", "event_index", "value"), lambda row: machine(), kind, horizons, context)
 
 
 def permitted_actions(space: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Forecasts from revealed prefixes: window models as expressions, fold models by Arrow.
 
 Every model reads events up to its origin only. last_value, global_drift, local_linear and
-exponential are window expressions and stay in the JVM. The Kalman and recursive
-least-squares folds carry a state along the series and run over whole units in Arrow
-batches; ridge and the selection of configurations use leave-group-out sums.
+exponential are window expressions and stay in the JVM. The Kalman, recursive
+least-squares and particle folds carry a state along the series while its rows stream
+through in Arrow batches; ridge uses leave-group-out sums.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import by_event
-from tidemark.runtime import whole_groups
 
 MODELS = ["last_value", "global_drift", "local_linear", "exponential", "local_trend_kf", "ridge"]
 #: The configurations each model is tried with, in the order that settles ties.
@@ -87,35 +86,120 @@ def predictions(series: DataFrame, model: str, point: Point, context: int, horiz
     return predict(series, {model: point}, context, horizons)
 
 
-def _units(batches: Iterator[pd.DataFrame], fold) -> Iterator[pd.DataFrame]:
-    for frame in whole_groups(batches, ["unit"], 20_000):
-        parts = [fold(g) for _, g in frame.groupby("unit", sort=False)]
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+class Kalman:
+    """Two-state local trend; fed one value at a time, it forecasts from what it has seen."""
 
+    def __init__(self, scale: float, q_level: float, q_slope: float, r: float) -> None:
+        self.var, self.q_level, self.q_slope, self.r = scale * scale, q_level, q_slope, r
+        self.seen = 0
 
-def over_units(series: DataFrame, fold, schema: str) -> DataFrame:
-    """Apply ``fold`` to each unit's events in order, many units per Arrow batch."""
-    return series.repartition("unit").sortWithinPartitions("unit", "event_index").mapInPandas(lambda it: _units(it, fold), schema)
+    def feed(self, y: float) -> None:
+        var = self.var
+        if not self.seen:
+            self.level, self.slope, self.a, self.b, self.c = y, 0.0, 10 * var, 0.0, 10 * var
+        else:
+            if self.seen == 1:
+                self.slope = y - self.level
+            self.level += self.slope
+            self.a, self.b, self.c = self.a + 2 * self.b + self.c + var * self.q_level, self.b + self.c, self.c + var * self.q_slope
+            s = self.a + var * self.r
+            k0, k1, gap = self.a / s, self.b / s, y - self.level
+            self.level, self.slope = self.level + k0 * gap, self.slope + k1 * gap
+            self.a, self.b, self.c = (1 - k0) * self.a, (1 - k0) * self.b, self.c - k1 * self.b
+        self.seen += 1
 
+    def points(self, horizons: list[int]) -> list[float]:
+        return [self.level + h * self.slope for h in horizons]
 
-def kalman_points(values: np.ndarray, horizons: list[int], scale: float, q_level: float, q_slope: float, r: float) -> np.ndarray:
-    """(events, horizons) forecasts of a two-state local trend; row i has seen values[: i + 1]."""
-    var = scale * scale
-    level, slope = values[0], values[1] - values[0] if len(values) > 1 else 0.0
-    a, b, c = 10 * var, 0.0, 10 * var
-    out = np.empty((len(values), len(horizons)))
-    out[0] = [level for h in horizons]
-    for i in range(1, len(values)):
-        level += slope
-        a, b, c = a + 2 * b + c + var * q_level, b + c, c + var * q_slope
-        s = a + var * r
-        k0, k1 = a / s, b / s
-        gap = values[i] - level
-        level, slope = level + k0 * gap, slope + k1 * gap
-        a, b, c = (1 - k0) * a, (1 - k0) * b, c - k1 * b
-        out[i] = [level + h * slope for h in horizons]
-    return out
+
+class Rls:
+    """Recursive least squares of value on index with forgetting; covariance starts at 1e4."""
+
+    def __init__(self, forgetting: float) -> None:
+        self.forgetting, self.seen = forgetting, 0
+        self.w, self.p = np.zeros(2), 1e4 * np.eye(2)
+
+    def feed(self, y: float) -> None:
+        x = np.array([1.0, float(self.seen)])
+        px = self.p @ x
+        k = px / (self.forgetting + x @ px)
+        self.w = self.w + k * (y - x @ self.w)
+        self.p = (self.p - np.outer(k, px)) / self.forgetting
+        self.seen += 1
+
+    def points(self, horizons: list[int]) -> list[float]:
+        return [float(self.w[0] + self.w[1] * (self.seen - 1 + h)) for h in horizons]
+
+
+class Particles:
+    """Level and slope particles with a Student-type likelihood and systematic resampling.
+
+    The scale is the median step of the first ``context`` values; no forecast is asked before.
+    """
+
+    def __init__(self, seed: int, particles: int, context: int, nu: float) -> None:
+        self.rng, self.n, self.context, self.nu = np.random.default_rng(seed), particles, context, nu
+        self.first: list[float] = []
+        self.level = None
+
+    def feed(self, y: float) -> None:
+        if self.level is None:
+            self.first.append(y)
+            if len(self.first) < self.context:
+                return
+            d = np.abs(np.diff(self.first))
+            self.s = max(float(np.median(d)) if len(d) else 0.0, 1e-6)
+            self.level = self.first[0] + self.s * self.rng.standard_normal(self.n)
+            self.slope = self.s * self.rng.standard_normal(self.n)
+            for i, v in enumerate(self.first):
+                self._step(v, i > 0)
+        else:
+            self._step(y, True)
+
+    def _step(self, y: float, move: bool) -> None:
+        if move:
+            self.slope = self.slope + 0.1 * self.s * self.rng.standard_normal(self.n)
+            self.level = self.level + self.slope + 0.1 * self.s * self.rng.standard_normal(self.n)
+        logw = -0.5 * (self.nu + 1) * np.log1p(((y - self.level) / self.s) ** 2 / self.nu)
+        w = np.exp(logw - logw.max())
+        pick = systematic(w / w.sum(), self.rng.random())
+        self.level, self.slope = self.level[pick], self.slope[pick]
+
+    def points(self, horizons: list[int]) -> list[float]:
+        return [float(np.mean(self.level + h * self.slope)) for h in horizons]
+
+
+def streamed(series: DataFrame, make, model: str, horizons: list[int], context: int) -> DataFrame:
+    """``unit, origin, horizon, model, point, actual`` of a model that is fed a unit's values in order.
+
+    ``make`` gets a unit's first row and returns the model's state. Only that state is held:
+    rows stream through, so a unit may be of any length. Actual values come from the lead
+    of a window in the JVM, whose partitioning and order the stream keeps.
+    """
+    w = by_event()
+    leads = [F.lead("value", h).over(w).alias(f"a{h}") for h in horizons]
+    extra = [c for c in series.columns if c not in ("unit", "event_index", "value")]
+    ordered = series.select("unit", "event_index", "value", *extra, *leads).sortWithinPartitions("unit", "event_index")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = state = None
+        for b in batches:
+            ahead = [b[f"a{h}"].to_numpy(float) for h in horizons]
+            index, values, units = b["event_index"].to_numpy(), b["value"].to_numpy(float), b["unit"].to_numpy()
+            out = []
+            for i in range(len(b)):
+                if state is None or units[i] != unit:
+                    unit, state = units[i], make(b.iloc[i])
+                state.feed(values[i])
+                if index[i] >= context - 1:
+                    there = [j for j in range(len(horizons)) if ahead[j][i] == ahead[j][i]]
+                    if there:
+                        p = state.points(horizons)
+                        out += [(unit, index[i], horizons[j], model, p[j], ahead[j][i]) for j in there]
+            yield pd.DataFrame(out, columns=["unit", "origin", "horizon", "model", "point", "actual"])
+
+    unit_type = dict(series.dtypes)["unit"]
+    return ordered.mapInPandas(run, f"unit {unit_type}, origin long, horizon int, model string, point double, actual double")
 
 
 def training_scales(series: DataFrame, folds: int) -> DataFrame:
@@ -133,41 +217,11 @@ def fold_of(unit: str, folds: int) -> Column:
 def kalman_predictions(series: DataFrame, horizons: list[int], context: int, folds: int = 8, q_level: float = 1e-4, q_slope: float = 1e-4, r: float = 1.0) -> DataFrame:
     """Kalman forecasts whose scale comes from other folds of units only."""
     scaled = series.withColumn("fold", fold_of("unit", folds)).join(F.broadcast(training_scales(series, folds)), "fold")  # one row per fold
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        p = kalman_points(g["value"].to_numpy(float), horizons, float(g["scale"].iloc[0]), q_level, q_slope, r)
-        n = len(g)
-        keep = [(i, j) for i in range(context - 1, n) for j, h in enumerate(horizons) if i < n - h]
-        i, j = np.array([k[0] for k in keep], int), np.array([k[1] for k in keep], int)
-        v = g["value"].to_numpy(float)
-        hs = np.array(horizons)
-        return pd.DataFrame({"unit": g["unit"].iloc[0], "origin": i, "horizon": hs[j], "model": "local_trend_kf", "point": p[i, j], "actual": v[i + hs[j]] if len(i) else np.zeros(0)})
-
-    unit_type = dict(series.dtypes)["unit"]
-    return over_units(scaled.select("unit", "event_index", "value", "scale"), fold, f"unit {unit_type}, origin long, horizon int, model string, point double, actual double")
+    return streamed(scaled.select("unit", "event_index", "value", "scale"), lambda row: Kalman(float(row["scale"]), q_level, q_slope, r), "local_trend_kf", horizons, context)
 
 
 def rls_predictions(series: DataFrame, horizons: list[int], context: int, forgetting: float = 0.98) -> DataFrame:
-    """Recursive least squares of value on time index with forgetting; covariance starts at 1e4."""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        v = g["value"].to_numpy(float)
-        w, p = np.zeros(2), 1e4 * np.eye(2)
-        rows = []
-        for i, y in enumerate(v):
-            x = np.array([1.0, float(i)])
-            k = p @ x / (forgetting + x @ p @ x)
-            w = w + k * (y - x @ w)
-            p = (p - np.outer(k, x @ p)) / forgetting
-            if i >= context - 1:
-                rows += [(i, h, float(w[0] + w[1] * (i + h)), v[i + h]) for h in horizons if i + h < len(v)]
-        out = pd.DataFrame(rows, columns=["origin", "horizon", "point", "actual"])
-        out.insert(0, "unit", g["unit"].iloc[0])
-        out["model"] = "rls_trend"
-        return out[["unit", "origin", "horizon", "model", "point", "actual"]]
-
-    unit_type = dict(series.dtypes)["unit"]
-    return over_units(series.select("unit", "event_index", "value"), fold, f"unit {unit_type}, origin long, horizon int, model string, point double, actual double")
+    return streamed(series.select("unit", "event_index", "value"), lambda row: Rls(forgetting), "rls_trend", horizons, context)
 
 
 def ridge_features(series: DataFrame, window: int, horizon: int, context: int) -> DataFrame:
@@ -210,39 +264,14 @@ def ridge_predictions(series: DataFrame, window: int = 3, alpha: float = 1.0, ho
 
 
 def particle_predictions(series: DataFrame, horizons: list[int], context: int, particles: int = 512, seed: int = 0, nu: float = 4.0) -> DataFrame:
-    """Particle filter of level and slope with a Student-type likelihood and systematic resampling.
+    """A unit's generator is seeded by the seed and the unit, so results do not depend on how units are spread over tasks."""
 
-    The generator of a unit is seeded by the seed and the unit, so results do not depend on
-    how units are spread over tasks.
-    """
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
+    def make(row) -> Particles:
         import xxhash
 
-        v = g["value"].to_numpy(float)
-        unit = g["unit"].iloc[0]
-        rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{unit}"))
-        d = np.diff(v[:context])
-        s = max(float(np.median(np.abs(d))) if len(d) else 0.0, 1e-6)
-        level, slope = v[0] + s * rng.standard_normal(particles), s * rng.standard_normal(particles)
-        rows = []
-        for i, y in enumerate(v):
-            if i:
-                slope = slope + 0.1 * s * rng.standard_normal(particles)
-                level = level + slope + 0.1 * s * rng.standard_normal(particles)
-            logw = -0.5 * (nu + 1) * np.log1p(((y - level) / s) ** 2 / nu)
-            w = np.exp(logw - logw.max())
-            pick = systematic(w / w.sum(), rng.random())
-            level, slope = level[pick], slope[pick]
-            if i >= context - 1:
-                rows += [(i, h, float(np.mean(level + h * slope)), v[i + h]) for h in horizons if i + h < len(v)]
-        out = pd.DataFrame(rows, columns=["origin", "horizon", "point", "actual"])
-        out.insert(0, "unit", unit)
-        out["model"] = "particle"
-        return out[["unit", "origin", "horizon", "model", "point", "actual"]]
+        return Particles(xxhash.xxh64_intdigest(f"{seed}:{row['unit']}"), particles, context, nu)
 
-    unit_type = dict(series.dtypes)["unit"]
-    return over_units(series.select("unit", "event_index", "value"), fold, f"unit {unit_type}, origin long, horizon int, model string, point double, actual double")
+    return streamed(series.select("unit", "event_index", "value"), make, "particle", horizons, context)
 
 
 def systematic(weights: np.ndarray, u: float) -> np.ndarray:

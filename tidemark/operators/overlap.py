@@ -35,15 +35,20 @@ def winnow(digests: DataFrame, window: int = WINNOW) -> DataFrame:
     return d.select("grp", (-F.col("_m.neg")).alias("pos"), F.col("_m.digest").alias("digest")).distinct()
 
 
-def fingerprint_pairs(prints: DataFrame) -> DataFrame:
-    """All pairs of equal fingerprints in two groups, as the reference index joins them.
+def fingerprint_pairs(prints: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """All pairs of equal fingerprints in two groups; more than ``most`` are an error, never cut.
 
+    How many pairs there would be is summed from the digests' counts before any are made.
     Fingerprints are made unique first and digests of a single group are dropped before the
     self-join by a map-side aggregate, so only shared digests are shuffled twice.
     """
     p = prints.select("digest", "grp", "pos").distinct()
     shared = p.groupBy("digest").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).filter("a < z").select("digest")
     p = p.join(shared, "digest", "left_semi")
+    n = F.col("count")
+    due = p.groupBy("digest").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    if due > most:
+        raise ValueError(f"up to {due:.0f} pairs; the budget is {most}")
     a, b = p.select("digest", F.col("grp").alias("grp_a"), F.col("pos").alias("pos_a")), p.select("digest", F.col("grp").alias("grp_b"), F.col("pos").alias("pos_b"))
     return a.join(b, "digest").filter("grp_a < grp_b")
 
