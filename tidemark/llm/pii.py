@@ -78,10 +78,16 @@ _NOT_NAME = re.compile(
 )
 
 
+_RARE_SPACE = re.compile(r"[^\S \n]")
+
+
 def plain(text: str) -> tuple[str, np.ndarray | None]:
     """The text as the tagger and the forms read it, and each sign's place in the original (None: the same)."""
     if text.isascii():
         return text, None
+    spaced = text.replace("\u00a0", " ")
+    if "\u200b" not in spaced and "\u00ad" not in spaced and unicodedata.is_normalized("NFKC", spaced) and not _RARE_SPACE.search(spaced):
+        return spaced, None  # sign by sign the same
     out, at = [], []
     for k, ch in enumerate(text):
         if ch in "\u200b\u00ad":

@@ -47,7 +47,11 @@ _ASCII = np.array([symbol(chr(i)) for i in range(128)], np.int16)
 def encode(text: str) -> np.ndarray:
     if text.isascii():
         return _ASCII[np.frombuffer(text.encode("ascii"), np.uint8)]
-    return np.fromiter(map(symbol, text), np.int16, len(text))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _ASCII[np.minimum(codes, 127)]
+    wide = np.flatnonzero(codes > 127)
+    out[wide] = [symbol(text[k]) for k in wide.tolist()]
+    return out
 
 
 def allowed() -> np.ndarray:
