@@ -90,6 +90,13 @@ def test_windows_do_not_change_scores_of_their_middle(model):
     assert np.isfinite(got).all() and np.mean(got.argmax(1) == whole.argmax(1)) > 0.97
 
 
+def test_a_text_does_not_depend_on_its_batch(model):
+    texts = [Writer(i).text(n)[0][:n] for i, n in enumerate((40, 700, 90, 350, 1, 513))] + [""]
+    together = pii.scores(texts, model)
+    for t, e in zip(texts, together, strict=True):
+        assert np.allclose(pii.scores([t], model)[0], e, atol=1e-3)
+
+
 def spans(model, text):
     return [(k, text[a:z]) for a, z, k in pii.find([text], model)[0]]
 

@@ -25,7 +25,7 @@ from tidemark.llm.pii_model import TAGS, allowed, emissions, encode, load
 from tidemark.llm.pii_text import TYPES
 from tidemark.runtime import table
 
-WINDOW, MARGIN, BATCH = 256, 32, 384
+WINDOW, MARGIN, BATCH = 512, 32, 256
 #: Added to the score of beginning a span, since the exact check follows; names have the weakest check.
 BONUS = {"email": 3.0, "phone": 3.0, "id_number": 3.0, "address": 3.0, "name": 0.5}
 CHUNK = 1_000_000  # characters scored at once
@@ -122,7 +122,7 @@ def scores(texts: list[str], w: dict) -> list[np.ndarray]:
         block = np.full((longest, len(some)), pad, np.int16)
         for j, i in enumerate(some):
             block[: len(wins[i]), j] = wins[i]
-        e = emissions(w, block)
+        e = emissions(w, block, np.array([len(wins[i]) for i in some]))
         for j, i in enumerate(some):
             k, a = where[i]
             n = len(wins[i])
@@ -142,15 +142,26 @@ def decode(es: list[np.ndarray], trans: np.ndarray) -> list[list[tuple[int, int,
     flat = np.concatenate([es[i] for i in order])
     at = np.r_[0, np.cumsum(lengths)[:-1]]
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    into = np.ascontiguousarray(trans.T)  # row: tag entered
+    # "Outside" and beginnings can be entered from any tag, a continuation from its type's two tags only.
+    opens = np.r_[0, 1 : len(TAGS) : 2]
+    goes_on = np.arange(2, len(TAGS), 2)
+    into = np.ascontiguousarray(trans[:, opens].T)
+    from_begin, from_inside = trans[goes_on - 1, goes_on], trans[goes_on, goes_on]
     best = flat[at[: alive[0]]] + trans[0]
     back = [None]
     for t in range(1, int(lengths[0])):
         k = alive[t]
-        s = best[:k, None, :] + into
-        came = s.argmax(axis=2)
-        back.append(came.astype(np.uint8))
-        best[:k] = np.take_along_axis(s, came[:, :, None], 2)[:, :, 0] + flat[at[:k] + t]
+        now = best[:k]
+        s = now[:, None, :] + into
+        came = np.empty((k, len(TAGS)), np.uint8)
+        came[:, opens] = s.argmax(axis=2)
+        b, i = now[:, goes_on - 1] + from_begin, now[:, goes_on] + from_inside
+        came[:, goes_on] = np.where(b >= i, goes_on - 1, goes_on)
+        back.append(came)
+        step = flat[at[:k] + t]
+        step[:, opens] += s.max(axis=2)
+        step[:, goes_on] += np.maximum(b, i)
+        best[:k] = step
     path = np.zeros(len(flat), np.uint8)
     tag = (best + trans[:, 0])[: alive[0]].argmax(axis=1)
     now = tag.copy()

@@ -87,11 +87,17 @@ def _table(w, d) -> np.ndarray:
     return x
 
 
-def _scan(table, u, symbols, hidden, keep=False):
-    """One direction over (steps, batch) symbols. Gate order: input, forget, output, candidate."""
+def _scan(table, u, symbols, hidden, keep=False, alive=None):
+    """One direction over (steps, batch) symbols. Gate order: input, forget, output, candidate.
+
+    With ``alive`` (rows in use at each step, the first so many) the others stand still at
+    zero, so what a text gets does not depend on the padding beside it.
+    """
     steps, n = symbols.shape
     h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
     out = np.empty((steps, n, hidden), np.float32)
+    if alive is not None:
+        return _scan_alive(table, u, symbols, hidden, alive, h, c, out), None
     memory = (np.empty((steps, n, 4 * hidden), np.float32), np.empty((steps, n, hidden), np.float32), np.empty((steps, n, hidden), np.float32)) if keep else None
     half = np.full(4 * hidden, 0.5, np.float32)
     half[3 * hidden :] = 1.0
@@ -115,11 +121,33 @@ def _scan(table, u, symbols, hidden, keep=False):
     return out, memory
 
 
-def emissions(w: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarray:
-    """(steps, batch, tags) scores of (steps, batch) symbols."""
+def _scan_alive(table, u, symbols, hidden, alive, h, c, out):
+    half = np.full(4 * hidden, 0.5, np.float32)
+    half[3 * hidden :] = 1.0
+    table, u = table * half, u * half
+    k3 = 3 * hidden
+    for t, k in enumerate(alive):
+        z = table[symbols[t, :k]]
+        z += h[:k] @ u
+        np.tanh(z, out=z)
+        gates = z[:, :k3]
+        gates *= 0.5
+        gates += 0.5
+        cell = c[:k]
+        cell *= z[:, hidden : 2 * hidden]
+        cell += z[:, :hidden] * z[:, k3:]
+        np.multiply(z[:, 2 * hidden : k3], np.tanh(cell), out=h[:k])
+        out[t, :k] = h[:k]
+        out[t, k:] = 0
+    return out
+
+
+def emissions(w: dict[str, np.ndarray], symbols: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """(steps, batch, tags) scores of (steps, batch) symbols; with ``lengths``, falling, of texts of unequal length."""
     hidden = w["uf"].shape[0]
-    f, _ = _scan(_table(w, "f"), w["uf"], symbols, hidden)
-    b, _ = _scan(_table(w, "b"), w["ub"], symbols[::-1], hidden)
+    alive = None if lengths is None else np.searchsorted(-np.asarray(lengths), -np.arange(len(symbols)), side="left")
+    f, _ = _scan(_table(w, "f"), w["uf"], symbols, hidden, alive=alive)
+    b, _ = _scan(_table(w, "b"), w["ub"], symbols[::-1], hidden, alive=None if alive is None else alive[::-1])
     return f @ w["o"][:hidden] + b[::-1] @ w["o"][hidden:] + w["ob"]
 
 
