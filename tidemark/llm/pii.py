@@ -139,37 +139,36 @@ def decode(es: list[np.ndarray], trans: np.ndarray) -> list[list[tuple[int, int,
     out: list[list[tuple[int, int, str]]] = [[] for _ in es]
     if not len(order) or not lengths[0]:
         return out
-    flat = np.concatenate([es[i] for i in order])
+    # Tags lie first so that texts are contiguous: "outside" and beginnings, which any tag may
+    # precede, then continuations, which only their type's two tags may. The way back is
+    # found from the kept scores, one tag a text, instead of from pointers for all tags.
+    turn = np.r_[0, 1 : len(TAGS) : 2, 2 : len(TAGS) : 2]
+    n_open = 1 + len(TYPES)
+    trans = trans[np.ix_(turn, turn)]
+    flat = np.ascontiguousarray(np.concatenate([es[i] for i in order]).T[turn])
     at = np.r_[0, np.cumsum(lengths)[:-1]]
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    # "Outside" and beginnings can be entered from any tag, a continuation from its type's two tags only.
-    opens = np.r_[0, 1 : len(TAGS) : 2]
-    goes_on = np.arange(2, len(TAGS), 2)
-    into = np.ascontiguousarray(trans[:, opens].T)
-    from_begin, from_inside = trans[goes_on - 1, goes_on], trans[goes_on, goes_on]
-    best = flat[at[: alive[0]]] + trans[0]
-    back = [None]
+    into = np.ascontiguousarray(trans[:, :n_open, None])
+    begun = trans[np.arange(1, n_open), np.arange(n_open, len(TAGS))][:, None]
+    inside = trans[np.arange(n_open, len(TAGS)), np.arange(n_open, len(TAGS))][:, None]
+    best = flat[:, at[: alive[0]]] + trans[0][:, None]
+    kept = [best]
     for t in range(1, int(lengths[0])):
         k = alive[t]
-        now = best[:k]
-        s = now[:, None, :] + into
-        came = np.empty((k, len(TAGS)), np.uint8)
-        came[:, opens] = s.argmax(axis=2)
-        b, i = now[:, goes_on - 1] + from_begin, now[:, goes_on] + from_inside
-        came[:, goes_on] = np.where(b >= i, goes_on - 1, goes_on)
-        back.append(came)
-        step = flat[at[:k] + t]
-        step[:, opens] += s.max(axis=2)
-        step[:, goes_on] += np.maximum(b, i)
-        best[:k] = step
-    path = np.zeros(len(flat), np.uint8)
-    tag = (best + trans[:, 0])[: alive[0]].argmax(axis=1)
-    now = tag.copy()
+        was = best[:, :k]
+        best = flat[:, at[:k] + t]
+        best[:n_open] += (was[:, None, :] + into).max(axis=0)
+        best[n_open:] += np.maximum(was[1:n_open] + begun, was[n_open:] + inside)
+        kept.append(best)
+    path = np.zeros(flat.shape[1], np.uint8)
+    now = np.zeros(len(order), np.int64)
     for t in range(int(lengths[0]) - 1, -1, -1):
-        k = alive[t]
-        path[at[:k] + t] = now[:k]
+        k, ends = alive[t], alive[t + 1] if t + 1 < len(alive) else 0
+        if ends < k:  # texts whose last sign this is
+            now[ends:k] = (kept[t][:, ends:k] + trans[:, :1]).argmax(axis=0)
+        path[at[:k] + t] = turn[now[:k]]
         if t:
-            now[:k] = back[t][np.arange(k), now[:k]]
+            now[:k] = (kept[t - 1][:, :k] + trans[:, now[:k]]).argmax(axis=0)
     begins = np.flatnonzero(path & 1)  # odd tags begin a span, even ones continue it
     text_of = np.searchsorted(at, begins, side="right") - 1
     for start, j in zip(begins.tolist(), text_of.tolist(), strict=True):
