@@ -25,7 +25,7 @@ def stream_replay_maturity(spark, d):
     made = spark.read.parquet(f"{base}/predictions").drop("batch")
     labels = spark.read.parquet(f"{base}/events").select("unit", F.col("event_index").alias("target_index"), F.col("value").alias("actual"))
     j = made.join(labels, ["unit", "target_index"], "left")
-    return j.select("unit", "origin", "target_index", F.round("point", 9).alias("point"), "actual", F.when(F.col("actual").isNull(), "NEVER_MATURED").otherwise("MATURED").alias("status"))
+    return j.select("unit", "origin", "target_index", (F.round("point", 9) + F.lit(0.0)).alias("point"), "actual", F.when(F.col("actual").isNull(), "NEVER_MATURED").otherwise("MATURED").alias("status"))
 
 
 QUERIES = {"stream_replay_maturity": stream_replay_maturity}
@@ -33,5 +33,5 @@ QUERIES = {"stream_replay_maturity": stream_replay_maturity}
 ORACLE = {
     "stream_replay_maturity": """with ev as (select user_id as unit, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value from events),
 w as (select unit, i, value, first_value(value) over (partition by unit order by i rows between 7 preceding and current row) as v0, least(i + 1, 8) as n, lead(value) over (partition by unit order by i) as actual from ev)
-select unit, i as origin, i + 1 as target_index, round(value + (value - v0) / (n - 1), 9) as point, actual, case when actual is null then 'NEVER_MATURED' else 'MATURED' end as status from w where i >= 3""",
+select unit, i as origin, i + 1 as target_index, round(value + (value - v0) / (n - 1), 9) + 0.0::double as point, actual, case when actual is null then 'NEVER_MATURED' else 'MATURED' end as status from w where i >= 3""",
 }
