@@ -73,6 +73,31 @@ def test_pool_keeps_large_corpora_bounded(monkeypatch):
     assert all(q["validation"][s] + q["test"][s] <= sizes[s] for s in sizes)
 
 
+def test_one_component_holds_a_third_of_all_rows():
+    sizes = {10_000_000: 1, 3: 6_666_667}
+    total = sum(s * n for s, n in sizes.items())
+    for took in C.quotas(sizes).values():
+        assert abs(sum(s * n for s, n in took.items()) - 0.15 * total) <= 1.5
+
+
+@pytest.mark.parametrize("bits", [1, 16, 64])
+def test_pooled_choice_is_closest(monkeypatch, bits):
+    monkeypatch.setattr(C, "POOL_BITS", bits)
+    r = random.Random(5)
+    for _ in range(300):
+        top = r.choice([6, 30])
+        sizes = {r.randint(1, top) * r.choice([1, 2, 6]): r.randint(1, 40) for _ in range(r.randint(1, 6))} | ({r.randint(200, 900): 1} if r.random() < 0.5 else {})
+        target = r.randint(0, sum(s * n for s, n in sizes.items()))
+        took = C.closest(sizes, target)
+        reach = 1
+        for s, n in sizes.items():
+            for _ in range(n):
+                reach |= reach << s
+        best = min(abs(x - target) for x in range(reach.bit_length()) if reach >> x & 1)
+        assert all(0 <= took[s] <= sizes[s] for s in sizes)
+        assert abs(sum(s * n for s, n in took.items()) - target) == best
+
+
 def test_groups_share_a_split_and_shares_are_met(rows):
     r = random.Random(4)
     units = [(f"u{i:04d}", r.randint(1, 5)) for i in range(400)] + [("big", 300), ("zero", None), (None, 7)]

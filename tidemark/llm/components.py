@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,34 +100,69 @@ def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     return took
 
 
+def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """As ``subset``, with bitsets over a pool where all sizes together exceed POOL_BITS.
+
+    A greedy choice in proportion comes within the largest size u of the target. Some
+    closest choice differs from it by at most 4u/g + 4 items, g being the common divisor of
+    the sizes: in a longer list of changes, put in an order that keeps partial sums near
+    zero, two partial sums are equal and the changes between them can be left out. Pools
+    around the greedy choice therefore grow until they hold that many items of each size,
+    or until the total is as near as any multiple of g can be.
+    """
+    if sum(s * n for s, n in sizes.items()) <= POOL_BITS:
+        return subset(sizes, target)
+    fits = {s: n for s, n in sizes.items() if s <= target}
+    total = sum(s * n for s, n in fits.items())
+    took = dict.fromkeys(sizes, 0)
+    if total <= target:
+        took |= fits
+    else:
+        start = {s: n * target // total for s, n in fits.items()}
+        missing = target - sum(s * n for s, n in start.items())
+        for s in sorted(fits, reverse=True):
+            more = min(fits[s] - start[s], missing // s)
+            start[s] += more
+            missing -= s * more
+        g = gcd(*fits)
+        least, enough = min(target % g, -target % g), 4 * max(fits) // g + 4
+        bits, classes = max(1, POOL_BITS // 64), 64
+        while True:
+            near = sorted(fits)[:classes]
+            reach = {s: min(enough, bits // (2 * s * len(near))) for s in near}
+            low = {s: max(0, n - reach.get(s, 0)) for s, n in start.items()}
+            pool = {s: min(n, start[s] + reach.get(s, 0)) - low[s] for s, n in fits.items()}
+            chosen = subset({s: n for s, n in pool.items() if n}, target - sum(s * n for s, n in low.items()))
+            took |= {s: n + chosen.get(s, 0) for s, n in low.items()}
+            off = abs(sum(s * n for s, n in took.items()) - target)
+            if off == least or all(pool[s] == n or reach.get(s, 0) == enough for s, n in fits.items()):
+                break
+            bits, classes = bits * 4, classes * 4
+    # a component above the target is closest alone or not at all
+    above = min((s for s, n in sizes.items() if s > target and n), default=None)
+    if above is not None and above - target < abs(sum(s * n for s, n in took.items()) - target):
+        took = dict.fromkeys(sizes, 0) | {above: 1}
+    return took
+
+
 def quotas(sizes: dict[int, int], shares: tuple[tuple[str, float], ...] = SPLITS) -> dict[str, dict[int, int]]:
     """For each split but the first, how many components of each size it gets.
 
-    Where all sizes together exceed POOL_BITS, all but a bounded pool of each size is first
-    shared out in proportion; the bitsets then choose among the pool.
+    Each split in turn comes as close to its share of all rows as what is left allows,
+    whatever the sizes; components too large for a split stay out of its proportions.
     """
     total = sum(s * n for s, n in sizes.items())
     left = {s: n for s, n in sizes.items() if s > 0}
-    given = {name: dict.fromkeys(left, 0) for name, _ in shares[1:]}
-    if total > POOL_BITS:
-        pool = {s: max(4, POOL_BITS // (s * len(left))) for s in left}
-        for name, share in shares[1:]:
-            for s, n in sizes.items():
-                if s > 0 and n > pool[s]:
-                    given[name][s] = int(share * (n - pool[s]))
-        for s in left:
-            bulk = sum(g[s] for g in given.values()) + (int(shares[0][1] * (sizes[s] - pool[s])) if sizes[s] > pool[s] else 0)
-            left[s] -= bulk
+    given = {}
     for name, share in shares[1:]:
-        want = max(0, round(share * total) - sum(s * n for s, n in given[name].items()))
-        for s, n in subset(left, want).items():
-            given[name][s] += n
+        given[name] = closest(left, round(share * total))
+        for s, n in given[name].items():
             left[s] -= n
     return given
 
 
 def split_units(weights: DataFrame, groups: DataFrame, shares: tuple[tuple[str, float], ...] = SPLITS) -> DataFrame:
-    """``unit, group_key, split``: units of one group share a split, split totals are closest to ``shares``.
+    """``unit, group_key, split``: units of one group share a split, split totals are in turn closest to ``shares``.
 
     ``weights`` has ``unit, n`` (rows that count towards the shares, null as 0), ``groups``
     is a result of ``components``; a unit without a group is its own. Only the number of
