@@ -95,6 +95,29 @@ def test_shingle_and_winnow_plans_equal_naive(rows):
     assert got == sorted(want)
 
 
+PRINTS = "digest string, grp long, pos long"
+
+
+def test_fingerprint_pairs_have_no_cap(rows):
+    hot = [("x", 1, i) for i in range(1500)] + [("x", 2, 7)]
+    assert {tuple(x) for x in O.fingerprint_pairs(rows(hot, PRINTS)).collect()} == {("x", 1, i, 2, 7) for i in range(1500)}
+    many = [("x", g, i) for g in (1, 2) for i in range(1100)]
+    assert O.fingerprint_pairs(rows(many, PRINTS)).distinct().count() == 1100 * 1100
+    assert O.fingerprint_pairs(rows(hot, PRINTS), 1500).count() == 1500  # pairs inside a group are none
+    with pytest.raises(ValueError, match="1500 pairs"):
+        O.fingerprint_pairs(rows(hot, PRINTS), 1499)
+
+
+@pytest.mark.parametrize("pool", [2, 1024])
+def test_fingerprint_pairs_equal_naive(rows, monkeypatch, pool):
+    monkeypatch.setattr(O, "POOL", pool)
+    r = random.Random(8)
+    data = [(r.choice("aaab"), r.randint(1, 9), r.randint(0, 15)) for _ in range(150)] + [("c", 1, i) for i in range(5)] + [(None, 1, 1), (None, 2, 1), ("a", None, 1), ("a", 3, None)]
+    want = {(x[0], x[1], x[2], y[1], y[2]) for x in data for y in data if x[0] and x[0] == y[0] and x[1] and y[1] and x[1] < y[1]}
+    got = [tuple(x) for x in O.fingerprint_pairs(rows(data + data[:20], PRINTS)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_near_duplicates_find_every_planted_pair(rows):
     r = np.random.default_rng(0)
     base = r.normal(0, 1, (40, 64))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE, WINNOW = 8, 25
+POOL = 1024
 
 
 def canonical_token(status: Column, time_us: Column, *measures: Column) -> Column:
@@ -35,22 +36,37 @@ def winnow(digests: DataFrame, window: int = WINNOW) -> DataFrame:
     return d.select("grp", (-F.col("_m.neg")).alias("pos"), F.col("_m.digest").alias("digest")).distinct()
 
 
-def fingerprint_pairs(prints: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """All pairs of equal fingerprints in two groups; more than ``most`` are an error, never cut.
+def fingerprint_pairs(prints: DataFrame, most: int | None = None) -> DataFrame:
+    """All pairs of equal fingerprints in two groups, however many there are.
 
-    How many pairs there would be is summed from the digests' counts before any are made.
-    Fingerprints are made unique first and digests of a single group are dropped before the
-    self-join by a map-side aggregate, so only shared digests are shuffled twice.
+    Fingerprints are made unique first and digests of a single group are dropped by a
+    map-side aggregate. Groups that share a digest are paired first (each such pair is in
+    the result, so salting the groups of a frequent digest costs less than its pairs);
+    their places follow in pools of about POOL, and pools are spread before they are laid
+    out, so no digest or group is one task. With ``most``, more pairs than that are an
+    error; they are counted before any are made.
     """
     p = prints.select("digest", "grp", "pos").distinct()
     shared = p.groupBy("digest").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).filter("a < z").select("digest")
     p = p.join(shared, "digest", "left_semi")
-    n = F.col("count")
-    due = p.groupBy("digest").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
-    if due > most:
-        raise ValueError(f"up to {due:.0f} pairs; the budget is {most}")
-    a, b = p.select("digest", F.col("grp").alias("grp_a"), F.col("pos").alias("pos_a")), p.select("digest", F.col("grp").alias("grp_b"), F.col("pos").alias("pos_b"))
-    return a.join(b, "digest").filter("grp_a < grp_b")
+    groups = p.filter("grp is not null").groupBy("digest", "grp").agg(F.count("*").alias("n"))
+    if most is not None:
+        n = F.col("n").cast("decimal(38,0)")
+        per = groups.groupBy("digest").agg(((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("pairs"))
+        due = per.agg(F.sum("pairs")).first()[0] or 0
+        if due > most:
+            raise ValueError(f"{due:.0f} pairs; the budget is {most}")
+    salts = groups.groupBy("digest").agg(F.ceil(F.count("*") / F.lit(POOL)).cast("int").alias("salts"))
+    groups = groups.join(salts, "digest")
+    a = groups.select("digest", F.col("grp").alias("grp_a"), F.pmod(F.xxhash64("grp"), "salts").cast("int").alias("salt"))
+    b = groups.select("digest", F.col("grp").alias("grp_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = a.join(b, ["digest", "salt"]).filter("grp_a < grp_b").drop("salt")
+    chunk = F.pmod(F.xxhash64("pos"), F.ceil(F.col("n") / F.lit(POOL)))
+    pools = p.join(groups.select("digest", "grp", "n"), ["digest", "grp"]).groupBy("digest", "grp", chunk.alias("chunk")).agg(F.collect_list(F.struct("pos")).alias("places"))
+    side = lambda s: pools.select("digest", F.col("grp").alias(f"grp_{s}"), F.col("chunk").alias(f"chunk_{s}"), F.col("places").alias(f"places_{s}"))
+    cells = pairs.join(side("a"), ["digest", "grp_a"]).join(side("b"), ["digest", "grp_b"]).repartition("digest", "grp_a", "chunk_a", "grp_b", "chunk_b")
+    laid = cells.withColumn("at_a", F.explode("places_a")).withColumn("at_b", F.explode("places_b"))
+    return laid.select("digest", "grp_a", F.col("at_a.pos").alias("pos_a"), "grp_b", F.col("at_b.pos").alias("pos_b"))
 
 
 def confirmed_spans(tokens: DataFrame, pairs: DataFrame, least: int = 32, reach: int = 24, k: int = SHINGLE) -> DataFrame:
