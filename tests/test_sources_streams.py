@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == pytest.approx(want)
 
 
+@pytest.fixture()
+def small_frames(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_unit_in_many_frames_is_put_in_order(spark, tmp_path, small_frames):
+    df = spark.createDataFrame([(u, i, float(i * i % 17)) for u in (1, 2) for i in range(9000 if u == 1 else 5)], "unit long, event_index long, value double").withColumn("at", F.timestamp_seconds(F.col("event_index") * 60))
+    df.orderBy(F.desc("event_index")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = {(r["unit"], r["origin"]): r["point"] for r in run(spark, replay.forecasts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "f2")}
+    assert got == pytest.approx({(r["unit"], r["origin"]): r["point"] for r in replay.batch_forecasts(df).collect()})
+    r = df.select(F.col("unit").alias("grp"), F.col("event_index").alias("seq"), F.col("event_index").alias("record_number"))
+    r.orderBy(F.desc("seq")).coalesce(1).write.parquet(str(tmp_path / "r"))
+    got = run(spark, replay.running_counters(spark.readStream.schema(r.schema).parquet(str(tmp_path / "r"))), "c2", "update")
+    assert sorted(map(tuple, got)) == [(1, 9000, 0, 0, 0), (2, 5, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("held", [1, 10, 1000])
+def test_rows_of_many_frames_in_order(held):
+    r = np.random.default_rng(0)
+    frames = [pd.DataFrame({"i": r.integers(0, 50, n), "k": k}) for k, n in enumerate((9, 0, 30, 1, 25))]
+    got = [tuple(x) for x in replay.in_order(iter(frames), "i", held, 4)]
+    assert got == sorted((tuple(x) for f in frames for x in f.itertuples(index=False)), key=lambda x: x[0])
+    assert list(replay.in_order(iter([]), "i")) == []
+
+
 def test_labels_mature_or_never(spark, tmp_path):
     df = spark.createDataFrame([(1, i, f"2025-01-{i + 1:02d} 00:00:00", float(i)) for i in range(28)], "unit long, event_index long, at string, value double").withColumn("at", F.to_timestamp("at"))
     df.write.parquet(str(tmp_path / "in"))

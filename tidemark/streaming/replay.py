@@ -9,7 +9,11 @@ and its checkpoint committed before the next is read, which is the commit barrie
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,30 +22,66 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PREDICTIONS = "unit long, origin long, target_index long, made_at timestamp, point double"
 STATE = "next_index long, last_values array<double>"
+HELD, CHUNK = 1 << 20, 4096
+
+
+def in_order(frames: Iterator[pd.DataFrame], by: str, held: int = HELD, chunk: int = CHUNK) -> Iterator[tuple]:
+    """Rows of all frames of a group, in order of ``by``; equal ones as they came.
+
+    A large group comes in many frames with no order among them. Beyond ``held`` rows,
+    sorted runs lie in a local file and are merged, so a group of any size fits.
+    """
+
+    def run(part: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(part, ignore_index=True).sort_values(by, kind="stable")
+
+    def read(spots: list[int]) -> Iterator[tuple]:
+        for at in spots:
+            file.seek(at)
+            yield from pickle.load(file).itertuples(index=False)
+
+    with tempfile.TemporaryFile() as file:
+        runs, part, n = [], [], 0
+        for f in frames:
+            part.append(f)
+            n += len(f)
+            if n >= held:
+                whole, spots = run(part), []
+                for k in range(0, n, chunk):
+                    spots.append(file.tell())
+                    pickle.dump(whole.iloc[k : k + chunk], file)
+                runs.append(spots)
+                part, n = [], 0
+        rest = run(part).itertuples(index=False) if n else iter(())
+        yield from heapq.merge(*map(read, runs), rest, key=attrgetter(by)) if runs else rest
 
 
 def forecasts(events: DataFrame, horizon: int = 1, context: int = 4, kept: int = 8) -> DataFrame:
     """Drift forecasts of a stream ``unit, event_index, at, value`` from the last ``kept`` values of each unit.
 
-    An event older than what the unit has revealed is late and changes nothing: what was
-    forecast stays as committed.
+    A unit's events of one micro-batch are put in order first. An event older than what the
+    unit revealed in earlier ones is late and changes nothing: what was forecast stays as
+    committed.
     """
+    columns = ["unit", "origin", "target_index", "made_at", "point"]
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         upto, values = state.get if state.exists else (0, [])
         values = list(values)
         out = []
-        for f in frames:
-            for r in f.sort_values("event_index").itertuples(index=False):
-                if r.event_index < upto:
-                    continue
-                values = [*values, r.value][-kept:]
-                upto = r.event_index + 1
-                if upto >= context:
-                    drift = (values[-1] - values[0]) / (len(values) - 1) if len(values) > 1 else 0.0
-                    out.append((key[0], r.event_index, r.event_index + horizon, r.at, values[-1] + horizon * drift))
+        for r in in_order(frames, "event_index"):
+            if r.event_index < upto:
+                continue
+            values = [*values, r.value][-kept:]
+            upto = r.event_index + 1
+            if upto >= context:
+                drift = (values[-1] - values[0]) / (len(values) - 1) if len(values) > 1 else 0.0
+                out.append((key[0], r.event_index, r.event_index + horizon, r.at, values[-1] + horizon * drift))
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         state.update((upto, values))
-        yield pd.DataFrame(out, columns=["unit", "origin", "target_index", "made_at", "point"])
+        yield pd.DataFrame(out, columns=columns)
 
     return events.groupBy("unit").applyInPandasWithState(step, PREDICTIONS, STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -76,16 +116,19 @@ def commit_batches(stream: DataFrame, path: str, checkpoint: str):
 
 
 def running_counters(records: DataFrame) -> DataFrame:
-    """Order counters of record streams per group with O(1) state: rows, repeats, reversals, gaps of record numbers."""
+    """Order counters of record streams per group with O(1) state: rows, repeats, reversals, gaps of record numbers.
+
+    A group's records of one micro-batch are put in order of ``seq`` first.
+    """
     schema = "grp long, n_rows long, repeats long, reversals long, gaps long"
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, repeats, reversals, gaps, last = state.get if state.exists else (0, 0, 0, 0, None)
-        for f in frames:
-            for x in f.sort_values("seq")["record_number"]:
-                if last is not None:
-                    repeats, reversals, gaps = repeats + (x == last), reversals + (x < last), gaps + (x > last + 1)
-                last, n = int(x), n + 1
+        for r in in_order(frames, "seq"):
+            x = r.record_number
+            if last is not None:
+                repeats, reversals, gaps = repeats + (x == last), reversals + (x < last), gaps + (x > last + 1)
+            last, n = int(x), n + 1
         state.update((int(n), int(repeats), int(reversals), int(gaps), last))
         yield pd.DataFrame([(key[0], n, repeats, reversals, gaps)], columns=["grp", "n_rows", "repeats", "reversals", "gaps"])
 
