@@ -62,6 +62,38 @@ def test_long_series_equals_one_block(rows, monkeypatch):
     assert len(whole) == 19
 
 
+def test_scatter_is_the_unit_s_in_every_block(rows, monkeypatch):
+    r = np.random.default_rng(7)
+    v = np.r_[r.normal(10, 0.1, 2048), r.normal(10, 0.001, 512), r.normal(10, 0.1, 512), r.normal(10, 1.0, 512)]
+    v[2300] += 0.5  # ordinary by the unit's scatter, not by its stretch's
+    v[3400] = v[[3399, 3401]].max() + 1.6  # a spike by the unit's scatter, not by its stretch's
+    v[3399] = v[3401]
+    v[1020:1030] = v[1020]
+    whole = flags(rows, series(v.tolist()))
+    monkeypatch.setattr(A, "BLOCK", 512)
+    monkeypatch.setattr(A, "MARGIN", 64)
+    assert flags(rows, series(v.tolist())) == whole
+    assert (3400, "spike") in whole and not any(2048 <= i < 2560 for i, _ in whole)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 6])
+def test_scatters_equal_whole_series(rows, monkeypatch, digits):
+    monkeypatch.setattr(A, "BLOCK", 64)
+    monkeypatch.setattr(A, "MARGIN", 32)
+    told = []
+    keep = A.scatters
+    monkeypatch.setattr(A, "scatters", lambda steps: told.append(keep(steps)) or told[-1])
+    r = np.random.default_rng(8)
+    v = np.round(r.normal(10, 0.3, 701), digits)
+    v[100:130], v[300], v[400:520] = v[100], 5000.0, v[400]
+    w = np.full(200, 3.0) + np.where(np.arange(200) % 50 == 7, 0.5, 0.0)
+    flags(rows, series(v.tolist()) + series(w.tolist(), unit="w", start=2000))
+    got = {x["unit"]: x["s0"] for x in told[0].collect()}
+    want = {k: A.scatter(x[A.calm_readings(x, *A.BOUNDS["capacity_loss_pct"])]) for k, x in (("u", v), ("w", w))}
+    assert {k: np.nan if x is None else x for k, x in got.items()} == pytest.approx({k: x for k, x in want.items() if k in got}, nan_ok=True)
+    assert all(np.isnan(want[k]) for k in want.keys() - got.keys())
+
+
 def test_empty_short_and_null_series(rows):
     assert flags(rows, []) == set()
     assert flags(rows, series([None, None])) == set()

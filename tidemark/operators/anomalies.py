@@ -12,8 +12,9 @@ reported once the definition holds for it:
   before and after them by more than ``SPIKE_SCATTERS`` scatters, while those agree.
 
 Series are cut into blocks of ``BLOCK`` event indexes with margins of ``MARGIN``; the model
-forgets faster than that. Scatter is taken per block: the whole series for all but very
-long ones. Series of fewer than three readings have no scatter and hence no spikes.
+forgets faster than that. Scatter is taken over the whole series: in place where a unit lies
+in one block, else beforehand from all its blocks. Series of fewer than three readings have
+no scatter and hence no spikes.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tidemark.operators.readings import MEASURES, TABLES, in_blocks, readings
-from tidemark.runtime import whole_groups
+from tidemark.runtime import cut, whole_groups
 
 #: Physical bounds of each measure.
 BOUNDS = {
@@ -46,6 +48,9 @@ START = np.array([0.96, 0.015, 0.015, 0.01])
 MOVES = np.array([[0.975, 0.012, 0.008, 0.005], [0.55, 0.43, 0.01, 0.01], [0.06, 0.01, 0.92, 0.01], [0.60, 0.02, 0.02, 0.36]])
 CANDIDATE = 0.01
 _SCHEMA = "tab int, row_key long, measure int, kind string, p_fault double"
+_STEPS = "tab int, unit string, measure int, block long, d double, n long, first double, last double"
+_SERIES = ["tab", "unit", "measure"]
+FIRST = -(1 << 63)  # place of the row that brings a block its unit's scatters
 
 
 def equal_runs(v: np.ndarray) -> np.ndarray:
@@ -68,15 +73,23 @@ def scatter(v: np.ndarray) -> float:
     return float(np.median(rest) * min(1.0, 2 * len(rest) / len(d))) if len(rest) else np.nan
 
 
-def emissions(v: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Likelihoods (n, 4) of one series, its signed distances from the local median in deviations, its scatter."""
+def calm_readings(v: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Whether each reading is within bounds and not stuck."""
+    return np.isfinite(v) & (v >= low) & (v <= high) & (equal_runs(v) < STUCK_RUN)
+
+
+def emissions(v: np.ndarray, low: float, high: float, s: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Likelihoods (n, 4) of one series, its signed distances from the local median in deviations, its scatter.
+
+    ``s`` is the scatter if the readings are only part of the series.
+    """
     n = len(v)
     hard = ~(np.isfinite(v) & (v >= low) & (v <= high))
     runs = equal_runs(v)
-    calm = ~hard & (runs < STUCK_RUN)
+    calm = calm_readings(v, low, high)
     x = np.zeros(n)
-    s = scatter(v[calm])
-    if s > 0:
+    s = scatter(v[calm]) if s is None else s
+    if s > 0 and calm.any():
         w = v[calm]
         half = min(MEDIAN_OF // 2, max(0, (len(w) - 1) // 2))
         around = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(w, half, mode="reflect"), 2 * half + 1), axis=1)
@@ -178,21 +191,74 @@ def _spikes(w: np.ndarray, maybe: np.ndarray, s: float) -> np.ndarray:
     return hit
 
 
-def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_series(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple]]]:
+    """Frames of whole blocks, each with ``measure, rows, values, scatter`` of every series that has core readings."""
     for frame in whole_groups(batches, ["tab", "unit", "block"], 60_000):
         frame = frame[~frame.duplicated(["tab", "unit", "block", "ev", "row_key"])]
         group = frame.groupby(["tab", "unit", "block"], sort=False).ngroup().to_numpy()
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-        tab, key, core = (frame[c].to_numpy() for c in ("tab", "row_key", "core"))
+        tab, core = (frame[c].to_numpy() for c in ("tab", "core"))
         values = [frame[f"m{i}"].to_numpy() for i in range(3)]
         jobs = []
         for a, z in zip(edges[:-1], edges[1:], strict=True):
-            for i, name in enumerate(MEASURES[TABLES[tab[a]]]):
-                rows = a + np.flatnonzero(~np.isnan(values[i][a:z]))
+            told = core[a] == 2
+            for i in range(len(MEASURES[TABLES[tab[a]]])):
+                rows = a + told + np.flatnonzero(~np.isnan(values[i][a + told : z]))
                 if len(rows) and core[rows].any():
-                    low, high = BOUNDS[name]
-                    v = values[i][rows]
-                    jobs.append((i, rows, v, low, high, *emissions(v, low, high)))
+                    jobs.append((i, rows, values[i][rows], float(values[i][a]) if told else None))
+        yield frame, jobs
+
+
+def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each absolute difference of successive calm readings occurs in a block, and its first and last one."""
+    for frame, jobs in _block_series(batches):
+        tab, unit, block, core = (frame[c].to_numpy() for c in ("tab", "unit", "block", "core"))
+        parts = []
+        for i, rows, v, _ in jobs:
+            w = v[calm_readings(v, *BOUNDS[MEASURES[TABLES[tab[rows[0]]]][i]]) & (core[rows] == 1)]
+            if len(w):
+                d, n = np.unique(np.abs(np.diff(w)), return_counts=True)
+                at = {"tab": tab[rows[0]], "unit": unit[rows[0]], "measure": i, "block": block[rows[0]]}
+                parts.append(pd.DataFrame({**at, "d": np.r_[d, np.nan], "n": np.r_[n, 0], "first": w[0], "last": w[-1]}))
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+
+def scatters(steps: DataFrame) -> DataFrame:
+    """``tab, unit, s0, s1, s2``: ``scatter`` of whole series from the ``_steps`` of their blocks.
+
+    The middle differences are looked up in logarithmic bins first and then in the one or
+    two bins that hold them, so no series is sorted by one task.
+    """
+    follow = Window.partitionBy(*_SERIES).orderBy("block")
+    ends = steps.filter("n = 0").withColumn("d", F.abs(F.col("first") - F.lag("last").over(follow))).withColumn("n", F.lit(1).cast("long"))
+    d = steps.filter("n > 0").unionByName(ends.filter("d is not null")).groupBy(*_SERIES, "d").agg(F.sum("n").alias("n"))
+    d = cut(d.withColumn("bin", F.when(F.col("d") > 0, F.floor(F.ln("d") * 100)).otherwise(F.lit(-(1 << 40)))))
+    upto = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    whole = Window.partitionBy(*_SERIES)
+    bins = d.groupBy(*_SERIES, "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("d") == 0, F.col("n")).otherwise(0)).alias("zero"))
+    bins = bins.withColumns({"total": F.sum("n").over(whole), "zeros": F.sum("zero").over(whole), "before": upto(whole.orderBy("bin")) - F.col("n")})
+    rest, flat = F.col("total") - F.col("zeros"), F.floor(F.col("total") / 2) < F.col("zeros")
+    bins = bins.withColumns(
+        {
+            "lo": F.when(flat, F.col("zeros") + F.floor((rest - 1) / 2)).otherwise(F.floor((F.col("total") - 1) / 2)), "hi": F.when(flat, F.col("zeros") + F.floor(rest / 2)).otherwise(F.floor(F.col("total") / 2)),
+            "part": F.when(flat, F.least(F.lit(1.0), 2 * rest / F.col("total"))).otherwise(1.0),
+        }
+    ).filter(rest > 0)
+    within = lambda r: (F.col("before") <= F.col(r)) & (F.col(r) < F.col("before") + F.col("n"))
+    near = d.join(bins.filter(within("lo") | within("hi")).select(*_SERIES, "bin", "lo", "hi", "part", F.col("before").alias("base")), [*_SERIES, "bin"])
+    near = near.withColumn("before", F.col("base") + upto(Window.partitionBy(*_SERIES, "bin").orderBy("d")) - F.col("n"))
+    s = near.groupBy(*_SERIES).agg(((F.max(F.when(within("lo"), F.col("d"))) + F.max(F.when(within("hi"), F.col("d")))) / 2 * F.max("part")).alias("s"))
+    return s.groupBy("tab", "unit").agg(*[F.max(F.when(F.col("measure") == i, F.col("s"))).alias(f"s{i}") for i in range(3)])
+
+
+def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame, found in _block_series(batches):
+        tab, key, core = (frame[c].to_numpy() for c in ("tab", "row_key", "core"))
+        jobs = []
+        for i, rows, v, told in found:
+            low, high = BOUNDS[MEASURES[TABLES[tab[rows[0]]]][i]]
+            jobs.append((i, rows, v, low, high, *emissions(v, low, high, told)))
         parts = []
         for post, (i, rows, v, low, high, _, x, s) in zip(posteriors([j[5] for j in jobs]), jobs, strict=True):
             state = confirmed(v, post, x, s, low, high)
@@ -208,16 +274,25 @@ def faulty_readings(rows: DataFrame) -> DataFrame:
 
     Null and flagged values are no readings. Repeated rows count once; readings with equal
     event index follow each other by row key. Rows without an event index have no place in
-    their series and are left out. An empty input gives an empty result.
+    their series and are left out. Blocks of units that lie in several get their unit's
+    scatters in a row of their own. An empty input gives an empty result.
     """
-    blocks = in_blocks(rows.filter("ev is not null").select("tab", "unit", "row_key", "ev", "m0", "m1", "m2"), "ev", BLOCK, MARGIN)
-    return blocks.repartition("tab", "unit", "block").sortWithinPartitions("tab", "unit", "block", "ev", "row_key").mapInPandas(_flag, _SCHEMA)
+    laid = lambda df: df.repartition("tab", "unit", "block").sortWithinPartitions("tab", "unit", "block", "ev", "row_key")
+    placed = rows.filter("ev is not null").select("tab", "unit", "row_key", "ev", "m0", "m1", "m2")
+    blocks = in_blocks(placed, "ev", BLOCK, MARGIN)
+    own = placed.select("tab", "unit", F.floor(F.col("ev") / BLOCK).cast("long").alias("block")).distinct()
+    long = cut(own.groupBy("tab", "unit").agg(F.min("block").alias("a"), F.max("block").alias("z")).filter("a < z").select("tab", "unit"))
+    if long.isEmpty():
+        return laid(blocks).mapInPandas(_flag, _SCHEMA)
+    s = scatters(cut(laid(blocks.join(long, ["tab", "unit"], "left_semi")).mapInPandas(_steps, _STEPS)))
+    none = F.lit(float("nan"))
+    told = own.join(long, ["tab", "unit"], "left_semi").join(s, ["tab", "unit"], "left")
+    told = told.select("tab", "unit", F.lit(0).cast("long").alias("row_key"), F.lit(FIRST).alias("ev"), *[F.coalesce(f"s{i}", none).alias(f"m{i}") for i in range(3)], "block", F.lit(2).alias("core"))
+    return laid(blocks.unionByName(told)).mapInPandas(_flag, _SCHEMA)
 
 
 def named(df: DataFrame) -> DataFrame:
     """Codes of table and measure replaced by their names."""
-    from pyspark.sql import functions as F
-
     names = F.create_map(*[F.lit(x) for i, t in enumerate(TABLES) for j, m in enumerate(MEASURES[t]) for x in (10 * i + j, m)])
     tables = F.array(*map(F.lit, TABLES))
     return df.withColumn("measure_name", names[F.col("tab") * 10 + F.col("measure")]).withColumn("table_name", tables[F.col("tab")]).drop("tab", "measure")
