@@ -53,6 +53,26 @@ def test_reading_of_words():
     assert L.words("Cu​t­off ｆｕｌｌ Straße_x 5²") == ["cutoff", "full", "straße", "x", "52"]
 
 
+def test_decimals_are_one_slot(rows):
+    item = "the cell fell from 38.5 to 38.9 volts after 29.7 hours, then the gauge rose by 4 percent in the next run"
+    docs = {
+        1: item.replace("38.5", "40.1").replace("38.9", "41.3"),  # two decimals share a part
+        2: item.replace("29.7", "30"),
+        3: item.replace("by 4 percent", "by 4,5 percent").replace("29.7", "31"),
+        4: item.replace("38.5", "40.1").replace("38.9", "40.1"),  # still one value for each
+        5: "x 1.5 " + item,
+        6: "nothing of it",
+    }
+    t = lambda d, kind: rows([(i, x, 1, 2, "x") if kind == DOCS else (i, x, 0) for i, x in d.items()], kind)
+    got = {r["doc_id"]: r for r in L.leak_counts(t(docs, DOCS), t({1: item}, ITEMS), rows([("Anna", "Berg")], ROSTER)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert all(got[i]["n_reparameterised"] > 0 and got[i]["first_word"] == 0 for i in (1, 2, 3, 4))
+    assert (got[5]["n_reparameterised"], got[5]["first_word"]) == (0, 3)
+    twice = "the cell fell from 38.5 to 38.5 volts after 29.7 hours, then the gauge rose"
+    odd = {1: twice.replace("38.5", "40.1", 1).replace("38.5", "41.3").replace("29.7", "30")}
+    assert L.leak_counts(t(odd, DOCS), t({1: twice}, ITEMS), rows([("Anna", "Berg")], ROSTER)).count() == 0
+
+
 def test_changed_slots_are_reported_apart(rows):
     item = "Anna measured 5 volts at cell 5 and then 9 hours later the gauge fell by 5 percent"
     swapped = "Kemal measured 7 volts at cell 7 and then 2 hours later the gauge fell by 7 percent"

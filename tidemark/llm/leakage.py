@@ -5,7 +5,8 @@ twelve placeholder words (shorter items: all their words) are hashed and joined
 items and documents. A placeholder depends on its word alone, so equal words always have
 equal templates and no verbatim passage is lost. The slots of a joined window then decide:
 equal words are a verbatim leak; words that differ in slots only, with every item value
-replaced by one value throughout, are a re-parameterised one.
+replaced by one value throughout, are a re-parameterised one. For these, texts are also
+read with each decimal as one word, so that 29.7 can stand for 30.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -34,14 +36,23 @@ UNITS = [
     "minutes", "mm", "mohm", "ms", "mv", "mw", "mwh", "nf", "ohm", "ohms", "pct", "percent", "pf", "s", "second", "seconds", "uf", "v", "volt", "volts", "w", "watt", "wh", "µf", "μf",
 ]
 _WORD = re.compile(r"[^\W_]+")
+_SLOT = re.compile(r"(?<![^\W_])\d+[.,]\d+(?![^\W_])|[^\W_]+")
 _MATCH = "doc_id long, h long, n int, pos int, words array<string>"
 
 
-def words(text: str) -> list[str]:
-    """Maximal runs of letters or digits after NFKC, without U+200B and U+00AD, in lower case."""
+def words(text: str, decimals: bool = False) -> list[str]:
+    """Maximal runs of letters or digits after NFKC, without U+200B and U+00AD, in lower case.
+
+    With ``decimals``, two numbers with a decimal sign between them are one word.
+    """
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).replace("\u200b", "").replace("\u00ad", "")
-    return _WORD.findall(text.lower())
+    return (_SLOT if decimals else _WORD).findall(text.lower())
+
+
+def _number(word: str) -> bool:
+    """Digits, or a decimal: words are letters and digits else."""
+    return word.isdigit() or not word.isalnum()
 
 
 class Templates:
@@ -51,7 +62,7 @@ class Templates:
         known = {n: self._hash("<name>") for n in names} | {u: self._hash("<unit>") for u in UNITS}
         self.number = self._hash("<number>")
         self.closed = vocabulary is not None
-        self.table = {w: known.get(w) or (self.number if w.isdigit() else self._hash(w)) for w in vocabulary or []} | known
+        self.table = {w: known.get(w) or (self.number if _number(w) else self._hash(w)) for w in vocabulary or []} | known
 
     @staticmethod
     def _hash(word: str) -> int:
@@ -60,11 +71,11 @@ class Templates:
     def of(self, ws: list[str]) -> np.ndarray:
         get, number = self.table.get, self.number
         if self.closed:
-            return np.array([get(w) or (number if w.isdigit() else 0) for w in ws], np.uint64)
-        return np.array([get(w) or (number if w.isdigit() else self._hash(w)) for w in ws], np.uint64)
+            return np.array([get(w) or (number if _number(w) else 0) for w in ws], np.uint64)
+        return np.array([get(w) or (number if _number(w) else self._hash(w)) for w in ws], np.uint64)
 
 
-def item_windows(items: DataFrame, names: list[str]) -> DataFrame:
+def item_windows(items: DataFrame, names: list[str], decimals: bool = False) -> DataFrame:
     """``item_id, h, n, words``: every window of every item; items without words have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +83,7 @@ def item_windows(items: DataFrame, names: list[str]) -> DataFrame:
         for b in batches:
             out = []
             for item, text in zip(b["item_id"], b["item_text"], strict=True):
-                ws = words(text) if isinstance(text, str) else []
+                ws = words(text, decimals) if isinstance(text, str) else []
                 if ws and item == item:
                     n = min(WINDOW, len(ws))
                     h = rolling(templates.of(ws), n, BASE).view(np.int64)
@@ -82,8 +93,8 @@ def item_windows(items: DataFrame, names: list[str]) -> DataFrame:
     return items.select("item_id", "item_text").mapInPandas(run, "item_id long, h long, n int, words array<string>").distinct()
 
 
-def document_windows(docs: DataFrame, names: list[str], sizes: list[int], vocabulary: list[str] | None, wanted: dict[int, np.ndarray] | None) -> DataFrame:
-    """``doc_id, h, n, pos, words`` of document windows; only ``wanted`` hashes per size, if given."""
+def document_windows(docs: DataFrame, names: list[str], sizes: list[int], vocabulary: list[str] | None, wanted: dict[int, np.ndarray] | None, decimals: bool = False) -> DataFrame:
+    """``doc_id, h, n, pos, words`` of document windows; only ``wanted`` hashes per size, if given. ``pos`` counts a decimal as two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates(names, vocabulary)
@@ -91,7 +102,7 @@ def document_windows(docs: DataFrame, names: list[str], sizes: list[int], vocabu
             ids, lists = [], []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 if isinstance(text, str):
-                    ws = words(text)
+                    ws = words(text, decimals)
                     if ws:
                         ids.append(doc)
                         lists.append(ws)
@@ -115,25 +126,27 @@ def document_windows(docs: DataFrame, names: list[str], sizes: list[int], vocabu
                     hit = wanted[n][k] == h
                     at, h = at[hit], h[hit]
                 d = np.searchsorted(starts, at, side="right") - 1
+                places = {i: [0, *accumulate(1 + (not w.isalnum()) for w in lists[i])] for i in set(d.tolist())} if decimals else None
                 for i, p, x in zip(d.tolist(), (at - starts[d]).tolist(), h.tolist(), strict=True):
-                    out.append((ids[i], x, n, p, lists[i][p : p + n]))
+                    out.append((ids[i], x, n, places[i][p] if places else p, lists[i][p : p + n]))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "h", "n", "pos", "words"])
 
     return docs.select("doc_id", "text").mapInPandas(run, _MATCH)
 
 
-def leaks(docs: DataFrame, items: DataFrame, roster: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, roster: DataFrame, decimals: bool = False) -> DataFrame:
     """``doc_id, item_id, pos, n, verbatim, consistent``: every joined window with its slot check.
 
     Null and blank texts match nothing. Repeated rows give repeated windows. Up to
     WINDOW_LIMIT item windows their hashes go along with the tasks and thin the document
     windows before the join; beyond, all document windows are shuffled to the join. The
-    names of the roster go along in any case; more than NAME_LIMIT are an error.
+    names of the roster go along in any case; more than NAME_LIMIT are an error. With
+    ``decimals``, windows are of twelve words of which a decimal is one.
     """
     names = roster.select(F.explode(F.array("given_name", "family_name")).alias("w")).dropna().distinct()
     names = sorted({w for r in budget(names, NAME_LIMIT).collect() for w in words(r["w"])})
-    wins = cut(item_windows(items, names))
+    wins = cut(item_windows(items, names, decimals))
     small = wins.count() <= WINDOW_LIMIT
     sizes = sorted(r["n"] for r in wins.select("n").distinct().collect())  # 1 to WINDOW
     vocabulary = wanted = None
@@ -141,7 +154,7 @@ def leaks(docs: DataFrame, items: DataFrame, roster: DataFrame) -> DataFrame:
         rows = wins.select("h", "n").distinct().collect()
         wanted = {n: np.array(sorted(r["h"] for r in rows if r["n"] == n), np.int64) for n in sizes}
         vocabulary = sorted(r["w"] for r in wins.select(F.explode("words").alias("w")).distinct().collect())
-    found = document_windows(docs, names, sizes, vocabulary, wanted)
+    found = document_windows(docs, names, sizes, vocabulary, wanted, decimals)
     right = wins.select("item_id", "h", "n", F.col("words").alias("item_words"))
     both = found.join(F.broadcast(right) if small else right, ["h", "n"])
     slots = F.filter(F.arrays_zip(F.col("item_words").alias("i"), F.col("words").alias("d")), lambda z: z["i"] != z["d"])
@@ -159,9 +172,18 @@ def p8_found(spark, sf_dir: str) -> DataFrame:
     return leaks(*_tables(spark, sf_dir)).filter("verbatim").select("doc_id", "item_id").distinct()
 
 
+def leak_counts(docs: DataFrame, items: DataFrame, roster: DataFrame) -> DataFrame:
+    """``doc_id, item_id, n_verbatim, n_reparameterised, first_word``, by the places at which windows begin.
+
+    A window read with whole decimals counts where no verbatim one begins.
+    """
+    plain = leaks(docs, items, roster).filter("verbatim or consistent").select("doc_id", "item_id", "pos", "n", "verbatim", F.lit(False).alias("whole"))
+    whole = leaks(docs, items, roster, decimals=True).filter("consistent and not verbatim").select("doc_id", "item_id", "pos", "n", "verbatim", F.lit(True).alias("whole"))
+    same, other = F.bool_or("verbatim"), F.bool_or(~F.col("verbatim") & ~F.col("whole"))
+    at = plain.unionByName(whole).groupBy("doc_id", "item_id", "pos").agg(same.alias("same"), (other | (F.bool_or("whole") & ~same)).alias("other"))
+    return at.groupBy("doc_id", "item_id").agg(F.count_if("same").alias("n_verbatim"), F.count_if("other").alias("n_reparameterised"), F.min("pos").alias("first_word"))
+
+
 def p8_leaks(spark, sf_dir: str) -> DataFrame:
     """Documents and items with the number of verbatim and of re-parameterised windows."""
-    got = leaks(*_tables(spark, sf_dir)).filter("verbatim or consistent").distinct()
-    return got.groupBy("doc_id", "item_id").agg(
-        F.count_if("verbatim").alias("n_verbatim"), F.count_if(~F.col("verbatim")).alias("n_reparameterised"), F.min("pos").alias("first_word")
-    )
+    return leak_counts(*_tables(spark, sf_dir))
