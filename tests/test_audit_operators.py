@@ -201,6 +201,12 @@ def test_paired_t_without_spread(rows):
     assert got == {"g": (0.0, 1.0), "h": (1.0, 0.0)}
 
 
+def test_simulation_runs_harm_where_nothing_should_change(spark):
+    a = T.simulate(spark, repeats=2, harm=-0.05).select("scenario_id", "effect").distinct().collect()
+    assert {r["scenario_id"] for r in a if r["effect"] == -0.05} == {s[0] for s in T.SCENARIOS if s[0].startswith("QT0_")}
+    assert len(a) == 3 * len(T.SCENARIOS) + 3
+
+
 def test_simulation_is_reproducible_and_finds_effects(spark):
     a = T.simulate(spark, T.SCENARIOS[3:5], (0.0, 0.2), 30)
     assert sorted(a.collect()) == sorted(T.simulate(spark, T.SCENARIOS[3:5], (0.0, 0.2), 30).collect())

@@ -121,11 +121,17 @@ def decide(incumbent: np.ndarray, candidates: np.ndarray) -> dict:
     return {"ok": True, "selected": selected, "effect": float(1 - candidates[:, 0].mean() / incumbent.mean()), "lower": float(m[0] - half), "upper": float(m[0] + half)}
 
 
-def simulate(spark: SparkSession, scenarios: list[tuple] = SCENARIOS, effects: tuple[float, ...] = (0.0, 0.1, 0.2), repeats: int = 200, seed: int = 20260813) -> DataFrame:
-    """One row per scenario, effect and repeat; each repeat has its own generator, seeded by its coordinates."""
+def simulate(spark: SparkSession, scenarios: list[tuple] = SCENARIOS, effects: tuple[float, ...] = (0.0, 0.1, 0.2), repeats: int = 200, seed: int = 20260813, harm: float | None = None) -> DataFrame:
+    """One row per scenario, effect and repeat; each repeat has its own generator, seeded by its coordinates.
+
+    With ``harm``, scenarios named QT0_ also run with this (negative) effect.
+    """
     s = spark.createDataFrame(scenarios, SCENARIO_SCHEMA)
     e = spark.createDataFrame([(x,) for x in effects], "effect double")
-    grid = s.crossJoin(F.broadcast(e)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # a fixed grid of cells
+    cells = s.crossJoin(F.broadcast(e))
+    if harm is not None:
+        cells = cells.unionByName(s.filter(F.col("scenario_id").startswith("QT0_")).withColumn("effect", F.lit(float(harm))))
+    grid = cells.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # a fixed grid of cells
 
     schema = "scenario_id string, effect double, repeat int, ok boolean, selected int, estimate double, lower double, upper double"
 

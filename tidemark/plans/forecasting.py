@@ -261,7 +261,7 @@ def clopper_pearson(spark, d):
 
 
 def design_simulation_cells(spark, d):
-    return stats.design_cells(stats.simulate(spark))
+    return stats.design_cells(stats.simulate(spark, harm=-0.05))
 
 
 # --- forecast actions ----------------------------------------------------------------
