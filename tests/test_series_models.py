@@ -22,6 +22,14 @@ def points(df):
     return {(r["origin"], r["horizon"]): r["point"] for r in df.collect()}
 
 
+def test_mase_is_strict(rows):
+    scored = rows([("m", 1, u, p, a) for u, p, a in (("a", 1.0, 3.0), ("a", 2.0, 6.0), ("b", 1.0, 2.0), ("c", None, 1.0), ("d", 1.0, 2.0))], "model string, horizon int, unit string, point double, actual double")
+    m = C.with_mase(C.unit_metrics(scored), rows([("a", 1.5), ("b", 0.0), ("c", 1.0)], "unit string, scale double"))
+    assert {r["unit"]: r["mase"] for r in m.collect()} == {"a": 2.0, "b": None, "c": None, "d": None}
+    assert C.macro(m, ["mase"]).collect()[0]["macro_mase"] is None
+    assert C.macro(m.filter("unit = 'a'"), ["mase"]).collect()[0]["macro_mase"] == 2.0
+
+
 def test_window_models_equal_polyfit(rows):
     data, v = walk(20, 0)
     s = rows(data, SERIES)

@@ -51,6 +51,12 @@ def training_scale(series: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).filter("n > 1").select("unit", ((F.col("total") - F.col("own")) / (F.col("n") - 1)).alias("scale"))  # one row
 
 
+def with_mase(metrics: DataFrame, scales: DataFrame) -> DataFrame:
+    """``mase`` beside the unit metrics: MAE by the unit's ``training_scale``; null where either is missing or the scale is zero."""
+    s = scales.select("unit", "scale")
+    return metrics.join(s, "unit", "left").withColumn("mase", F.when(F.col("scale") > 0, F.col("mae") / F.col("scale"))).drop("scale")
+
+
 def with_skill(metrics: DataFrame, baseline: str = "last_value") -> DataFrame:
     """Relative error and skill against the baseline of the same horizon and unit, with a status for its gaps.
 

@@ -96,6 +96,18 @@ def macro_metrics(spark, d):
     return m.select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mae", 10), _r("macro_rmse", 10))
 
 
+def _mase(spark, d) -> DataFrame:
+    return scoring.with_mase(scoring.unit_metrics(window_predictions(spark, d)), scoring.training_scale(users(spark, d)))
+
+
+def unit_mase(spark, d):
+    return _mase(spark, d).select("model", "horizon", "unit", F.when(F.col("model").startswith("exponential"), F.round("mase", 4)).otherwise(F.round("mase", 10)).alias("mase"))
+
+
+def macro_mase(spark, d):
+    return scoring.macro(_mase(spark, d), ["mase"]).select("model", "horizon", "n_units", "planned_count", "failed_count", _r("macro_mase", 10))
+
+
 def last_value_macro_mae(spark, d):
     p = M.predictions(users(spark, d), "last_value", M.last_value(), CONTEXT, [1])
     return scoring.macro(scoring.unit_metrics(p), ["mae"]).select("model", "horizon", "n_units", "planned_count", _r("macro_mae", 10))
@@ -353,7 +365,7 @@ def disagreement_route(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        trajectory_events, origin_grid, window_features, derived_ratios, at_risk_flags, interval_labels, unit_metrics, macro_metrics, last_value_macro_mae, mase_scale_leave_one_out, skill_vs_last_value,
+        trajectory_events, origin_grid, window_features, derived_ratios, at_risk_flags, interval_labels, unit_metrics, macro_metrics, unit_mase, macro_mase, last_value_macro_mae, mase_scale_leave_one_out, skill_vs_last_value,
         config_selection, residual_quantiles, qualification, common_key_parity, kalman_predictions, rls_predictions, ridge_predictions, particle_predictions, elastic_net_predictions, theta_predictions, holt_predictions, robust_scale, arm_permissions, maturity_join, never_matured,
         ledger_unit_metrics, ledger_macro_metrics, failure_ledger_dedup, duplicate_prediction_ids, target_lookup, cluster_mean_se, enum_argmin, paired_t_moments, paired_t_decisions, holm_rejections,
         clopper_pearson, design_simulation_cells, action_space_96, action_space_19, predicate_225, program_count, convex_fusion, emit_shift_inflate, all_or_fallback, median_bundle, fallback_weights, disagreement_route,
