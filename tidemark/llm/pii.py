@@ -1,10 +1,10 @@
-"""Personal information in free text: a trained tagger finds it, an exact check sets its ends.
+"""Personal information in free text, found by a trained tagger.
 
 The tagger of ``pii_model`` reads every text whole, in overlapping windows. Each character
 takes its scores from the window in whose middle it lies, and one CRF decoding over the
-joined scores of the text settles all windows together. A decoded span then has to
-satisfy the form of its type somewhere across it: the form's ends, not the tagger's, are
-reported. Spans that have no such form are dropped.
+joined scores of the text settles all windows together. The decoded spans are the answer;
+only their ends may move, by at most EDGE characters, to the end of a word, a bracket or
+an initial's full stop. No list, label or pattern decides what is personal.
 
 Soft hyphens and zero-width spaces are skipped and full-width signs read as plain ones,
 but every span is reported and replaced as it stands in the text.
@@ -21,63 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.pii_model import TAGS, allowed, emissions, encode, load
+from tidemark.llm.pii_model import FRAME, TAGS, allowed, emissions, encode, load
 from tidemark.llm.pii_text import TYPES
 from tidemark.runtime import table
 
 WINDOW, MARGIN, BATCH = 512, 32, 256
-#: Added to the score of beginning a span, since the exact check follows; names have the weakest check.
-BONUS = {"email": 3.0, "phone": 3.0, "id_number": 3.0, "address": 3.0, "name": 0.5}
+EDGE = 4  # characters by which an end of a span may move
 CHUNK = 1_000_000  # characters scored at once
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
-_UP = r"[A-ZÄÖÜÉÈÀÂÊÎÔÛÇÅØÆŠŽČ]"
-_WORD = rf"{_UP}[\w'’]+"
-_PART = rf"{_WORD}(?:-{_WORD})*"
-_INIT = rf"{_UP}\.(?:[ -]?{_UP}\.)*"
-_GIVEN = rf"(?:{_PART}|{_INIT})(?: {_INIT}| {_UP}\b(?!\.))*"
-_TITLE = r"(?:Ms|Mrs|Mr|Miss|Dr|Prof|Mme|Mlle|Frau|Herr|Herrn|Visitor|Operator|Bench|See|The|Call|Contact|Note|Tel)\b\.?"
-_NUMBER = r"\d{1,4}(?: ?[a-zA-Z]\b)?"
-_TOWN = rf"{_WORD}(?:-{_WORD})*"
-_END = r"(?:,[ \n]|\n|[ ])"
-_FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|FLAT|APT|UNIT|SUITE) \d{1,4}[A-Za-z]?"
-_EN = r"(?:Road|Rd\.?|Street|St\.?|Lane|Ln\.?|Avenue|Ave\.?|Court|Ct\.?|Close|Way|Drive|Dr\.?|Place|Pl\.?|Hill|Square|Sq\.?|Terrace|Gardens|ROAD|RD\.?|STREET|ST\.?|LANE|AVENUE|AVE\.?|COURT|CLOSE|WAY|DRIVE|PLACE|HILL|SQUARE)"
-_DE = r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|STRASSE|STRAßE|STR\.|GASSE|WEG|ALLEE|PLATZ|RING|DAMM)"
-_FR = r"(?:rue|avenue|chemin|boulevard|place|allée|impasse|quai|route|cours|RUE|AVENUE|CHEMIN|BOULEVARD|PLACE|ALLÉE|IMPASSE|QUAI|ROUTE)"
-_POST = r"(?:,? ?(?:[A-Z]{2} )?\d{5}(?!\d)| [A-Z]{1,2}\d[A-Z0-9]? ?\d[A-Z]{2}\b)"
-_SPELT = r"(?:\.| ?\[(?:dot|punkt|point)\] ?| ?\((?:dot|punkt|point)\) ?| dot | DOT | ?\[DOT\] ?| ?\(DOT\) ?)"
-_AT = r"(?: ?@ ?| ?\[(?:at|AT)\] ?| ?\((?:at|AT)\) ?| ?\{at\} ?| at | AT )"
-FORMS = {
-    "email": re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+'-]*{_AT}[A-Za-z0-9][A-Za-z0-9-]*(?:{_SPELT}[A-Za-z0-9-]+)*{_SPELT}[A-Za-z]{{2,}}(?![A-Za-z0-9])"),
-    "phone": re.compile(
-        r"(?<![\w+])(?:(?:\+|00)[1-9]\d{0,2}(?:[ ./-]?(?:\(\d{1,4}\)|\d+)){1,7}|\(0?\d{2,4}\)[ ./-]?\d{2,4}(?:[ ./-]\d{2,5}){0,3}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|0\d(?:[ .-]\d\d){4}|0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,2}|0\d{9,11})"
-        r"(?!\d)(?:,? ?(?:ext\.?|extension|x|Durchwahl|DW|poste|App\.?)[ .]?\d{1,6})?(?![\w])"
-    ),
-    "id_number": re.compile(
-        r"(?<![\w-])(?:[A-Z]{2} \d\d \d\d \d\d [A-Z]|\d\d \d{6} [A-Z] \d{3}|(?:[A-Z]{1,3}(?=\d))?\d[A-Z0-9]*(?:[ ./-]?[A-Z0-9]*\d[A-Z0-9]*)*)(?!\w)(?! ?\d)|(?<![\w-])(?=[A-Z0-9]*\d)[A-Z0-9]{6,14}(?!\w)"
-    ),
-    "address": re.compile(
-        rf"(?:{_FLAT},? )?{_NUMBER} (?:{_PART} ){{1,4}}?{_EN}(?!\w)(?:, {_FLAT})?(?:{_END}(?:{_TOWN}(?: {_TOWN})?{_POST}|{_TOWN}))?"
-        rf"|{_WORD}(?:[ -]{_WORD})*?[ -]?{_DE} {_NUMBER}(?:{_END}\d{{5}} {_TOWN})?"
-        rf"|{_NUMBER}(?: bis| ter)?,? {_FR} (?:(?:de la|de|du|des|DE LA|DE|DU|DES) |(?:de l|d|l)['’])?{_WORD}(?:[ -]{_WORD})*?(?:{_END}\d{{5}} {_TOWN})"
-    ),
-    "name": re.compile(rf"(?!{_TITLE}[ ,])(?:{_PART}, {_GIVEN}|{_GIVEN} {_PART})"),
-}
-
-
-#: What identity documents are called, in English, German and French.
-_LABEL = re.compile(
-    r"(?i)\b(?:ssn|sin|nin|nino|nir|soc\.? ?sec|social (?:security|insurance)|tax(?:payer)? (?:id|number|no|ref)|tin\b|vat id|passport|national (?:id|insurance)|identity|id[- ](?:card|no|number)|"
-    r"steuer|personalausweis|ausweis|reisepass|pass-?nr|sozialversicherung|rentenversicherung|passeport|carte d.identit|identit|fiscal|sécurité sociale|securite sociale|driving licen[cs]e|führerschein|permis)"
-)
-_CAPS_BEFORE, _CAPS_AFTER = re.compile(r"[A-ZÄÖÜ]{2,}[ ,;]+$"), re.compile(r"[ ,;]+[A-ZÄÖÜ]{2,}\b")  # a sentence in capitals around it
-_DATE = re.compile(r"(?:19|20)\d\d-\d\d-\d\d$")
-_NOT_NAME = re.compile(
-    r"(?i)(?:der|die|das|ein|eine|le|la|les|un|une|the|a(?= )|an|each|every|no|that|this|one|some|another|its|his|her|our|bei|between|near|above|below|under|over|inside|outside|without|within|past|behind|beyond|before|after|"
-    r"across|along|around|during|throughout|against|beside|despite|and|or|but)\b"
-)
-
-
 _RARE_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -108,7 +60,8 @@ def scores(texts: list[str], w: dict) -> list[np.ndarray]:
     step = WINDOW - 2 * MARGIN
     pad = encode("\n")[0]
     wins, where = [], []
-    coded = [encode(t) for t in texts]
+    frame = len(FRAME)
+    coded = [encode(FRAME + t + FRAME) for t in texts]
     for k, s in enumerate(coded):
         for a in range(0, max(1, len(s) - 2 * MARGIN), step):
             piece = s[a : a + WINDOW]
@@ -129,7 +82,7 @@ def scores(texts: list[str], w: dict) -> list[np.ndarray]:
             lo = 0 if a == 0 else MARGIN
             hi = n if a + n >= len(coded[k]) else n - MARGIN
             out[k][a + lo : a + hi] = e[lo:hi, j]
-    return out
+    return [x[frame:-frame] for x in out]
 
 
 def decode(es: list[np.ndarray], trans: np.ndarray) -> list[list[tuple[int, int, str]]]:
@@ -179,49 +132,74 @@ def decode(es: list[np.ndarray], trans: np.ndarray) -> list[list[tuple[int, int,
     return out
 
 
+_LOOSE = " \n\t,;:|/<>\"„“”«»="
+
+
+def edges(text: str, a: int, z: int, kind: str) -> tuple[int, int]:
+    """The span with its ends moved by at most EDGE characters: whole words, no loose signs, brackets in pairs."""
+    low, high = max(0, a - EDGE), min(len(text), z + EDGE)
+    word = lambda k: text[k].isalnum()
+    k = a
+    while k > low and word(k) and word(k - 1):
+        k -= 1
+    if k == 0 or not (word(k) and word(k - 1)):
+        a = k
+    k = z
+    while k < high and word(k - 1) and word(k):
+        k += 1
+    if k == len(text) or not (word(k - 1) and word(k)):
+        z = k
+    stop = a + EDGE
+    while a < min(z, stop) and text[a] in _LOOSE:
+        a += 1
+    stop = z - EDGE
+    while z > max(a, stop) and text[z - 1] in _LOOSE:
+        z -= 1
+    inner = text[a:z]
+    extra = inner.count(")") - inner.count("(")
+    if extra > 0 and inner[-1] == ")":
+        z -= 1
+    elif extra > 0 and a and text[a - 1] == "(":
+        a -= 1
+    elif extra < 0 and inner[0] == "(":
+        a += 1
+    elif extra < 0 and z < len(text) and text[z] == ")":
+        z += 1
+    elif inner[:1] == "(" and inner.find(")") == len(inner) - 1:
+        a, z = a + 1, z - 1
+    if kind == "phone" and a and text[a - 1] == "+":
+        a -= 1
+    if kind == "name":
+        lone = lambda k: k > a and text[k - 1].isupper() and (k - 1 == a or not word(k - 2))
+        if z < len(text) and text[z] == "." and lone(z):
+            z += 1
+        elif text[z - 1 : z] == "." and not lone(z - 1):
+            z -= 1
+    elif text[z - 1 : z] in (".", "?", "!"):
+        z -= 1
+    return a, z
+
+
 def settle(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The exact check: each span becomes the form of its type that covers most of it; overlaps go to the longer."""
-    found = []
+    """Spans of one type that touch are one; then the ends are moved. What keeps fewer than three letters or digits is none."""
+    joined: list[tuple[int, int, str]] = []
     for a, z, kind in spans:
-        lo = max(0, a - 60)
-        best = None
-        if kind == "name":  # where a name begins is the tagger's to say: "M." may be a title or an initial
-            m = FORMS[kind].match(text, a)
-            if m and m.end() - a >= 0.6 * (z - a) and _valid(kind, m.group(0), text, a, m.end()):
-                found.append((a, m.end(), kind))
-                continue
-        for m in FORMS[kind].finditer(text, lo, min(len(text), z + 80)):
-            if m.start() >= z:
-                break
-            shared = min(z, m.end()) - max(a, m.start())
-            if shared > 0 and (best is None or shared > best[0]) and _valid(kind, m.group(0), text, m.start(), m.end()):
-                best = shared, m.start(), m.end()
-        if best and best[0] >= 0.4 * (z - a):
-            found.append((best[1], best[2], kind))
-    found = sorted(set(found), key=lambda s: (s[0] - s[1], s[0]))
-    taken: list[tuple[int, int, str]] = []
-    for s in found:
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
-
-
-def _valid(kind: str, s: str, text: str, a: int, z: int) -> bool:
-    digits = sum(c.isdigit() for c in s)
-    if kind == "phone":
-        return 7 <= digits <= 21
-    if kind == "id_number":  # a number is that of a document only beside the document's name
-        near = text[max(0, a - 45) : a] + " | " + text[z : z + 25]
-        return 5 <= digits <= 18 and len(s) <= 26 and bool(_LABEL.search(near)) and not _DATE.match(s)
-    if kind == "name":
-        return not _NOT_NAME.match(s) and not (s.isupper() and _CAPS_BEFORE.search(text[max(0, a - 30) : a]) and _CAPS_AFTER.match(text[z : z + 30]))
-    return True
+        if joined and joined[-1][1] == a and joined[-1][2] == kind:
+            joined[-1] = joined[-1][0], z, kind
+        else:
+            joined.append((a, z, kind))
+    out: list[tuple[int, int, str]] = []
+    for a, z, kind in joined:
+        a, z = edges(text, a, z, kind)
+        a = max(a, out[-1][1]) if out else a
+        if sum(c.isalnum() for c in text[a:z]) >= 3:
+            out.append((a, z, kind))
+    return out
 
 
 def find(texts: list[str], w: dict) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, type) of each text in its own characters."""
     trans = w["t"] + allowed()
-    w = w | {"ob": w["ob"] + np.array([BONUS[t[2:]] if t[0] == "B" else 0.0 for t in TAGS], np.float32)}
     results: list[list[tuple[int, int, str]]] = []
     k = 0
     while k < len(texts):

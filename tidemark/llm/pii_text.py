@@ -1,51 +1,133 @@
 """Labelled text for training the personal-information tagger: spans are labelled as they are written.
 
-Everything is drawn from a seeded generator: names from syllables, numbers in the shapes of
-several countries, carrier sentences in three languages, and look-alikes that are not
-personal (lots, serials, tickets, versions, instruments named after people).
+Everything is drawn from a seeded generator. Carrier sentences are everyday writing in
+English, German and French (letters, forms, chat, deliveries, clinics, schools, clubs,
+hotels); names come from lists, syllables and any capitalised word; numbers have the shapes
+of several countries. Filler and look-alikes that are not personal (orders, versions,
+amounts, eponyms, companies, places) are mixed in, most of it made of the words of a
+public tokenizer's vocabulary, whose path is a parameter.
 """
 
 from __future__ import annotations
 
+import base64
 import random
 import re
+from functools import lru_cache
+from pathlib import Path
 
 TYPES = ["email", "phone", "id_number", "address", "name"]
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Building blocks of generated text.
-GIVEN = "Anna Ben Carla David Elena Felix Greta Hugo Ida Jonas Karim Lena Marco Nora Omar Paula Ravi Sofia Tomas Uwe Vera Walter Xenia Yusuf Zoe Aiko Bruno Chloe Dario Emil Freya Gita Henrik Ines Jana Kofi Luca Mina Niklas Olga Pablo Rosa Sven Thea Viktor Wim Ayla Bjarne Celia Dirk Edda Falk Priya Maren Tamar Nadia Joris Noor Mei".split()
-ONSET = "b br d dr f fl g gr h j k kr l m n p pr qu r s st t th tr v w y z".split()
-VOWEL = "a e i o u ei au ie oe".split()
-CODA = "l n r s rn lm ld sk nd rk ll ft rv lv nn".split()
-FAMILY_END = "a ak ander ari bach berg berry by combe dahl e en enko er etti ez field ford gaard haus hof holm ic ini ke kamp la lund man mann mark moor nen o ov ova owski sen ski son stein ström ton ulu vic vik wald wick y".split()
-TOWN_END = "au bach bridge brück burg by dale en feld ford ham haven heim holm hof ingen mar moor ney stadt ton ville wald wold wick dre water hal".split()
-STREET_EN = "Road Rd. Street St. Lane Avenue Ave Court Close Way Drive Place Hill Square".split()
-STREET_DE = "straße str. gasse weg allee platz ring damm".split()
-STREET_FR = ["rue de", "avenue de", "chemin de", "rue du", "boulevard de la", "place des", "allée de", "impasse du", "quai de"]
-NOUN = "anode array bench bias bracket buffer cathode cell chamber channel circuit clamp column coupon crimp curve cutoff cycle dielectric drift electrolyte envelope fixture foil fold gasket heater horizon impedance index interval lead ledger logger margin model oven panel plateau plot probe prefix quantile ramp reading record relay residue rig ripple run sample seal sensor shelf shunt slope spacer spool sweep table terminal threshold tray trend valve vent voltage window wrapper workbook".split()
-ADJ = "abrupt ageing blunt brittle causal coarse damp dormant early elevated empty faint flat frozen gradual hollow irregular late leaky loose masked narrow nested noisy oblique padded partial plain quiet ragged repeated residual sealed shallow skewed sluggish sparse stale steady stray swollen tapered thin uneven vented warm weathered".split()
-VERB = "absorbs bends blocks breaks crosses dampens delays drags drops exceeds follows hides holds inflates leaves limits lowers meets mirrors moves narrows offsets outlasts overlaps precedes pulls raises reaches reveals shifts skips splits stalls tracks trims trips widens".split()
-DE = "Die Messung wurde wiederholt.|Der Prüfstand {n} lief bei {n} °C ohne Störung.|Für Ereignis {n} lag kein Messwert vor.|Bitte die Messung an {u} am {d} wiederholen.|Der Serienwiderstand stieg um {x} %.|Die Kapazität von {u} sank nach {n} h um {x} %.|Alle Werte nach {n} h bleiben zurückgehalten.|Charge {c} zeigt denselben Verlauf wie Charge {c}.|Die Dichtung wurde am {d} ersetzt.|Das Protokoll endet bei Seite {n}.|Die Kammer wurde um {t} geöffnet.".split("|")
-FR = "La mesure a été répétée deux fois.|Le banc {n} est resté à {n} °C toute la nuit.|Aucune mesure pour l'événement {n}.|La capacité de {u} a baissé de {x} % après {n} h.|Le lot {c} suit la même pente que le lot {c}.|Le joint a été remplacé le {d}.|La chambre a été ouverte à {t}.|La résistance série a augmenté de {x} %.|Le relevé s'arrête à la page {n}.".split("|")
-EN = "{Noun} {n} held {n} °C for the whole {noun} check.|Lot {c} shows the same slope as lot {c}.|Serial {c} was moved from slot {n} to slot {n} on {d}.|Ticket {k} tracks the {adj} {noun}.|Offset {o} in the spool is the first unequal row.|Firmware build {n1}.{n1}.{n}.{n1} installed.|Rev {n1}@bench was used for all plots.|Rate was {x} @ {n} °C.|Part no. {c} is out of stock.|Run {k} ended at {t} on {d}.|See page {n} of the {noun} protocol.|Capacity loss on {u} reached {x} % after {n} h.|ESR rose by {x} % between event {n} and event {n}.|{u} crossed the threshold between event {n} and event {n}.|We restarted the {noun} logger at {t} because the {adj} reading did not clear.|The record stream has {n} rows and no reversal.|Tuning chose k={n1} for local_linear on every inner fold.|Model global_drift failed on {n} of {n} planned keys.|Horizon {n1} errors for ridge stay within {x}.|{Adj} {noun} readings were checked twice.|Bench Road test {n} passed.|{Noun} Street rig {n} is closed.|Court {n} of the {noun} test ended early.|Seed {k}, run {n}.|Prediction ledger sealed with hash {h}.|The {noun} was cleaned and the {noun} replaced.|Everything after {n} h is held out.|Gate status stays AMBER until the {noun} is explained.|Item {big} weighs {x} g.|Order {big} was sent back.|Code {alnum} is printed on the {noun}.|Socket {n}-{n}-{n} is loose.|Chamber {n}/{n}-{n} is free.|# Note {d}|[end of note]".split("|")
-INSTRUMENT = "Repeat with the {f} cell at {n} °C.|The {f} bridge was zeroed before use.|See {f} plots in appendix {n1}.|The {f} method gave {x}.|A {f} filter was put in front of the {noun}.|We compared with the {f} criterion.|{f} diagrams are in section {n1}.|Der {f}-Test lief um {t}.|Use the {f} fit for {u}.|The {f} number is {x}.|La méthode {f} donne {x}.|Das {f}-Verfahren ergab {x}.|{f} cells were stored at {n} °C.|The {g} {f} prize poster hangs in the hall.".split("|")
+GIVEN = (
+    "Aaron Abigail Adam Adele Agnieszka Ahmed Aisha Alan Alejandro Alessia Alice Amélie Amina Andrzej André Anton Arjun Arthur Astrid Aurélie Barbara Beatriz Benjamin Bernd Birgit Björn Brigitte Carlos Caroline Catherine Cécile "
+    "Charlotte Christoph Claire Claudia Clément Daniel Deborah Diego Dmitri Dorothea Edward Eleni Elisabeth Émile Emma Erik Esther Eva Fatima Fernando Florian François Franziska Frédéric Gabriel Georg Gérard Gisela Giulia Grace "
+    "Guillaume Günter Hana Hannah Hans Harold Hélène Ibrahim Ingrid Isabel Ivan Jacqueline James Jan Javier Jean Jens Jessica Joanna Johannes Jorge José Julia Jürgen Katarzyna Katharina Keiko Kenji Klaus Kwame Lars Laura Léa Leila "
+    "Linda Lorenzo Louise Lucía Ludwig Łukasz Magdalena Manuel Margaret Marie Mark Marta Martin Mateusz Matthias Mei Michael Michèle Miguel Mohammed Monika Nadine Natasha Nicolas Nina Oliver Óscar Pascal Patricia Patrick Pauline "
+    "Peter Philippe Pierre Rachel Rainer Ramón René Renate Richard Robert Sabine Samuel Sandra Sanjay Sarah Sébastien Siobhán Sophie Stefan Susan Sven Sylvie Tatiana Theresa Thomas Tim Tomasz Ulrike Ursula Valérie Victor Wei William "
+    "Xavier Yasmin Yves Zoë"
+).split()
+FAMILY = (
+    "Adams Bailey Baker Barnes Becker Bell Bennett Bernard Bianchi Blanc Brooks Brown Carter Chen Clarke Collins Costa Cox Davies Díaz Dubois Durand Edwards Engel Evans Ferrari Fischer Fontaine Foster Fuchs García Garnier Gómez "
+    "González Graham Gray Green Gupta Hall Harris Hartmann Hernández Hoffmann Horváth Hughes Hussain Íñiguez Ivanov Jackson Jansen Jensen Johnson Jones Kaiser Kaminski Kaya Keller Khan Kim King Klein Koch Kowalski Krüger Kumar Lambert "
+    "Lang Laurent Lefèvre Lehmann Lewis Lim López Marchand Martínez Mayer Meyer Mitchell Möller Moreau Morel Morris Müller Murphy Nakamura Navarro Neumann Nguyen Novák Núñez Okafor Olsen Park Parker Patel Pereira Peters Popescu Price "
+    "Richter Rivera Roberts Rossi Roux Ryan Sánchez Santos Schmidt Schneider Schröder Schulz Scott Shaw Silva Simon Singh Smith Stone Suzuki Svensson Szabó Tanaka Taylor Tran Turner Vogel Wagner Walker Ward Weber Weiß White Wilson "
+    "Wójcik Wolf Wright Yılmaz Young Zhang Zimmermann Żak"
+).split()
+PARTICLE = ["van", "van der", "van den", "von", "von der", "de", "de la", "del", "della", "di", "da", "dos", "le", "ter", "al", "bin", "zu", "af"]
+ONSET = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kl kn kr l m n p pf ph pl pr qu r s sch sh sk sl sp st str t th tr v w wr y z".split()
+VOWEL = "a a e e i i o o u ae ai au ea ee ei eu ia ie io oa oe oo ou y".split()
+CODA = "b ch ck d ff g k l ld ll lm ln lt m mm n nd ng nk nn ns nt p r rd rg rk rl rm rn rt s sk ss st t th tt v x z".split()
+FAMILY_END = "a ak al and ans ard ari as au bach back baum beck bell berg berger berry bert by dal din do eau ell en er ert es et etti ev ez feld field ford gaard ger ham hardt hauser heim hill ic ieu in ini is ius kamp ke kov land ler lev ley li ling lis lo low lund man mann maier mer mont more ner nik no oğlu on os ot oux ov ova owicz ra ran rich ridge ro rup schmidt sen shaw ska ski skog son stad stedt stein sted sto strom ström sson ton tti ulus va vic ville vist well wick wood worth xi yan zen zzi".split()
+TOWN_END = "ach au bach berg bergen born bourg bridge bruck burg burn bury by cester chester dale dorf en ey feld ford furt gate ham hausen haven heim hill hofen holm holt hurst ingen ington kirchen lac land leben leigh ley lieu loch low minster mont more mouth münde nau ness ney penny pool port rode roda sey shire stadt stead stein stow thal thorpe ton vale ver vik ville wald ward well wich wick worth".split()
+#: Kinds of street and the words around them, in English, German, French, and some neighbours.
+STREET_EN = "Road Rd Rd. Street St St. Lane Ln Avenue Ave Ave. Court Ct Close Way Drive Dr Place Pl Hill Square Terrace Gardens Crescent Boulevard Blvd Row Mews Walk Parade Parkway Circle Trail Grove Rise Green Quay Park Highway View".split()
+STREET_DE = "straße str. strasse gasse weg allee platz ring damm ufer steig stieg hof markt graben berg".split()
+STREET_DE_APART = ["Straße", "Str.", "Strasse", "Allee", "Weg", "Gasse", "Platz", "Ring", "Damm", "Ufer"]
+STREET_FR = ["rue", "avenue", "av.", "chemin", "boulevard", "bd", "place", "allée", "impasse", "quai", "route", "cours", "square", "passage", "rue de", "rue du", "rue de la", "rue des", "rue de l'", "avenue de", "avenue du", "avenue de la", "chemin de", "chemin du", "chemin des", "boulevard de la", "boulevard du", "place de la", "place des", "place du", "allée de", "allée des", "impasse du", "impasse des", "quai de", "quai du", "route de", "cours de", "cours de la"]
+STREET_OTHER = ["Calle", "Calle de", "Avenida de", "Plaza", "Paseo de", "Via", "Via del", "Piazza", "Corso", "Viale", "Rua da", "Rua do", "Travessa"]
+FLAT = ["Flat", "Apt", "Apt.", "Apartment", "Unit", "Suite", "Ste", "Room", "Floor", "Studio"]
+STATES = "AL AZ CA CO FL GA IL IN MA MD MI MN MO NC NJ NY OH OR PA TX VA WA WI".split()
+#: Labels of identity numbers, as such documents are commonly called, and what may stand between label and number.
+LABELS = (
+    "SSN|SSN|Social Security Number|Social Security No.|soc sec|SIN|National Insurance number|NI number|NINO|Passport No|Pass number|travel document|ID|ID card|ID number|ID no.|identity card|identity document|identity number|national ID|citizen number|tax ID|Tax No|TIN|ITIN|UTR|VAT ID|driving licence|"
+    "driver's license|residence permit|Steuer-ID|Steuernummer|Steuer-Identifikationsnummer|Steuer-IdNr.|StNr|Personalausweis|Personalausweisnummer|Ausweis|Ausweisnummer|Ausweis-Nr.|Perso|Reisepass|Reisepassnummer|Pass-Nr.|Passnummer|Sozialversicherungsnummer|SV-Nummer|SV-Nr.|Rentenversicherungsnummer|RVNR|"
+    "Führerschein|AHV-Nr.|numéro fiscal|n° fiscal|NIF|numéro de sécurité sociale|n° de sécurité sociale|n° sécu|NIR|numéro d'identité|carte d'identité|carte nationale d'identité|CNI|passeport|passeport n°|n° de passeport|titre de séjour|permis de conduire|AVS"
+).split("|")
+LABEL_OF = "passport|passport|social security|social insurance|national insurance|national identity|identity|tax|taxpayer|income tax|pension insurance|licence|immigration|travel document|identity card|ID card|resident".split("|")
+LABEL_END = ["", "", " number", " no.", " no", " card", " document", " ID", " ref", " reference", " code", " papers", " nr", " digits"]
+AFTER_LABEL = ["", "", "", "", ":", ":", ":", " no.", " no", " No.", " no.:", " number", " number:", " Nr.", " Nr.:", " n°", " n° :", " :", " #", " is", " =", " -", " lautet", " est le", " est", " (", ",", " such as", " reads", " reading", " was", ", namely", " with number", " with the number", " mit der Nummer", " portant le numéro", " of the owner:", "\n", " ="]
+TITLES = ["", "", "", "", "Dr. ", "Dr ", "Ms ", "Mr ", "Mrs ", "Miss ", "Prof. ", "Professor ", "Mme ", "Mlle ", "M. ", "Frau ", "Herr ", "Herrn ", "Sir ", "Madame ", "Monsieur ", "Ms. ", "Mr. ", "Mrs. ", "Sister ", "Captain "]
+EPONYM = "algorithm aphasia burner camera catheter coil colouring constant curve disease distribution effect engine equation flask formula funnel hypothesis inequality knot lamp law lecture machine manoeuvre matrix medal paradox pipette prism prize process pump reaction reflex ring scale score spline stain stove syndrome theorem transform tube wheel".split()
+EPONYM_DE = "Verfahren Gleichung Kolben Brenner Zahl Effekt Formel Skala Satz Pumpe Lampe Kurve Reaktion Syndrom Motor Prinzip Rohr".split()
+EPONYM_FR = "méthode loi théorème formule effet échelle lampe pompe équation syndrome nombre principe tube".split()
+FIRM = ["Ltd", "Ltd.", "GmbH", "AG", "Inc.", "LLC", "SARL", "S.A.", "& Sons", "& Co.", "Group", "Instruments", "Books", "Bakery", "Partners", "KG", "Foundation", "University", "College", "Hospital", "Airport", "Stadium", "Hotel"]
+ROLE = "teacher neighbour cashier coach porter nurse cook pilot driver librarian gardener treasurer plumber notary dentist choirmaster caretaker Hausmeister Nachbarin Trainerin Ärztin Bäcker Kollege voisin gérante professeure facteur boulanger infirmière".split()
+MONTHS = "January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober Dezember janvier février mars avril juin juillet août septembre octobre novembre décembre".split()
+#: Words that join others, by language.
+JOIN = [
+    "the the the a an of of to to in in and and is was for on at with by from that it as be this are not or but have has had his her their its which who when if than then so into over after before until while because would could will can may must more most no only also very just about between through during without under".split(),
+    "der der die die das den dem des ein eine einen einer und und in im ist war zu zum zur von vom mit auf für an am bei nach aus als auch nicht noch nur schon wie dass wenn weil oder aber sich sie er es wir ihr hat hatte wird wurde werden kann muss soll über unter durch gegen ohne um bis seit vor zwischen mehr sehr".split(),
+    "le le la la les un une des de de du et et en à au aux est était pour sur dans avec par sans sous que qui ne pas plus ce cette ces son sa ses leur il elle on nous vous ils elles a ont sera peut doit mais ou où donc comme si très aussi après avant depuis pendant entre chez vers".split(),
+]
+#: Everyday sentences with places for what is personal (capitals) and what is not.
 CARRIERS = (
-    "Reviewed by {T}{N} on {d}.|Bench handed over to {N} at {t}.|Questions go to {N} ({E}).|Questions go to {N}.|The access form lists {N}, {I}.|Visitor {N} left {I} at the desk.|Badge request: {I}, home address {A}.|Courier reached us under {P} and left the box at {A}.|Ship the cells back to {A}.|"
-    "{N} measured slot {n} and {N} checked it.|{T}{N} asked for a second sweep.|Night contact: {N}, {P}.|Call {P} if the {noun} trips.|{N}, {A}, signed for the crate.|Write to {E} for the raw file.|cc: {E}; {E}|on-call = {P} | mail = {E}|"
-    "Übergabe an {N} um {t}.|Fragen an {N} ({E}).|Frau {N}, {I}, hat unterschrieben.|Herr {N} hat {I} vorgelegt.|Bei Alarm {P} anrufen.|Bitte an {A} liefern.|Geprüft von {N} am {d}.|Rückfragen: {E} oder {P}.|Anschrift: {A}.|"
-    "Relève par {N} à {t}.|Mme {N} ({I}) a signé.|M. {N} a vérifié le {noun}.|Appeler le {P} en cas d'alarme.|Écrire à {E}.|Livrer au {A}.|Contact : {N}, {P}.|Questions à {N} ({E}).|"
-    "Regards,\n{N}\n{A}\nTel. {P}\n{E}|Mit freundlichen Grüßen\n{N}\n{A}\nTel. {P}|Cordialement,\n{N}\n{A}\nTél. {P}|Tel. {P}\n{E}|{N}\n{A}|Operator: {N}|Signed, {N}|Sample taken by {N} and {N}.|{N} called {N} about the {noun}.|Please ask {N} or {N}.|From: {N} <{E}>|"
-    "Contact {N} before {d}.|{T}{N} and {T}{N} visited the {noun} room.|Mail goes to {A}.|Her number is {P}.|His {I} was copied.|{I} of {N} was noted."
+    "Dear {T}{N},|Dear {N}, thank you for your order {c}.|My name is {N} and I am writing about invoice {c}.|I spoke with {N} yesterday.|{N} will pick up the children at {t}.|The parcel is for {N}, {A}.|Please forward all mail to {A}.|We moved to {A} on {d}.|Our new address is {A}.|Home: {A}|"
+    "You can reach me on {P} after {t}.|Ring {P} and ask for {N}.|Mobile {P}, office {P}.|Fax: {P}|phone={P}; mail={E}|My mobile is {P}, text me!|hey, {N} here, my new number is {P} :)|lol just mail {E}|send the photos to {E} please|{E} bounced, try {E}.|Reply to {E} by {d}.|E-mail: {E}|To: {E}|Cc: {E}, {E}|"
+    "<{E}> wrote:|On {d}, {N} <{E}> wrote:|From: {N} <{E}>|Sender: {N}|Yours sincerely,\n{N}|Best wishes,\n{N}\n{A}|Kind regards\n{N}\n{P}\n{E}|Love, {G}|Thanks, {G}|{N}, our {role}, retires in {n} weeks.|The {role}, {N}, has the keys.|Our {role} {N} is on leave until {d}.|{N} and {N} were married on {d}.|"
+    "{N} ({n1}) won the race ahead of {N}.|Team: {N}, {N}, {N} and {N}.|{N}; {N}; {N}|Attending: {N}, {N}. Excused: {N}.|Minutes taken by {N}.|Proposed by {N}, seconded by {T}{N}.|Patient: {N}, born {d}, {I}.|Patient {N} was admitted on {d}; next of kin {N}, {P}.|Referred by {T}{N} at {t}.|Policy holder {N} of {A}.|"
+    "Applicant: {N}\nAddress: {A}\nPhone: {P}\nE-mail: {E}\n{I}|Name: {N}|Full name: {N}|Guest name: {N}, room {n}|Name | {N}|{n};{N};{P};{E}|{N},{E},{P}|\"name\": \"{N}\", \"phone\": \"{P}\"|\"email\": \"{E}\"|\"address\": \"{A}\"|{I}|Please quote {I} on the form.|The clerk copied {I} by hand.|{I} expires on {d}.|"
+    "Proof of identity: {I}.|{N} showed {I} at the counter.|{N} ({I})|Enter {I} in box {n1}.|We hold {I} on file for {N}.|Lost property: wallet with {I}.|I lost my papers, {I}.|Tenant: {N}, {I}, {A}.|Landlord {N}, {A}, tel. {P}.|Deliver to: {N}, {A}|The flat at {A} is free from {d}.|A fire was reported at {A} at {t}.|The garage lies at {A}; ring first.|"
+    "Come to {A} at {t}, bring cake.|Send cheques to {N}, {A}.|Return to sender: {A}.|He lives at {A}.|Branch: {A}|In an emergency call {P}.|Dial {P} for the {role}.|Call me: {P}.|Landline {P}.|tel:{P}|WhatsApp {P}|Hotline {P} (free)|her number was {P} and not {P}|The caller left {P} and no name.|"
+    "{T}{N} teaches the {W} class on {W}.|According to {N}, the {w} was {w}.|\"{W} {w} {w},\" said {N}.|{N} says: {w} {w}.|{N} wrote that the {w} {w} is {w}.|Photo: {N}|Directed by {N}, music by {N}.|A letter from {N} to {N}.|{N} owes {N} {money}.|Ask {N} about the {w}.|{N} has not replied to {E}.|@{G} can you ask {N}?|"
+    "Approved: {N}|Witness: {N} / {N}|Signature: {N}|Signed for by {N} at {t}|Checked out to {N} until {d}|Keys returned by {N}.|Left with neighbour {N}, {A}.|Picked up by {T}{N}, {I}.|Visitor log: {N}, {t}, {I}|{t} {N} enters, {t} {N} leaves|Shift swap {N} -> {N}|{T}{N} phoned from {P}.|We met {T}{N} in {W}.|"
+    "Sehr geehrte Frau {F},|Sehr geehrter Herr {F},|Liebe {G}, lieber {G},|Guten Tag {T}{N},|Mein Name ist {N}.|Ich heiße {N} und wohne in der {A}.|Wir sind umgezogen: {A}.|Postanschrift: {A}|Das Paket ging an {N}, {A}.|Tel.: {P}|Telefon {P}, Fax {P}|Handy: {P}|Ruf bitte {N} unter {P} zurück.|Unter {P} ist niemand zu erreichen.|"
+    "Schreiben Sie an {E}.|Meine Mail ist {E}, danke!|E-Mail: {E}|Viele Grüße\n{N}|Hochachtungsvoll\n{N}\n{A}\n{P}|Mit besten Grüßen, {N}, {E}|{N} hat am {d} Geburtstag.|Unser {role} {N} kommt um {t}.|Die Schlüssel liegen bei {N}.|Laut {N} war {w} {w}.|Anwesend: {N}, {N} und {N}.|Versicherte Person: {N}, {I}|Seine {I}.|Bitte {I} angeben.|"
+    "Mieterin {N}, geboren am {d}, {I}.|Vorgelegt wurde {I}.|Vermieter: {N}, {A}.|Name, Vorname: {N}|Abgeholt von {N}.|Unterschrift {N}|Die Wohnung in {A} ist ab {d} frei.|Kommt bitte um {t} zu {A}.|Vertretung: {T}{N} ({P})|{T}{N} ist heute krank.|"
+    "Madame {F}, Monsieur {F},|Bonjour {N},|Chère {G}, cher {G},|Je m'appelle {N}.|J'habite au {A}.|Nouvelle adresse : {A}|Adresse : {A}|Le colis est pour {N}, {A}.|Tél. : {P}|Téléphone {P}|Portable : {P}, bureau : {P}.|Rappelle {N} au {P}.|Merci d'écrire à {E}.|Courriel : {E}|Mon mail : {E}|Bien à vous,\n{N}|Amitiés,\n{N}\n{A}\n{P}|"
+    "{N} est né le {d}.|Notre {role}, {N}, passera à {t}.|Selon {N}, {w} {w}.|Présents : {N}, {N} et {N}.|Assurée : {N}, {I}.|Indiquez {I}.|Il a présenté {I}.|Locataire : {N}, {I}, {A}.|Nom et prénom : {N}|Remis à {N} le {d}.|L'appartement du {A} est libre.|Rendez-vous au {A} à {t}.|Signature : {N}|{T}{N} est absente aujourd'hui."
+).split("|")
+#: Everyday sentences without anything personal.
+NEUTRAL = (
+    "Your order {c} left the warehouse on {d}.|Invoice {c} over {money} is due on {d}.|Tracking code {c}.|Version {v} fixes {n} bugs.|Upgrade from {v} to {v} took {n} min.|The train leaves {W} at {t} from track {n1}.|Flight {code} to {W} is late.|Room {n} is on floor {n1}.|Seats {n}{l} and {n}{l} are taken.|Chapter {n1}, page {n}.|"
+    "The {w} cost {money} in {W}.|{n} people voted, {n} did not.|Open {t} to {t}, closed on {W}.|See {url} for the {w} list.|Server {ip} did not answer at {t}.|Bake at {n} degrees for {n} minutes.|Mix {x} g of flour with {x} ml of milk.|The score was {n1}:{n1} ({n1}:{n1}).|Article {n1} ({n1}) applies.|ISBN {isbn}|Part {c} fits model {code}.|"
+    "Serial number {c}, batch {c}.|Serial: {big}|S/N {code}, P/N {c}|Article no. {big}|Customer no. {big}|Case {c} was closed.|Contract {c} of {d}.|Account {big} has been credited.|Ticket #{big} is open.|Reference: {c}|Locker {n}, combination {n1}-{n1}-{n1}.|Bus {n} stops at {W} {st}.|{W} {st} is closed for works.|The {W} {st} market opens at {t}.|"
+    "Works on {W} {st} end in {n} weeks.|Grid reference {n} {n}, height {n} m.|Coordinates {x}, {x}.|Ratio {x}/{x}.|Rated {n1}/{n1} by {n} readers.|Password hint: {w} {n}.|Use @{w} or #{w} in your post.|rate {n}@{n} is fine|{n} @ {x} each|chmod {n} {w}.py|{w}_{w}({n1}, {n1}) returns {w}|id={n}, {w}={x}|commit {hash}|{W} {c} {w} the {w} {w}.|{W} {c}|{w}: {c}|{w} no. {c}, {w} {c}|{W} {c} {w} {W} {c}.|{w} {w} {c}|[{w} {w} {w}]|[{w}]|({w} {w})|{w}_{w}_{w} {w} {w}.|{w}-{w}_{w}|{w} at {w} at {t}.|{w} dot {w}|{W} {n} {w} at {n} {w}.|{x} {w}, {x} {w}|{n} {W}, {n} {W}|{n} {W} {w}|{n1}. {W} {w} {w}|"
+    "{F} {ep}s are sold out.|The {F} {ep} explains it.|A {F} {ep} with {n} turns.|Use the {F}-{F} {ep}.|{F} {F} {ep}|Read about the {F} {ep} on page {n}.|{F}'s {ep} holds here.|By the {F} {ep}, {w} is {w}.|We tried a {F} {ep} next to the {w}.|Another {F} {ep} was {w} at {n}.|{F} et al. disagree.|as in {F} ({n})|Compare {F} and {F} ({n}).|"
+    "{F} {firm} opened in {W}.|{W} {firm} sold {n} shares.|{F} & {F} {firm}|Mr {F} was late.|Ms {F} and Mrs {F} agree.|Ask {G} for it.|{G} and {G} are coming.|Thanks {G}!|Dr {F} is away.|We drove from {W} to {W}.|The {W} team beat {W}.|{Ws}|{Ws}: {w} {w} {w}.|The {Ws} report is ready.|{Ws} ({n})|{n1}. {Ws}|"
+    "Das {F}-{epde} wurde gelehrt.|Die {F}-{epde} ergibt {x}.|Nach dem {F}-{epde} sind es {n}.|Herr {F} kommt später.|Frau {F} ruft zurück.|Rechnung {c} über {money}.|Zug {n} nach {W} fällt aus.|Die {W}{dest} ist gesperrt.|Version {v} ist da.|Zimmer {n}, Etage {n1}.|Kundennummer {big}, Vorgang {c}.|Seite {n}, Absatz {n1}.|"
+    "Geöffnet von {t} bis {t}.|Am {d} um {t} geht es los.|Artikelnummer {c}, Lager {n}.|Der Preis stieg um {x} %.|{n} Stück zu {money}.|"
+    "La {epfr} de {F} est connue.|Le {epfr} {F} donne {x}.|On utilise la {epfr} {F}.|Madame {F} rappellera.|M. {F} est parti.|Facture {c} de {money}.|Le train {n} pour {W} est annulé.|La rue de {W} est barrée.|Version {v} disponible.|Chambre {n}, étage {n1}.|Dossier {c}, client {big}.|Page {n}, ligne {n1}.|"
+    "Ouvert de {t} à {t}.|Le {d} à {t}, tout commence.|Référence {c}, rayon {n}.|Le prix a monté de {x} %.|{n} pièces à {money}."
 ).split("|")
-#: Labels of identity numbers.
-LABELS = ["SSN", "soc. sec. number", "social security", "tax id", "passport", "national id", "identity card", "Steuer-ID", "Personalausweis", "Reisepass", "passeport", "carte d'identité", "n° de sécurité sociale", "numéro fiscal", "ID card", "Sozialversicherungsnummer", "identity document"]
-TITLES = ["", "", "Dr. ", "Ms ", "Mr ", "Mrs ", "Prof. ", "Mme ", "Frau ", "Herr ", "Dr ", "M. "]
+
+
+@lru_cache(maxsize=4)
+def vocabulary(paths=VOCABULARIES) -> tuple[list[str], list[str]]:
+    """Lower-case and capitalised words of the named tokenizer files; none if they are not there."""
+    low, high = set(), set()
+    for p in paths:
+        if Path(p).exists():
+            for line in Path(p).read_bytes().splitlines():
+                word = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+                if len(word) > 3 and word[0] == " " and word[1:].isalpha():
+                    if word.islower():
+                        low.add(word[1:])
+                    elif word[2:].islower():
+                        high.add(word[1:])
+    latin = lambda s: sorted(w for w in s if max(w) < "ɐ")
+    return latin(low), latin(high)
 
 
 class Writer:
     """Writes texts; ``text, spans`` with spans as (start, end, type)."""
 
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int, paths=VOCABULARIES) -> None:
         self.r = random.Random(seed)
+        self.low, self.high = vocabulary(paths)
+        low, high = vocabulary(paths[:1])
+        known = set(low)
+        self.proper = [w for w in high if w.lower() not in known]  # never written small: mostly names
 
     def digits(self, shape: str) -> str:
         """'#' any digit, '%' 1-9, '@' a capital, others as they are."""
@@ -54,140 +136,293 @@ class Writer:
 
     def stem(self, n: int) -> str:
         r = self.r
-        return "".join(r.choice(ONSET) + r.choice(VOWEL) + (r.choice(CODA) if r.random() < 0.6 else "") for _ in range(n))
+        return "".join(r.choice(ONSET) + r.choice(VOWEL) + (r.choice(CODA) if r.random() < 0.55 else "") for _ in range(n))
+
+    def simple(self) -> str:
+        """A plain syllable."""
+        r = self.r
+        return r.choice("b d f g h k l m n p r s t v w br fr gr kr st tr el al or".split()) + r.choice("aaeeiioou") + r.choice("l l m n n r r s t d k v z nd rn lm st ld lk ".split(" "))
+
+    def word(self) -> str:
+        return self.r.choice(self.low) if self.low and self.r.random() < 0.93 else self.stem(self.r.choice([1, 2, 2, 3]))
+
+    def capital(self) -> str:
+        u = self.r.random()
+        return self.town() if u < 0.2 else self.r.choice(self.high) if self.high and u < 0.75 else self.word().capitalize()
+
+    def marked(self, s: str) -> str:
+        """Now and then a letter with a mark of another language."""
+        r = self.r
+        if r.random() < 0.9:
+            return s
+        k = r.randrange(len(s))
+        near = {"a": "áàâäãåăą", "e": "éèêëęě", "i": "íìîïı", "o": "óòôöõøő", "u": "úùûüůű", "c": "çćč", "s": "śšşß", "z": "źżž", "n": "ñńň", "l": "ł", "g": "ğ", "r": "ř", "y": "ý", "d": "đ"}
+        c = s[k].lower()
+        return s[:k] + (r.choice(near[c]).upper() if s[k].isupper() and c != "s" else r.choice(near[c])) + s[k + 1 :] if c in near else s
 
     def given(self) -> str:
         r = self.r
-        if r.random() < 0.45:
+        u = r.random()
+        if u < 0.4 or (u < 0.7 and not self.proper):
             return r.choice(GIVEN)
-        return (self.stem(1) + r.choice("a e i o us in el an is ja ka".split()) if r.random() < 0.6 else self.stem(2)).capitalize()
+        if u < 0.7:
+            return r.choice(self.proper)
+        end = r.choice("a a e i o us in el an is ja ka y ette ine ric bert ald mir wen lin on ar as er".split())
+        return self.marked(((self.simple() if r.random() < 0.8 else self.stem(1)) + end).capitalize())
+
+    def single_family(self) -> str:
+        r = self.r
+        u = r.random()
+        if u < 0.25 or (u < 0.5 and not self.proper):
+            return r.choice(FAMILY)
+        if u < 0.5:
+            return r.choice(self.proper)
+        if u < 0.52:
+            return self.word().capitalize()
+        if u < 0.56:
+            return r.choice(["O'", "Mc", "Mac", "D'", "O’", "Fitz", "N'"]) + self.simple().capitalize() + r.choice(["", "", "y", "en", "er", "ey"])
+        base = self.simple() if u < 0.84 else self.stem(1) if u < 0.9 else self.word() if u < 0.96 else self.simple() + self.simple()
+        return self.marked((base + r.choice(FAMILY_END)).capitalize())
 
     def family(self) -> str:
         r = self.r
-        base = self.stem(1) if r.random() < 0.8 else self.stem(2)
-        name = (base + r.choice(FAMILY_END)).capitalize()
-        return name if r.random() < 0.96 else name + "-" + (self.stem(1) + r.choice(FAMILY_END)).capitalize()
+        u = r.random()
+        f = self.single_family()
+        if u < 0.05:
+            f += "-" + self.single_family()
+        return f
 
     def name(self) -> str:
         r = self.r
         g = self.given()
-        if r.random() < 0.15:
+        if r.random() < 0.12:
             g += "-" + self.given()
-        if r.random() < 0.2:
+        u = r.random()
+        if u < 0.17:
             g = g[0] + "."
-            if r.random() < 0.2:
-                g += r.choice(["", " "]) + self.digits("@.")
-        elif r.random() < 0.12:
+            if r.random() < 0.3:
+                g += r.choice(["", " ", "-"]) + self.digits("@.")
+        elif u < 0.29:
             g += " " + self.digits("@.")
+        elif u < 0.37:
+            g += " " + self.given()
+        elif u < 0.4:
+            g += " " + self.digits("@. @.")
         f = self.family()
-        out = f"{f}, {g}" if r.random() < 0.18 else f"{g} {f}"
-        return out.upper() if r.random() < 0.08 else out
+        v = r.random()
+        if v < 0.07:
+            p = r.choice(PARTICLE)
+            f = (p if r.random() < 0.8 else p.title()) + " " + f
+        elif v < 0.11:
+            f += " " + self.single_family()
+        w = r.random()
+        out = f"{f}, {g}" if w < 0.17 else f"{f} {g}" if w < 0.2 else f"{g} {f.upper()}" if w < 0.23 else f"{f.upper()}, {g}" if w < 0.25 else f"{g} {f}"
+        return out.upper() if r.random() < 0.07 else out
 
     def email(self) -> str:
         r = self.r
-        plain = lambda s: re.sub(r"[^a-z]", "", s.lower().replace("ö", "o")) or "x"
-        g, f = plain(self.given()), plain(self.family())
-        local = r.choice([f"{g}.{f}", f"{f}_{g}", f"{g[0]}{f}", f"{g[0]}-{f}", f"{f}{r.randint(1, 99)}", f"{g[0]}.{f}", f"{g}{r.randint(1, 999)}", f"{g}_{f}"])
-        if r.random() < 0.25:
-            local += r.choice(["+lab", "+bench", "+data"])
+        ascii_ = lambda s: re.sub(r"[^a-z]", "", s.lower().translate(str.maketrans("äöüéèáíóúñçłøå", "aoueeaiouncloa"))) or "x"
+        g, f = ascii_(self.given()), ascii_(self.family())
+        word = ascii_(self.word())
+        local = r.choice([f"{g}.{f}", f"{f}.{g}", f"{f}_{g}", f"{g[0]}{f}", f"{g[0]}-{f}", f"{f}{r.randint(1, 99)}", f"{f}", f"{g[0]}.{f}", f"{g}{r.randint(1, 1999)}", f"{g}_{f}", f"{g}-{f}", f"{word}", f"{word}.{word}{r.randint(0, 99)}", f"{g}.{word}", f"{g}{f}", f"info.{word}", f"{word}_{f}"])
+        if r.random() < 0.15:
+            local += "+" + ascii_(self.word())
+        if r.random() < 0.06:
+            local = self.marked(local)
         if r.random() < 0.08:
             local = ".".join(p.capitalize() for p in local.split("."))
-        host = [w for w in (r.choice(["", "", "mail", "lab", "post"]), self.stem(1) + r.choice(["", "lab", "-bench", "house", "mess", "data"])) if w]
-        host += r.choice([["example"], ["example", "org"], ["example", "com"], ["example", "net"], ["test"], ["de"], ["fr"], ["com"], ["co", "uk"]])
+        host = [w for w in (r.choice(["", "", "", "mail", "post", "dept", ascii_(self.word())]), r.choice([self.stem(1), self.stem(2), ascii_(self.word()), ascii_(self.word()), ascii_(self.word()) + "-" + ascii_(self.word()), "gmail", "web", "outlook"])) if w]
+        if r.random() < 0.05:
+            host[-1] = self.marked(host[-1])
+        host += r.choice([["example"], ["example", "org"], ["example", "com"], ["example", "net"], ["test"], ["invalid"], ["de"], ["fr"], ["com"], ["org"], ["net"], ["ch"], ["co", "uk"], ["ac", "uk"], ["edu"], ["eu"], ["io"]])
         style = r.random()
-        at, dot = ("@", ".") if style < 0.65 else (" @ ", ".") if style < 0.75 else ("(at)", ".") if style < 0.85 else (" [at] ", " [dot] ") if style < 0.93 else (" at ", " dot ") if style < 0.96 else ("[at]", "[dot]")
+        at, dot = (
+            ("@", ".") if style < 0.66 else (" @ ", ".") if style < 0.71 else ("(at)", ".") if style < 0.76 else (" [at] ", " [dot] ") if style < 0.82 else (" at ", " dot ") if style < 0.87 else ("[at]", "[dot]") if style < 0.9
+            else (" (at) ", " (dot) ") if style < 0.93 else ("{at}", ".") if style < 0.94 else (" AT ", " DOT ") if style < 0.96 else ("(at)", "(dot)") if style < 0.98 else (" [at] ", ".")
+        )
         out = local + at + dot.join(host)
-        return out.upper() if r.random() < 0.1 else out
+        return out.upper() if r.random() < 0.06 else out
 
     def phone(self) -> str:
         r = self.r
-        out = self.digits(r.choice(["+1 %##-###-####", "+1 (%##) ### ####", "(%##) ###-####", "%##-###-####", "%##.###.####", "+33 % ## ## ## ##", "0%.##.##.##.##", "0% ## ## ## ##", "+49 %# ##### ###", "+49 %## #######", "0049 %# ########", "0%#/#####-###", "0%# #######", "0%#/#######", "+44 %# #### ####", "0%# #### ####", "+44%#########", "+49%##########", "0%## ### ####", "+33%########", "+41 %# ### ## ##", "0033 % ## ## ## ##", "1-%##-###-####", "0%##-######"]))
-        if r.random() < 0.2:
-            out += r.choice([" ext. ", " ext ", " x", ", ext. ", " Durchwahl ", " poste ", " extension ", " DW "]) + self.digits(r.choice(["##", "###", "####"]))
-        return out.replace(" ", "\u00a0") if r.random() < 0.12 else out
+        out = self.digits(
+            r.choice(
+                "+1 %##-###-####|+1 (%##) ###-####|+1 %## ### ####|+1-%##-###-####|1-%##-###-####|(%##) ###-####|(%##)###-####|%##-###-####|%##.###.####|%## ### ####|+44 %# #### ####|+44 (0)%# #### ####|+44 7### ######|+44%#########|0%# #### ####|0%### ######|07### ######|0%## ### ####|07#########|"
+                "+33 % ## ## ## ##|+33 (0)% ## ## ## ##|+33%########|0033 % ## ## ## ##|0% ## ## ## ##|0%.##.##.##.##|0%-##-##-##-##|0%########|+49 %# ########|+49 %# ##### ###|+49 %## #######|+49 %## ### ## ##|+49 (0)%# #######|+49-%##-#######|+49%##########|+49/%#/######|0049 %# ########|0%# #######|0%#/#######|0%#/#####-###|"
+                "0%## / ######|0%##-######|0%### ######|0%## #### ###|01## #######|01#########|+41 %# ### ## ##|0%# ### ## ##|+43 % ### ####|+43 %## ######|+34 %## ### ###|+39 0% #### ####|+31 % ########|+31 %# ### ####|+48 %## ### ###|+32 % ### ## ##|+46 %#-### ## ##|+420 %## ### ###|(0%#) #######|(0%##) ######|(0%#) #### ####|"
+                "00%# %# ### ## ##|+%# %## ### ####|+%## %# ### ####|%##-####".split("|")
+            )
+        )
+        if r.random() < 0.15:
+            out += r.choice([" ext. ", " ext ", " x", "x", ", ext. ", " extension ", " Durchwahl ", " DW ", " poste ", ", poste ", " Apparat ", " ext.", " int. "]) + self.digits(r.choice(["#", "##", "###", "####"]))
+        return out.replace(" ", "\u00a0") if r.random() < 0.07 else out
 
     def identity(self) -> tuple[str, str, str]:
         r = self.r
-        number = self.digits(r.choice(["###-##-####", "#########", "### ## ####", "## ### ### ###", "###########", "@@#######", "@#@##@###", "######-####", "# ## ## ## ### ### ##", "@########", "##@@#####", "@@ ## ## ## @", "## ###### @ ###", "@#######", "#############"]))
-        label = r.choice(LABELS) + r.choice(["", "", ":", " no.", " no.:", " number", " Nr.", " n°", " no. no."])
-        return label, " ", number
+        number = self.digits(
+            r.choice(
+                "###-##-####|###-##-####|### ## ####|#########|##########|########|##.##.##-###.##|@@#######|@########|@#@##@###|@%@@#####|@#######|@##@#####|@@ ## ## ## @|@@######@|@@######|##@@#####|## ### ### ###|###########|##/###/#####|###/####/####|### ### ###|# ## ## ## ### ### ##|#############|% ## ## ## ### ###|## ###### @ ###|########@###|######-####|"
+                "######-###-#|756.####.####.##|@-#######-@|########-@|########@|@#### #####|@@@######|@@@@@######@@#@@|##-#######|### #### ###|@@# ### ###|#### #### ####".split("|")
+            )
+        )
+        label = (r.choice(LABELS) if r.random() < 0.6 else r.choice(LABEL_OF) + r.choice(LABEL_END)) + r.choice(AFTER_LABEL)
+        if r.random() < 0.15:
+            label = label[:1].upper() + label[1:]
+        if r.random() < 0.1:
+            label = label.upper() if r.random() < 0.5 else label.lower()
+        if r.random() < 0.12:
+            label = r.choice(["my ", "her ", "his ", "your ", "the ", "meine ", "Ihre ", "son ", "mon ", "votre ", "with ", "old ", "German ", "French ", "valid "]) + label
+        return label, r.choice([" ", " ", " ", " ", " ", "", "\n"]) if label[-1] in ":#=" else "" if label[-1] in "(\n" else " ", number
 
     def town(self) -> str:
         r = self.r
-        t = (self.stem(1) + r.choice(TOWN_END)).capitalize()
-        return t if r.random() < 0.85 else r.choice(["Port", "Bad", "Neu", "Saint", "Alt", "Nord"]) + "-" + (self.stem(1) + r.choice(["meau", "ville", "eau", "burg", "hof"])).capitalize()
+        t = self.marked((self.stem(1) + r.choice(TOWN_END)).capitalize()) if r.random() < 0.7 or not self.high else r.choice(self.high)
+        u = r.random()
+        if u < 0.78:
+            return t
+        if u < 0.88:
+            return r.choice(["Port", "Bad", "Neu", "Saint", "Alt", "Nord", "Sainte", "Groß", "Klein", "Ober", "Nieder", "Le", "La"]) + r.choice(["-", "-", " "]) + t
+        if u < 0.95:
+            return r.choice(["New", "Old", "East", "West", "North", "South", "Great", "Little", "St", "Mount", "Fort"]) + " " + t
+        return t + r.choice([" am See", " an der Elbe", "-sur-Mer", "-le-Château", " upon Avon", " Springs", " Heights", "-les-Bains", " Falls", " City"])
 
     def address(self) -> str:
         r = self.r
-        word = lambda: (r.choice(NOUN + ADJ) if r.random() < 0.5 else self.stem(1) + r.choice(["er", "le", "y", "ton", ""])).capitalize()
-        line = r.choice([", ", ", ", "\n"])
+        word = lambda: (self.word() if r.random() < 0.45 else self.stem(1) + r.choice(["er", "le", "y", "ton", "", "ing"])).capitalize() if r.random() < 0.8 else self.family()
+        line = r.choice([", ", ", ", ", ", "\n", ",\n", " "]) if r.random() < 0.95 else " - "
         style = r.random()
-        if style < 0.6:
-            street = " ".join(word() for _ in range(r.choice([1, 2, 2, 2, 3])))
-            out = f"{r.randint(1, 299)}{r.choice(['', '', '', 'a', 'b'])} {street} {r.choice(STREET_EN)}"
-            if r.random() < 0.3:
-                out = f"{r.choice(['Flat', 'Apt', 'Unit', 'Suite'])} {r.randint(1, 30)}, {out}"
-            elif r.random() < 0.3:
-                out += f", {r.choice(['Unit', 'Flat', 'Apt'])} {r.randint(1, 40)}"
-            out += line + self.town() + r.choice(["", " " + self.digits("#####"), ", " + self.digits("@@ #####"), " " + self.digits("@@# #@@")])
-        elif style < 0.82:
-            out = f"{word()}{r.choice(STREET_DE)} {r.randint(1, 250)}{r.choice(['', '', 'a', 'b', 'c'])}{line}{self.digits('#####')} {self.town()}"
+        if style < 0.52:
+            street = " ".join(word() for _ in range(r.choice([1, 1, 2, 2, 3])))
+            number = f"{r.randint(1, 299 if r.random() < 0.8 else 9999)}{r.choice(['', '', '', '', 'a', 'b', 'A', 'B', ' C', '-' + str(r.randint(3, 99))])}"
+            out = f"{number}{r.choice([' ', ' ', ' ', ' ', ', '])}{r.choice(['', '', '', '', '', 'N. ', 'West '])}{street} {r.choice(STREET_EN)}"
+            flat = f"{r.choice(FLAT)} {r.randint(1, 60)}{r.choice(['', '', '', 'A', 'b'])}"
+            if r.random() < 0.22:
+                out = f"{flat}{r.choice([', ', ', ', ' '])}{out}"
+            elif r.random() < 0.22:
+                out += f"{r.choice([', ', ', ', ' '])}{flat}"
+            post = r.choice(["", " #####", " #####", ", #####", f", {r.choice(STATES)} #####", f" {r.choice(STATES)} #####", ", @@ #####", " @@# #@@", " @# #@@", ", @@## #@@", " @#@ #@@", " #####-####", "\n@@# #@@", "\n#####"])
+            out += line + self.town() + self.digits(post) if r.random() < 0.93 else ""
+        elif style < 0.74:
+            u = r.random()
+            number = f"{r.randint(1, 250)}{r.choice(['', '', '', 'a', 'b', 'c', ' a', '-' + str(r.randint(2, 99)), '/' + str(r.randint(1, 9))])}"
+            if u < 0.65:
+                street = word() + r.choice(["", "", "", "er ", "-"]) + r.choice(STREET_DE)
+                street = street if " " not in street and "-" not in street else street.rsplit(street[street.find(" ") if " " in street else street.find("-")], 1)[0] + (" " if " " in street else "-") + r.choice(STREET_DE_APART)
+            elif u < 0.85:
+                street = r.choice(["Am", "An der", "Zum", "Zur", "Im", "In der", "Auf dem", "Unter den", "Alter", "Hinter der"]) + " " + word()
+            else:
+                street = r.choice(["Alte", "Lange", "Neue", "Hohe", "Kurze", "Große"]) + " " + r.choice(STREET_DE_APART[:6])
+            out = f"{street} {number}{line}{r.choice(['', '', '', '', 'D-', 'A-'])}{self.digits(r.choice(['#####', '#####', '#####', '####']))} {self.town()}" if r.random() < 0.93 else f"{street} {number}"
+        elif style < 0.94:
+            way = r.choice(STREET_FR)
+            way = way if r.random() < 0.8 else way.capitalize()
+            out = f"{r.randint(1, 250)}{r.choice(['', '', '', '', ' bis', ' ter', 'B'])}{r.choice([' ', ' ', ' ', ', '])}{way}{'' if way[-1] in chr(39) else ' '}{' '.join(word() for _ in range(r.choice([1, 1, 2])))}"
+            if r.random() < 0.12:
+                out = r.choice(["Bât. B, ", "Appt 12, ", "Résidence " + word() + ", ", "App. 4, "]) + out
+            out += f"{line}{r.choice(['', '', '', '', 'F-'])}{self.digits('#####')} {self.town()}{r.choice(['', '', '', '', ' Cedex', ' Cedex 9'])}" if r.random() < 0.93 else ""
         else:
-            out = f"{r.randint(1, 250)}{r.choice(['', '', ' bis'])} {r.choice(STREET_FR)} {word()}{line}{self.digits('#####')} {self.town()}"
-        return out.upper() if r.random() < 0.03 else out
+            out = f"{r.choice(STREET_OTHER)} {word()}{r.choice([' ', ', ', ' n.º '])}{r.randint(1, 250)}{line}{self.digits('#####')} {self.town()}"
+        return out.upper() if r.random() < 0.04 else out
 
-    def fill(self, template: str) -> tuple[str, list[tuple[int, int, str]]]:
+    def date(self) -> str:
+        r = self.r
+        y, m, d = r.randint(1930, 2031), r.randint(1, 12), r.randint(1, 28)
+        return r.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{d}.{m}.{y}", f"{d:02d}/{m:02d}/{y}", f"{m}/{d}/{y % 100:02d}", f"{d} {r.choice(MONTHS)} {y}", f"{d}. {r.choice(MONTHS)} {y}", f"{r.choice(MONTHS)} {d}, {y}", f"{r.choice(MONTHS)} {d}", f"{d}.{m}."])
+
+    def slot(self, key: str) -> str:
         r = self.r
+        return {
+            "n": lambda: str(r.randint(0, 9999) if r.random() < 0.4 else r.randint(0, 999)), "n1": lambda: str(r.randint(0, 9)), "x": lambda: f"{r.random() * r.choice([1, 50, 900]):.{r.randint(1, 4)}f}".replace(".", r.choice(".....,")),
+            "d": self.date, "t": lambda: r.choice([f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}", f"{r.randint(1, 12)} pm", f"{r.randint(0, 23)}h{r.randint(0, 59):02d}", f"{r.randint(0, 23)}.{r.randint(0, 59):02d} Uhr", f"{r.randint(0, 23)}:{r.randint(0, 59):02d}:{r.randint(0, 59):02d}"]),
+            "c": lambda: self.digits(r.choice(["###-####-##", "@-####", "@########", "@@-###", "####-##", "@##-####", "##/#####", "@@@-##-####", "########", "###-###-###", "##-###-###", "20##-#####", "#-###-@", "@@##.###", "###.###", "####-####-####", "##-###-##", "###-#######", "@-##-@", "@@@@-####"])),
+            "code": lambda: self.digits(r.choice(["@##@#", "@@###", "@##", "##@##", "@@####", "@-##", "@@@##", "@#@#", "###@", "@@-##@"])), "big": lambda: self.digits(r.choice(["%######", "%#########", "%########", "%###########", "%#####", "%# ####", "%## ### ###", "00%######"])),
+            "v": lambda: ".".join(str(r.randint(0, 30)) for _ in range(r.choice([2, 3, 3, 4]))), "l": lambda: r.choice("ABCDEF"), "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+            "money": lambda: r.choice([f"€{r.randint(1, 9999)}", f"{r.randint(1, 999)},{r.randint(0, 99):02d} €", f"${r.randint(1, 999)}.{r.randint(0, 99):02d}", f"{r.randint(1, 99)}.{r.randint(100, 999)},00 EUR", f"£{r.randint(1, 99)}", f"CHF {r.randint(1, 999)}.-"]),
+            "isbn": lambda: self.digits("978-#-###-#####-#"), "hash": lambda: f"{r.getrandbits(r.choice([32, 64, 128])):08x}", "url": lambda: r.choice(["https://", "www.", "http://"]) + self.word() + "." + r.choice(["org", "com", "de", "fr"]) + r.choice(["", "/" + self.word(), f"/{self.word()}?id={r.randint(1, 9999)}"]),
+            "F": self.family, "G": self.given, "T": lambda: r.choice(TITLES), "w": self.word, "W": self.capital, "Ws": lambda: " ".join(self.word().capitalize() for _ in range(r.choice([2, 2, 3, 4]))), "role": lambda: r.choice(ROLE),
+            "ep": lambda: r.choice(EPONYM) if r.random() < 0.5 else self.word(), "epde": lambda: r.choice(EPONYM_DE), "epfr": lambda: r.choice(EPONYM_FR), "firm": lambda: r.choice(FIRM), "st": lambda: r.choice(STREET_EN), "dest": lambda: r.choice(STREET_DE),
+        }[key]()
+
+    def fill(self, template: str) -> tuple[str, list[tuple[int, int, str]]]:
         out, spans = "", []
         for part in re.split(r"(\{\w+\})", template):
             key = part[1:-1] if part.startswith("{") else None
             kind = {"E": "email", "P": "phone", "A": "address", "N": "name"}.get(key)
             if kind:
-                s = getattr(self, {"email": "email", "phone": "phone", "address": "address", "name": "name"}[kind])()
+                s = getattr(self, kind)()
                 spans.append((len(out), len(out) + len(s), kind))
             elif key == "I":
                 label, gap, s = self.identity()
                 out += label + gap
                 spans.append((len(out), len(out) + len(s), "id_number"))
-            elif key:
-                s = {
-                    "n": lambda: str(r.randint(0, 9999) if r.random() < 0.4 else r.randint(0, 999)), "n1": lambda: str(r.randint(0, 9)), "x": lambda: f"{r.random() * 50:.{r.randint(1, 4)}f}",
-                    "d": lambda: f"2025-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", "t": lambda: f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}",
-                    "u": lambda: r.choice(["unit ", "cell ", "column 0000", "stress2:column:0000", "Zelle "]) + self.digits("###"),
-                    "c": lambda: self.digits(r.choice(["###-####-##", "@-####", "S########", "@@-###", "####-##", "@##-####"])), "k": lambda: self.digits(r.choice(["20####-###", "########", "######"])),
-                    "o": lambda: self.digits(r.choice(["###-###-###", "###-###-##", "##-###-###"])), "h": lambda: f"{r.getrandbits(64):016x}", "big": lambda: self.digits(r.choice(["#######", "##########", "## ####", "###-##"])),
-                    "alnum": lambda: self.digits(r.choice(["@##@#", "@@###", "@-##-@", "##@##"])), "f": self.family, "g": self.given, "noun": lambda: r.choice(NOUN), "adj": lambda: r.choice(ADJ),
-                    "Noun": lambda: r.choice(NOUN).capitalize(), "Adj": lambda: r.choice(ADJ).capitalize(), "T": lambda: r.choice(TITLES),
-                }[key]()
             else:
-                s = part
+                s = self.slot(key) if key else part
             out += s
         return out, spans
 
+    def words(self, n: int, join: list[str], german: bool) -> list[str]:
+        """A run of words, joined as in a sentence; German ones with capitals among them."""
+        r = self.r
+        out: list[str] = []
+        for _ in range(n):
+            w = r.choice(join) if r.random() < 0.45 else self.word()
+            lone = not out or out[-1][0].islower()  # two capitals in succession would look like a name
+            out.append(w.capitalize() if lone and w not in join and r.random() < (0.5 if german else 0.03) else w)
+        return out
+
+    def filler(self) -> str:
+        """A sentence of any words; capitals, numbers and codes among them."""
+        r = self.r
+        lang = r.choice([0, 0, 1, 2])
+        words = self.words(r.randint(2, 16), JOIN[lang], lang == 1)
+        for k in range(len(words)):
+            u = r.random()
+            if u < 0.09:
+                words[k] = self.slot(r.choice(["n", "x", "c", "c", "code", "n1", "big", "d", "t"]))
+            elif u < 0.1 and words[k - 1][0].islower() and words[(k + 1) % len(words)][0].islower():
+                words[k] = self.capital()
+            elif u < 0.15:
+                words[k] += ","
+        u = r.random()
+        if u < 0.1:
+            return " ".join(words)
+        out = " ".join([words[0][:1].upper() + words[0][1:], *words[1:]])
+        return (out.upper() if u < 0.16 else out) + r.choice([".", ".", ".", "!", "?", ":", ";", ""])
+
+    def carried(self) -> tuple[str, list[tuple[int, int, str]]]:
+        """What is personal in a written sentence, or among any words, so that no one phrase is needed beside it."""
+        r = self.r
+        if r.random() < 0.4:
+            template = r.choice(CARRIERS)
+        else:
+            piece = r.choice(["{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{N}", "{T}{N}", "{role} {N}", "{W}: {N}", "{n1}. {N}", "{N} - {w}", "{N}'s {w}", "{N}'s", "{E}", "{P}", "{P}", "{A}", "{A}", "{I}", "{I}", "{I}", "{N} ({E})", "{N}, {P}", "{N}, {I}", "{P} / {E}", "{N} and {N}", "{N}, {A}"])
+            lang = r.choice([0, 0, 1, 2])
+            before, after = (" ".join(self.words(r.choice([0, 0, 1, 2, 3, 4, 6, 9]), JOIN[lang], lang == 1)) for _ in range(2))
+            before = before[:1].upper() + before[1:] if r.random() < 0.8 else before
+            if r.random() < 0.18:
+                before = (before + " " + self.word().capitalize()).strip()
+            template = f"{before}{r.choice([' ', ' ', ' ', ' ', ' ', ': ', ', ', ' (']) if before else ''}{piece}{r.choice([' ', ' ', ' ', ' ', ', ', '; ', ') ', ' - ']) if after else ''}{after}{r.choice(['.', '.', '.', '', '!', ';'])}"
+        if r.random() < 0.06:  # a line in capitals
+            s, spans = self.fill(template)
+            return (s.upper(), spans) if len(s.upper()) == len(s) else (s, spans)
+        return self.fill(template)
+
     def sentence(self) -> tuple[str, list[tuple[int, int, str]]]:
         r = self.r
         u = r.random()
-        if u < 0.33:
-            return self.fill(r.choice(CARRIERS))
-        if u < 0.45:
-            return self.fill(r.choice(INSTRUMENT))
-        if u < 0.72:
-            s, _ = self.fill(r.choice(r.choice([EN, EN, EN, DE, FR])))
-            return s, []
-        det = lambda: r.choice(["the", "a", "every", "some", "no", "that", "each", "its", "another", "this", "one"])
-        clause = lambda: f"{det()} {r.choice(ADJ)} {r.choice(NOUN)} {r.choice(['', 'often ', 'rarely ', 'hardly ', 'clearly '])}{r.choice(VERB)} {det()} {r.choice(ADJ)} {r.choice(NOUN)} {r.choice(['near', 'beside', 'across', 'below', 'without', 'past'])} {det()} {r.choice(NOUN)}"
-        s = clause()
-        if r.random() < 0.3:
-            s += r.choice(["; ", ", and "]) + clause()
-        s = s.capitalize() + "."
-        return (s.upper() if r.random() < 0.06 else s), []
+        if u < 0.58:
+            return self.carried()
+        if u < 0.78:
+            s, _ = self.fill(r.choice(NEUTRAL))
+            return (s.upper() if r.random() < 0.03 else s), []
+        return self.filler(), []
 
     def text(self, least: int) -> tuple[str, list[tuple[int, int, str]]]:
         out, spans = "", []
         while len(out) < least:
             s, found = self.sentence()
             spans += [(a + len(out), z + len(out), k) for a, z, k in found]
-            out += s + self.r.choice([" ", " ", " ", " ", "\n", "\n\n"])
+            out += s + self.r.choice([" ", " ", " ", " ", " ", "\n", "\n\n", "  ", "\n- "])
         if self.r.random() < 0.04:
             out = out.replace(" ", "\u00a0")
         return out, spans
