@@ -88,7 +88,7 @@ def test_scatters_equal_whole_series(rows, monkeypatch, digits):
     v[100:130], v[300], v[400:520] = v[100], 5000.0, v[400]
     w = np.full(200, 3.0) + np.where(np.arange(200) % 50 == 7, 0.5, 0.0)
     flags(rows, series(v.tolist()) + series(w.tolist(), unit="w", start=2000))
-    got = {x["unit"]: x["s0"] for x in told[0].collect()}
+    got = {x["unit"]: x["s"] for x in told[0].collect()}
     want = {k: A.scatter(x[A.calm_readings(x, *A.BOUNDS["capacity_loss_pct"])]) for k, x in (("u", v), ("w", w))}
     assert {k: np.nan if x is None else x for k, x in got.items()} == pytest.approx({k: x for k, x in want.items() if k in got}, nan_ok=True)
     assert all(np.isnan(want[k]) for k in want.keys() - got.keys())
@@ -101,20 +101,61 @@ def test_empty_short_and_null_series(rows):
     assert flags(rows, series([5.0, 500.0])) == {(1, "out_of_range")}
 
 
-def test_posteriors_equal_log_space_enumeration():
+def test_posteriors_equal_enumeration_of_paths(monkeypatch):
+    monkeypatch.setattr(A, "SEGMENT", [(1, 1)])
+    monkeypatch.setattr(A, "FIRST_STUCK", 2)
+    monkeypatch.setattr(A, "STATES", 4)
+    monkeypatch.setattr(A, "STUCK_RUN", 2)
+    monkeypatch.setattr(A, "MOVES", A._moves())
+    monkeypatch.setattr(A, "ENDS", np.array([1.0, 1.0, 0.0, 1.0]))
     rng = np.random.default_rng(0)
-    e = [rng.random((n, 4)) + 0.01 for n in (4, 1, 3)]
-    for one, got in zip(e, A.posteriors(e), strict=True):
-        n = len(one)
+    series_ = [(rng.random((n, 4)) + 0.01, np.arange(n) == hard) for n, hard in ((4, 2), (1, -1), (3, -1), (5, 0))]
+    for (e, hard), got in zip(series_, A.posteriors(series_), strict=True):
+        used = e[~hard]
+        n = len(used)
         total = np.zeros((n, 4))
         for code in range(4**n):
             path = [(code // 4**k) % 4 for k in range(n)]
-            p = A.START[path[0]] * one[0, path[0]]
+            p = A.MOVES[0, path[0]] * used[0, path[0]] * A.ENDS[path[-1]]
             for k in range(1, n):
-                p *= A.MOVES[path[k - 1], path[k]] * one[k, path[k]]
+                p *= A.MOVES[path[k - 1], path[k]] * used[k, path[k]]
             for k in range(n):
                 total[k, path[k]] += p
-        assert got == pytest.approx(total / total.sum(axis=1, keepdims=True))
+        total /= total.sum(axis=1, keepdims=True)
+        assert got[~hard] == pytest.approx(np.c_[total[:, 0], total[:, 1], total[:, 2] + total[:, 3], np.zeros(n)])
+        assert got[hard].tolist() == [[0, 0, 0, 1]] * int(hard.sum())
+
+
+def test_the_model_decides(rows, monkeypatch):
+    """With another price of spikes or another steepness other readings are flagged: no rule stands behind the posterior."""
+    v = noise(200, 9)
+    s = A.scatter(np.array(v))
+    v[60] = max(v[59], v[61]) + 9.0 * s
+    v[59] = v[61]
+    assert flags(rows, series(v)) == set()
+    monkeypatch.setattr(A, "SPIKE_SCATTERS", 8.0)
+    _, hard = A.emissions(np.array(v), -20, 100)
+    assert A.posteriors([A.emissions(np.array(v), -20, 100)])[0][60, A.SPIKE] > 0.99 and not hard.any()
+
+
+def test_sparse_measure_in_blocks_by_rank(rows, monkeypatch):
+    """A measure read at every hundredth event, with a stuck run across the edge of a block."""
+    monkeypatch.setattr(A, "BLOCK", 64)
+    monkeypatch.setattr(A, "MARGIN", 16)
+    v = noise(300, 10)
+    v[60:68] = [v[60]] * 8
+    v[128] += 9.0
+    data = [(0, "u", "m", i, 100 * i, float(i), x, None, None, 7, "clash") for i, x in enumerate(v)]
+    more = [(0, "u", "m", 10_000 + i, i, float(i), None, 1.0 + i // 7 % 5, None, 7, "clash") for i in range(0, 3000, 7)]
+    assert flags(rows, data + more + data[50:70]) == {(i, "stuck") for i in range(60, 68)} | {(128, "spike")}
+
+
+def test_numbers_run_over_ranges_of_a_series(rows, spark, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    data = series(noise(500, 11)) + series(noise(40, 12), unit="w", start=1000)
+    got = {(r["unit"], r["row_key"]): r["rank"] for r in A.ranked(rows(data + data[100:200], SCHEMA)).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {("u", i): i for i in range(500)} | {("w", 1000 + i): i for i in range(40)}
 
 
 def test_very_unlike_units_keep_their_own_scale(rows):

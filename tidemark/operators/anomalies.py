@@ -1,20 +1,29 @@
-"""Implausible readings: a hidden Markov model per series, then an exact check.
-
-Each series (unit and measure) is read in order of event index. Hidden states are normal,
-spike, stuck and out of range. A reading's emission rests on its distance from the local
-median in units of the series' own scatter, on whether it exactly equals a neighbour, and
-on hard bounds. Forward-backward probabilities name the candidates; a candidate is
-reported once the definition holds for it:
-
-* out of range: not finite or outside the measure's bounds;
-* stuck: part of a run of at least ``STUCK_RUN`` exactly equal readings;
-* spike: one to ``SPIKE_RUN`` readings in succession, all on one side of the sound readings
-  before and after them by more than ``SPIKE_SCATTERS`` scatters, while those agree.
-
-Series are cut into blocks of ``BLOCK`` event indexes with margins of ``MARGIN``; the model
-forgets faster than that. Scatter is taken over the whole series: in place where a unit lies
-in one block, else beforehand from all its blocks. Series of fewer than three readings have
-no scatter and hence no spikes.
+"""Implausible readings, flagged by a hidden Markov model with counted durations.
+
+Each series (unit and measure) is read in order of event index. The states are normal,
+the j-th of n spike readings (n up to ``SPIKE_RUN``), and the k-th reading of a stuck run
+(the last one, ``STUCK_RUN``, repeats itself). Their emissions:
+
+* normal: any reading; one that exactly equals its predecessor is rare;
+* stuck: the first reading differs from its predecessor, each further one equals it, and
+  a run can be left only once it has its least length;
+* spike: the segment is set against the sound readings before and after it. Its log odds
+  grow by ``STEEP`` with every scatter by which it stands off, to one side, beyond
+  ``SPIKE_SCATTERS``, as long as those two readings agree within ``AGREE_SCATTERS``;
+  entering is priced so that the odds are even at exactly that distance;
+* out of range: values that are not finite or outside the measure's hard bounds say
+  nothing about the state, which passes them by; the bounds alone flag them.
+
+Forward-backward probabilities assign the flags: a reading is faulty where normal has less
+than half of the probability, and of the kind that has most of it.
+
+The sound neighbours of a spike are the next readings that are neither out of range nor in
+a run of STUCK_RUN equal ones; where further spikes stand there, the next ones that lie
+within ``STRONG`` deviations of the local median.
+
+Series of more than ``BLOCK`` readings are cut into blocks of BLOCK readings by rank, with
+margins of ``MARGIN`` readings; their scatter is that of the whole series, from merged counts
+of its blocks. Series of fewer than three readings have no scatter and hence no spikes.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +49,48 @@ BOUNDS = {
 }
 BLOCK, MARGIN = 4096, 256
 STUCK_RUN, SPIKE_RUN, SPIKE_SCATTERS, AGREE_SCATTERS = 8, 3, 10.0, 7.5
+STEEP, MOST = 40.0, 30.0  # log odds for each scatter beyond the limit, and from where on they grow slowly
 DEVIATION = 1.4826  # standard deviations of normal differences in one median absolute difference
-STRONG = 4.0  # deviations from the local median from which a candidate is no neighbour to measure by
+STRONG = 4.0  # deviations from the local median from which a reading is no neighbour to measure by
 MEDIAN_OF = 11
-NORMAL, SPIKE, STUCK, OUT = range(4)
+EQUAL = 0.05  # how likely a normal reading equals its predecessor
+ENTER_SPIKE, ENTER_STUCK, STAY_STUCK = 0.004, 0.008, 0.97
 KINDS = np.array(["normal", "spike", "stuck", "out_of_range"])
-START = np.array([0.96, 0.015, 0.015, 0.01])
-MOVES = np.array([[0.975, 0.012, 0.008, 0.005], [0.55, 0.43, 0.01, 0.01], [0.06, 0.01, 0.92, 0.01], [0.60, 0.02, 0.02, 0.36]])
-CANDIDATE = 0.01
+NORMAL, SPIKE, STUCK, OUT = range(4)
+#: States: 0 normal; then (n, j) of the spikes; then the counted stuck readings.
+SEGMENT = [(n, j) for n in range(1, SPIKE_RUN + 1) for j in range(1, n + 1)]
+FIRST_STUCK = 1 + len(SEGMENT)
+STATES = FIRST_STUCK + STUCK_RUN
 _SCHEMA = "tab int, row_key long, measure int, kind string, p_fault double"
 _STEPS = "tab int, unit string, measure int, block long, d double, n long, first double, last double"
+_NUMBERED = "tab int, unit string, measure int, row_key long, v double, pid int, place long"
 _SERIES = ["tab", "unit", "measure"]
-FIRST = -(1 << 63)  # place of the row that brings a block its unit's scatters
+
+
+def _moves() -> np.ndarray:
+    m = np.zeros((STATES, STATES))
+    fresh = np.zeros(STATES)
+    for k, (_, j) in enumerate(SEGMENT, 1):
+        if j == 1:
+            fresh[k] = ENTER_SPIKE
+    fresh[FIRST_STUCK] = ENTER_STUCK
+    fresh[0] = 1 - fresh.sum()
+    m[0] = fresh
+    for k, (n, j) in enumerate(SEGMENT, 1):
+        if j < n:
+            m[k, k + 1] = 1
+        else:
+            m[k] = fresh
+    for k in range(FIRST_STUCK, STATES - 1):
+        m[k, k + 1] = 1
+    m[-1] = (1 - STAY_STUCK) * fresh
+    m[-1, -1] += STAY_STUCK
+    return m
+
+
+MOVES = _moves()
+#: A series may end in a normal reading, a whole spike or a whole stuck run.
+ENDS = np.array([1.0] + [float(j == n) for n, j in SEGMENT] + [0.0] * (STUCK_RUN - 1) + [1.0])
 
 
 def equal_runs(v: np.ndarray) -> np.ndarray:
@@ -78,154 +118,154 @@ def calm_readings(v: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.isfinite(v) & (v >= low) & (v <= high) & (equal_runs(v) < STUCK_RUN)
 
 
-def emissions(v: np.ndarray, low: float, high: float, s: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Likelihoods (n, 4) of one series, its signed distances from the local median in deviations, its scatter.
+def local_median(w: np.ndarray) -> np.ndarray:
+    """Median of up to MEDIAN_OF readings around each one, fewer at the ends."""
+    n, half = len(w), MEDIAN_OF // 2
+    out = np.empty(n)
+    edge = np.r_[np.arange(min(half, n)), np.arange(max(half, n - half), n)]
+    for k in edge:
+        out[k] = np.median(w[max(0, k - half) : k + half + 1])
+    if n > 2 * half:
+        out[half : n - half] = np.median(np.lib.stride_tricks.sliding_window_view(w, MEDIAN_OF), axis=1)
+    return out
+
+
+def spike_odds(w: np.ndarray, s: float) -> np.ndarray:
+    """(readings, SPIKE_RUN) log odds that a spike of n readings begins at each of the sound-looking readings ``w``."""
+    size = len(w)
+    out = np.full((size, SPIKE_RUN), -MOST)
+    x = (w - local_median(w)) / (DEVIATION * s)
+    side = np.where(np.abs(x) > STRONG, np.sign(x), 0).astype(int)
+    calm = np.flatnonzero(side == 0)
+    at = np.arange(size)
+    before, after = np.searchsorted(calm, at, "left") - 1, np.searchsorted(calm, at, "right")
+    for n in range(1, SPIKE_RUN + 1):
+        if size < n + 2:
+            break
+        first = at[1 : size - n]
+        inner = np.lib.stride_tricks.sliding_window_view(w, n)[1:-1]
+        low, high = inner.min(axis=1), inner.max(axis=1)
+
+        def odds(b, a, low=low, high=high):
+            off = np.maximum(low - np.maximum(a, b), np.minimum(a, b) - high) / s
+            return STEEP * np.minimum(off - SPIKE_SCATTERS, AGREE_SCATTERS - np.abs(a - b) / s)
+
+        found = odds(w[first - 1], w[first + n])
+        if len(calm):
+            sides = np.lib.stride_tricks.sliding_window_view(side, n)[1:-1]
+            whole = (sides[:, 0] != 0) & (sides == sides[:, :1]).all(axis=1) & (side[first - 1] != sides[:, 0]) & (side[first + n] != sides[:, 0])
+            b, a = before[first], after[first + n - 1]
+            whole &= (b >= 0) & (a < len(calm))
+            found = np.where(whole, np.maximum(found, odds(w[calm[np.maximum(b, 0)]], w[calm[np.minimum(a, len(calm) - 1)]])), found)
+        far = np.maximum(found, MOST)  # of two sure readings of one stretch the one that stands off further wins
+        out[first, n - 1] = np.where(found > MOST, MOST + 5 * np.log(far / MOST), np.maximum(found, -MOST))
+    return out
+
+
+def emissions(v: np.ndarray, low: float, high: float, s: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihoods (n, STATES) of one series, and which readings the hard bounds rule out.
 
     ``s`` is the scatter if the readings are only part of the series.
     """
     n = len(v)
     hard = ~(np.isfinite(v) & (v >= low) & (v <= high))
-    runs = equal_runs(v)
     calm = calm_readings(v, low, high)
-    x = np.zeros(n)
-    s = scatter(v[calm]) if s is None else s
-    if s > 0 and calm.any():
-        w = v[calm]
-        half = min(MEDIAN_OF // 2, max(0, (len(w) - 1) // 2))
-        around = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(w, half, mode="reflect"), 2 * half + 1), axis=1)
-        level = np.interp(np.arange(n), np.flatnonzero(calm), around)
-        x[~hard] = (v[~hard] - level[~hard]) / (DEVIATION * s)
-    equal = runs >= 2
-    usual = np.clip(np.mean(equal[calm]) if calm.any() else 0.0, 0.02, 0.25)
-    e = np.empty((n, 4))
-    e[:, NORMAL] = (0.3 * np.exp(-0.5 * (x / 1.5) ** 2) + 1e-8) * np.where(equal, usual, 1 - usual)
-    e[:, SPIKE] = 0.02 / (1 + np.exp(np.clip(6 - np.abs(x), -50, 50))) + 1e-9
-    e[:, STUCK] = np.where(equal, 0.3, 1e-9)
-    e[:, OUT] = 1e-12
-    e[hard] = [1e-12, 1e-12, 1e-12, 1.0]
-    return e, x, s
-
-
-def posteriors(series: list[np.ndarray]) -> list[np.ndarray]:
-    """Forward-backward probabilities of many series at once; each is (n, 4) likelihoods."""
-    order = np.argsort([-len(e) for e in series], kind="stable")
-    lengths = np.array([len(series[i]) for i in order])
+    w = v[calm]
+    s = scatter(w) if s is None else s
+    e = np.zeros((n, STATES))
+    equal = np.r_[False, v[1:] == v[:-1]]
+    usual = np.where(equal, EQUAL, 1.0)
+    e[:, :FIRST_STUCK] = usual[:, None]
+    e[:, FIRST_STUCK] = ~equal
+    e[:, FIRST_STUCK + 1 :] = equal[:, None]
+    odds = np.full((n, SPIKE_RUN), -MOST)
+    if s > 0 and len(w) > 2:
+        odds[calm] = spike_odds(w, s)
+    for k, (m, j) in enumerate(SEGMENT, 1):
+        if j == 1:  # the price of entering is given back, so that the odds stand as they are
+            e[:, k] *= np.exp(odds[:, m - 1]) * MOVES[0, 0] ** m / ENTER_SPIKE
+    e[hard] = 1.0
+    return e, hard
+
+
+def posteriors(series: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Forward-backward probabilities (n, 4) of the kinds for many series at once; each is ``emissions``."""
+    order = np.argsort([-len(e) for e, _ in series], kind="stable")
+    lengths = np.array([len(series[i][0]) for i in order])
     if not len(lengths) or not lengths[0]:
         return [np.zeros((0, 4)) for _ in series]
     steps = int(lengths[0])
-    e = np.ones((steps, len(order), 4))
+    e = np.ones((steps, len(order), STATES))
+    passed = np.zeros((steps, len(order)), bool)
     for k, i in enumerate(order):
-        e[: lengths[k], k] = series[i]
+        e[: lengths[k], k], passed[: lengths[k], k] = series[i]
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # series longer than t come first
     fore = np.zeros_like(e)
-    p = START * e[0]
-    fore[0] = p / p.sum(axis=1, keepdims=True)
-    for t in range(1, steps):
+    p = np.zeros((len(order), STATES))
+    p[:, 0] = 1.0  # before its first reading a series is normal
+    for t in range(steps):
+        k = alive[t]
+        q = (p[:k] @ MOVES) * e[t, :k]
+        q /= q.sum(axis=1, keepdims=True)
+        p = np.where(passed[t, :k, None], p[:k], q)
+        fore[t, :k] = p
+    back = np.tile(ENDS, (len(order), 1))
+    for t in range(steps - 1, -1, -1):
         k = alive[t]
-        p = (fore[t - 1, :k] @ MOVES) * e[t, :k]
-        fore[t, :k] = p / p.sum(axis=1, keepdims=True)
-    back = np.ones((len(order), 4))
-    for t in range(steps - 2, -1, -1):
-        k = alive[t + 1]
-        b = (e[t + 1, :k] * back[:k]) @ MOVES.T
-        back[:k] = b / b.sum(axis=1, keepdims=True)
         fore[t, :k] *= back[:k]
+        b = (e[t, :k] * back[:k]) @ MOVES.T
+        b /= b.sum(axis=1, keepdims=True)
+        back[:k] = np.where(passed[t, :k, None], back[:k], b)
     fore /= np.maximum(fore.sum(axis=2, keepdims=True), 1e-300)
+    kinds = np.stack([fore[..., 0], fore[..., 1:FIRST_STUCK].sum(axis=2), fore[..., FIRST_STUCK:].sum(axis=2), np.zeros(fore.shape[:2])], axis=2)
+    kinds[passed] = [0.0, 0.0, 0.0, 1.0]
     out: list[np.ndarray] = [np.zeros((0, 4))] * len(series)
     for k, i in enumerate(order):
-        out[i] = fore[: lengths[k], k]
+        out[i] = kinds[: lengths[k], k]
     return out
 
 
-def confirmed(v: np.ndarray, post: np.ndarray, x: np.ndarray, s: float, low: float, high: float) -> np.ndarray:
-    """State per reading after the exact check of the model's candidates."""
-    state = np.zeros(len(v), int)
-    hard = ~(np.isfinite(v) & (v >= low) & (v <= high))
-    state[hard & (post[:, OUT] > CANDIDATE)] = OUT
-    runs = equal_runs(v)
-    state[(runs >= STUCK_RUN) & ~hard & (post[:, STUCK] > CANDIDATE)] = STUCK
-    if not s > 0:
-        return state
-    at = np.flatnonzero(state == NORMAL)
-    maybe = post[at, NORMAL] < 1 - CANDIDATE
-    # A spike beside readings that are sound as they stand; taken out, it may bare another.
-    for _ in range(SPIKE_RUN):
-        hit = _spikes(v[at], maybe, s)
-        if not hit.any():
-            break
-        state[at[hit]] = SPIKE
-        at, maybe = at[~hit], maybe[~hit]
-    # Spikes beside spikes to the other side: each is set against the nearest readings that do not stand off.
-    strong = maybe & (np.abs(x[at]) > STRONG)
-    sound = np.flatnonzero(~strong)
-    edges = np.flatnonzero(np.diff(np.r_[0, np.where(strong, np.sign(x[at]), 0), 0]))
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
-        b = np.searchsorted(sound, a)
-        if strong[a] and z - a <= SPIKE_RUN and 0 < b < len(sound):
-            before, after = v[at[sound[b - 1]]], v[at[sound[b]]]
-            if abs(before - after) <= AGREE_SCATTERS * s and _beyond(v[at[a:z]], before, after, s).all():
-                state[at[a:z]] = SPIKE
-    return state
-
-
-def _beyond(w, before, after, s):
-    """Whether values lie beyond both neighbours, to one side, by more than the limit."""
-    reach = SPIKE_SCATTERS * s
-    over, under = w - np.maximum(before, after) > reach, np.minimum(before, after) - w > reach
-    return over if np.all(over) else under
-
-
-def _spikes(w: np.ndarray, maybe: np.ndarray, s: float) -> np.ndarray:
-    """Candidates in runs of up to SPIKE_RUN that stand off from both adjacent readings, which agree."""
-    hit = np.zeros(len(w), bool)
-    reach, agree = SPIKE_SCATTERS * s, AGREE_SCATTERS * s
-    for n in range(1, SPIKE_RUN + 1):
-        if len(w) < n + 2:
-            break
-        a, c = w[: -n - 1], w[n + 1 :]
-        inner = np.lib.stride_tricks.sliding_window_view(w[1:-1], n)
-        all_maybe = np.lib.stride_tricks.sliding_window_view(maybe[1:-1], n).all(axis=1)
-        off = (inner.min(axis=1) - np.maximum(a, c) > reach) | (np.minimum(a, c) - inner.max(axis=1) > reach)
-        for k in np.flatnonzero(all_maybe & off & (np.abs(a - c) <= agree)):
-            hit[k + 1 : k + 1 + n] = True
-    return hit
-
-
-def _block_series(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple]]]:
-    """Frames of whole blocks, each with ``measure, rows, values, scatter`` of every series that has core readings."""
-    for frame in whole_groups(batches, ["tab", "unit", "block"], 60_000):
-        frame = frame[~frame.duplicated(["tab", "unit", "block", "ev", "row_key"])]
-        group = frame.groupby(["tab", "unit", "block"], sort=False).ngroup().to_numpy()
+def _unit_series(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """``tab, unit, block, measure, row keys, readings, core, scatter`` of every series of whole units."""
+    for frame in whole_groups(batches, ["tab", "unit"], 60_000):
+        frame = frame[~frame.duplicated(["tab", "unit", "ev", "row_key"])]
+        group = frame.groupby(["tab", "unit"], sort=False).ngroup().to_numpy()
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-        tab, core = (frame[c].to_numpy() for c in ("tab", "core"))
+        tab, unit, key = (frame[c].to_numpy() for c in ("tab", "unit", "row_key"))
         values = [frame[f"m{i}"].to_numpy() for i in range(3)]
         jobs = []
         for a, z in zip(edges[:-1], edges[1:], strict=True):
-            told = core[a] == 2
             for i in range(len(MEASURES[TABLES[tab[a]]])):
-                rows = a + told + np.flatnonzero(~np.isnan(values[i][a + told : z]))
-                if len(rows) and core[rows].any():
-                    jobs.append((i, rows, values[i][rows], float(values[i][a]) if told else None))
-        yield frame, jobs
+                rows = a + np.flatnonzero(~np.isnan(values[i][a:z]))
+                if len(rows):
+                    jobs.append((tab[a], unit[a], 0, i, key[rows], values[i][rows], np.ones(len(rows), bool), None))
+        yield jobs
+
+
+def _block_series(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """As ``_unit_series``, of the blocks of long series."""
+    for frame in whole_groups(batches, [*_SERIES, "block"], 60_000):
+        group = frame.groupby([*_SERIES, "block"], sort=False).ngroup().to_numpy()
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+        tab, unit, block, measure, key, v, core, s = (frame[c].to_numpy() for c in ("tab", "unit", "block", "measure", "row_key", "v", "core", "s"))
+        yield [(tab[a], unit[a], block[a], measure[a], key[a:z], v[a:z], core[a:z] == 1, float(s[a])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How often each absolute difference of successive calm readings occurs in a block, and its first and last one."""
-    for frame, jobs in _block_series(batches):
-        tab, unit, block, core = (frame[c].to_numpy() for c in ("tab", "unit", "block", "core"))
+    for jobs in _block_series(batches):
         parts = []
-        for i, rows, v, _ in jobs:
-            w = v[calm_readings(v, *BOUNDS[MEASURES[TABLES[tab[rows[0]]]][i]]) & (core[rows] == 1)]
+        for tab, unit, block, i, _, v, core, _ in jobs:
+            w = v[calm_readings(v, *BOUNDS[MEASURES[TABLES[tab]][i]]) & core]
             if len(w):
                 d, n = np.unique(np.abs(np.diff(w)), return_counts=True)
-                at = {"tab": tab[rows[0]], "unit": unit[rows[0]], "measure": i, "block": block[rows[0]]}
-                parts.append(pd.DataFrame({**at, "d": np.r_[d, np.nan], "n": np.r_[n, 0], "first": w[0], "last": w[-1]}))
+                parts.append(pd.DataFrame({"tab": tab, "unit": unit, "measure": i, "block": block, "d": np.r_[d, np.nan], "n": np.r_[n, 0], "first": w[0], "last": w[-1]}))
         if parts:
             yield pd.concat(parts, ignore_index=True)
 
 
 def scatters(steps: DataFrame) -> DataFrame:
-    """``tab, unit, s0, s1, s2``: ``scatter`` of whole series from the ``_steps`` of their blocks.
+    """``tab, unit, measure, s``: ``scatter`` of whole series from the ``_steps`` of their blocks.
 
     The middle differences are looked up in logarithmic bins first and then in the one or
     two bins that hold them, so no series is sorted by one task.
@@ -248,25 +288,60 @@ def scatters(steps: DataFrame) -> DataFrame:
     within = lambda r: (F.col("before") <= F.col(r)) & (F.col(r) < F.col("before") + F.col("n"))
     near = d.join(bins.filter(within("lo") | within("hi")).select(*_SERIES, "bin", "lo", "hi", "part", F.col("before").alias("base")), [*_SERIES, "bin"])
     near = near.withColumn("before", F.col("base") + upto(Window.partitionBy(*_SERIES, "bin").orderBy("d")) - F.col("n"))
-    s = near.groupBy(*_SERIES).agg(((F.max(F.when(within("lo"), F.col("d"))) + F.max(F.when(within("hi"), F.col("d")))) / 2 * F.max("part")).alias("s"))
-    return s.groupBy("tab", "unit").agg(*[F.max(F.when(F.col("measure") == i, F.col("s"))).alias(f"s{i}") for i in range(3)])
-
-
-def _flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame, found in _block_series(batches):
-        tab, key, core = (frame[c].to_numpy() for c in ("tab", "row_key", "core"))
-        jobs = []
-        for i, rows, v, told in found:
-            low, high = BOUNDS[MEASURES[TABLES[tab[rows[0]]]][i]]
-            jobs.append((i, rows, v, low, high, *emissions(v, low, high, told)))
-        parts = []
-        for post, (i, rows, v, low, high, _, x, s) in zip(posteriors([j[5] for j in jobs]), jobs, strict=True):
-            state = confirmed(v, post, x, s, low, high)
-            hit = np.flatnonzero((state != NORMAL) & (core[rows] == 1))
-            if len(hit):
-                parts.append(pd.DataFrame({"tab": tab[rows[hit]], "row_key": key[rows[hit]], "measure": i, "kind": KINDS[state[hit]], "p_fault": 1 - post[hit, NORMAL]}))
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+    return near.groupBy(*_SERIES).agg(((F.max(F.when(within("lo"), F.col("d"))) + F.max(F.when(within("hi"), F.col("d")))) / 2 * F.max("part")).alias("s"))
+
+
+def _flag(jobs_of):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for jobs in jobs_of(batches):
+            told = [emissions(v, *BOUNDS[MEASURES[TABLES[tab]][i]], s) for tab, _, _, i, _, v, _, s in jobs]
+            parts = []
+            for post, (tab, _, _, i, key, _, core, _) in zip(posteriors(told), jobs, strict=True):
+                hit = np.flatnonzero((post[:, NORMAL] < 0.5) & core)
+                if len(hit):
+                    parts.append(pd.DataFrame({"tab": tab, "row_key": key[hit], "measure": i, "kind": KINDS[1 + post[hit, 1:].argmax(axis=1)], "p_fault": 1 - post[hit, NORMAL]}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return run
+
+
+def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number the readings of each series within the task; rows come sorted, repeated ones count once."""
+    pid = TaskContext.get().partitionId()
+    last, seen = None, 0
+    for b in batches:
+        if not len(b):
+            continue
+        row = [*_SERIES, "ev", "row_key"]
+        fresh = ~b.duplicated(row).to_numpy()
+        if last is not None:
+            fresh &= ~(b[row] == list(last)).all(axis=1).to_numpy()
+        b = b[fresh]
+        if not len(b):
+            continue
+        group = b.groupby(_SERIES, sort=False)
+        place = group.cumcount().to_numpy()
+        if last is not None:
+            same = (b[_SERIES] == list(last[:3])).all(axis=1).to_numpy()
+            place[same] += seen
+        last, seen = tuple(b[row].iloc[-1]), int(place[-1]) + 1
+        yield b.assign(pid=pid, place=place)[["tab", "unit", "measure", "row_key", "v", "pid", "place"]]
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """``tab, unit, measure, row_key, v, rank`` of every reading: its place in its series.
+
+    Readings are laid out in ranges of series, event index and row key, so no task gets a
+    series whole; a range's numbers are shifted by the counts of those before it.
+    """
+    each = F.posexplode(F.array(*[f"m{i}" for i in range(3)])).alias("measure", "v")
+    order = [*_SERIES, "ev", "row_key"]
+    long = rows.select("tab", "unit", "row_key", "ev", each).filter("v is not null and not isnan(v)")
+    numbered = cut(long.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_number, _NUMBERED))
+    upto = Window.partitionBy(*_SERIES).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = numbered.groupBy(*_SERIES, "pid").agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    return numbered.join(shifts, [*_SERIES, "pid"]).withColumn("rank", F.col("place") + F.col("shift")).drop("pid", "place", "shift")
 
 
 def faulty_readings(rows: DataFrame) -> DataFrame:
@@ -274,21 +349,20 @@ def faulty_readings(rows: DataFrame) -> DataFrame:
 
     Null and flagged values are no readings. Repeated rows count once; readings with equal
     event index follow each other by row key. Rows without an event index have no place in
-    their series and are left out. Blocks of units that lie in several get their unit's
-    scatters in a row of their own. An empty input gives an empty result.
+    their series and are left out. An empty input gives an empty result.
     """
-    laid = lambda df: df.repartition("tab", "unit", "block").sortWithinPartitions("tab", "unit", "block", "ev", "row_key")
     placed = rows.filter("ev is not null").select("tab", "unit", "row_key", "ev", "m0", "m1", "m2")
-    blocks = in_blocks(placed, "ev", BLOCK, MARGIN)
-    own = placed.select("tab", "unit", F.floor(F.col("ev") / BLOCK).cast("long").alias("block")).distinct()
-    long = cut(own.groupBy("tab", "unit").agg(F.min("block").alias("a"), F.max("block").alias("z")).filter("a < z").select("tab", "unit"))
+    sizes = placed.groupBy("tab", "unit").agg(F.count("*").alias("n"))
+    long = cut(sizes.filter(F.col("n") > BLOCK).select("tab", "unit"))
+    key = ["tab", "unit"]
+    whole = lambda df: df.repartition(*key).sortWithinPartitions(*key, "ev", "row_key").mapInPandas(_flag(_unit_series), _SCHEMA)
     if long.isEmpty():
-        return laid(blocks).mapInPandas(_flag, _SCHEMA)
-    s = scatters(cut(laid(blocks.join(long, ["tab", "unit"], "left_semi")).mapInPandas(_steps, _STEPS)))
-    none = F.lit(float("nan"))
-    told = own.join(long, ["tab", "unit"], "left_semi").join(s, ["tab", "unit"], "left")
-    told = told.select("tab", "unit", F.lit(0).cast("long").alias("row_key"), F.lit(FIRST).alias("ev"), *[F.coalesce(f"s{i}", none).alias(f"m{i}") for i in range(3)], "block", F.lit(2).alias("core"))
-    return laid(blocks.unionByName(told)).mapInPandas(_flag, _SCHEMA)
+        return whole(placed)
+    blocks = cut(in_blocks(ranked(placed.join(long, key, "left_semi")), "rank", BLOCK, MARGIN))
+    laid = lambda df: df.repartition(*_SERIES, "block").sortWithinPartitions(*_SERIES, "block", "rank")
+    s = scatters(cut(laid(blocks.withColumn("s", F.lit(0.0))).mapInPandas(_steps, _STEPS)))
+    told = laid(blocks.join(s, _SERIES, "left").withColumn("s", F.coalesce("s", F.lit(0.0))))
+    return whole(placed.join(long, key, "left_anti")).unionByName(told.mapInPandas(_flag(_block_series), _SCHEMA))
 
 
 def named(df: DataFrame) -> DataFrame:

@@ -32,7 +32,67 @@ orphans as (
 """
 _UNIT = "lower(trim({0}, " + _CHARS + "))"
 
+_NEAR = " ".join(
+    f"""
+  , case when adj{n} is not null and adj{n} > 0 or (side <> 0 and same{n} and lag(side) over w <> side and lead(side, {n}) over w <> side and far{n} > 0) then 1 else 0 end as hit{n}"""
+    for n in (1, 2, 3)
+)
+
+
+def _clear(low: str, high: str, before: str, after: str) -> str:
+    """By how many scatters a segment clears both limits of a spike, in SQL."""
+    return f"least(greatest({low} - greatest({before}, {after}), least({before}, {after}) - {high}) / s - 10.0, 7.5 - abs({before} - {after}) / s)"
+
+
+def _segment(n: int) -> str:
+    ahead = [f"lead(v, {k}) over w" for k in range(1, n)]
+    low, high = (f"{f}({', '.join(['v', *ahead])})" if ahead else "v" for f in ("least", "greatest"))
+    same = " and ".join(["lead(side, %d) over w is not distinct from side" % k for k in range(1, n)]) or "true"
+    inside = f"(lag(v) over w is not null and lead(v, {n}) over w is not null)"
+    near = _clear(low, high, "lag(v) over w", f"lead(v, {n}) over w")
+    far = _clear(low, high, "calm_before", f"lead(calm_after, {n - 1}) over w")
+    return f"case when {inside} then {near} end as adj{n}, case when {inside} then {far} end as far{n}, ({same}) as same{n}"
+
+
+_FAULTY = f"""
+with bounds(m, low, high) as (
+  values ('capacity_loss_pct', -20.0, 100.0), ('esr_increase_pct', -60.0, 1000.0), ('capacity_ratio', 0.0, 1.2), ('esr_ratio', 0.4, 11.0), ('case_temp_c', -40.0, 150.0)),
+raw as (
+  select 'stress2_events' as tab, {_UNIT.format('dataset_unit_key')} as u, event_index_0based as ev, row_id as k,
+         unnest([{{'m': 'capacity_loss_pct', 'v': capacity_loss_pct}}, {{'m': 'esr_increase_pct', 'v': esr_increase_pct}}]) as x
+  from stress2_events
+  union all
+  select 'hidden_events', {_UNIT.format('dataset_unit_key')}, event_index, event_id,
+         unnest([{{'m': m, 'v': case when coalesce(missingness[m], false) then null else measurements[m] end}} for m in ['capacity_ratio', 'esr_ratio', 'case_temp_c']])
+  from hidden_events),
+r as (select distinct tab, u, ev, k, x.m as m, x.v as v from raw where u is not null and ev is not null and x.v is not null),
+n as (select *, row_number() over w as rn, lag(v) over w as was from r window w as (partition by tab, u, m order by ev, k)),
+i as (select *, sum(case when v = was then 0 else 1 end) over (partition by tab, u, m order by rn) as island from n),
+q as (
+  select i.*, count(*) over (partition by tab, u, m, island) as run, not (isfinite(v) and v between low and high) as hard
+  from i join bounds using (m)),
+c as (
+  select tab, u, m, k, v, rn, abs(v - lag(v) over w) as d, median(v) over (w rows between 5 preceding and 5 following) as middle
+  from q where not hard and run < 8 window w as (partition by tab, u, m order by rn)),
+s as (
+  select tab, u, m, case when median(d) > 0 then median(d) else (median(d) filter (where d > 0)) * least(1.0, 2.0 * (count(d) filter (where d > 0)) / count(d)) end as s
+  from c group by tab, u, m),
+x as (select c.*, s, case when abs(v - middle) / (1.4826 * s) > 4.0 then sign(v - middle) else 0 end as side from c join s using (tab, u, m) where s > 0),
+y as (
+  select *, last_value(case when side = 0 then v end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as calm_before,
+         first_value(case when side = 0 then v end ignore nulls) over (w rows between 1 following and unbounded following) as calm_after
+  from x window w as (partition by tab, u, m order by rn)),
+z as (select *, {_segment(1)}, {_segment(2)}, {_segment(3)} from y window w as (partition by tab, u, m order by rn)),
+h as (select * {_NEAR} from z window w as (partition by tab, u, m order by rn)),
+spikes as (
+  select tab, k, m, greatest(hit1, hit2, hit3, coalesce(lag(greatest(hit2, hit3)) over w, 0), coalesce(lag(hit3, 2) over w, 0)) as hit
+  from h window w as (partition by tab, u, m order by rn))
+"""
+
 ORACLE = {
+    "p3_found": _FAULTY + """
+select distinct tab as table_name, k as row_key, m as measure_name
+from (select tab, k, m from q where hard or run >= 8 union all select tab, k, m from spikes where hit = 1)""",
     "p1_found": _ORPHANS + "select distinct table_name, row_id from orphans",
     "p1_orphan_counts": _ORPHANS + "select table_name, strftime(logged_at, '%Y-%m') as period, count(*) as n_orphans from orphans group by 1, 2",
     "p2_found": f"""
