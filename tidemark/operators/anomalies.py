@@ -48,6 +48,7 @@ BOUNDS = {
     "case_temp_c": (-40.0, 150.0),
 }
 BLOCK, MARGIN = 4096, 256
+CELLS = 250_000  # readings whose probabilities are held at once
 STUCK_RUN, SPIKE_RUN, SPIKE_SCATTERS, AGREE_SCATTERS = 8, 3, 10.0, 7.5
 STEEP, MOST = 40.0, 30.0  # log odds for each scatter beyond the limit, and from where on they grow slowly
 DEVIATION = 1.4826  # standard deviations of normal differences in one median absolute difference
@@ -147,8 +148,9 @@ def spike_odds(w: np.ndarray, s: float) -> np.ndarray:
         low, high = inner.min(axis=1), inner.max(axis=1)
 
         def odds(b, a, low=low, high=high):
-            off = np.maximum(low - np.maximum(a, b), np.minimum(a, b) - high) / s
-            return STEEP * np.minimum(off - SPIKE_SCATTERS, AGREE_SCATTERS - np.abs(a - b) / s)
+            off = STEEP * (np.maximum(low - np.maximum(a, b), np.minimum(a, b) - high) / s - SPIKE_SCATTERS)
+            agree = STEEP * (AGREE_SCATTERS - np.abs(a - b) / s)
+            return np.where(agree > MOST, off, np.minimum(off, agree))
 
         found = odds(w[first - 1], w[first + n])
         if len(calm):
@@ -189,40 +191,55 @@ def emissions(v: np.ndarray, low: float, high: float, s: float | None = None) ->
 
 
 def posteriors(series: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Forward-backward probabilities (n, 4) of the kinds for many series at once; each is ``emissions``."""
+    """Forward-backward probabilities (n, 4) of the kinds for many series; each is ``emissions``.
+
+    Series of like length run side by side, as many at once as CELLS allows.
+    """
     order = np.argsort([-len(e) for e, _ in series], kind="stable")
-    lengths = np.array([len(series[i][0]) for i in order])
-    if not len(lengths) or not lengths[0]:
-        return [np.zeros((0, 4)) for _ in series]
+    out: list[np.ndarray] = [np.zeros((0, 4))] * len(series)
+    at = 0
+    while at < len(order):
+        steps = len(series[order[at]][0])
+        some = order[at : at + max(1, CELLS // max(1, steps))]
+        at += len(some)
+        if steps:
+            for i, kinds in zip(some, _side_by_side([series[i] for i in some]), strict=True):
+                out[i] = kinds
+    return out
+
+
+def _side_by_side(series: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """``posteriors`` of series sorted from the longest to the shortest."""
+    lengths = np.array([len(e) for e, _ in series])
     steps = int(lengths[0])
-    e = np.ones((steps, len(order), STATES))
-    passed = np.zeros((steps, len(order)), bool)
-    for k, i in enumerate(order):
-        e[: lengths[k], k], passed[: lengths[k], k] = series[i]
+    e = np.ones((steps, len(series), STATES))
+    passed = np.zeros((steps, len(series)), bool)
+    for k, (one, hard) in enumerate(series):
+        e[: lengths[k], k], passed[: lengths[k], k] = one, hard
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # series longer than t come first
+    stops = passed.any(axis=1)
     fore = np.zeros_like(e)
-    p = np.zeros((len(order), STATES))
+    p = np.zeros((len(series), STATES))
     p[:, 0] = 1.0  # before its first reading a series is normal
     for t in range(steps):
         k = alive[t]
-        q = (p[:k] @ MOVES) * e[t, :k]
+        q = p[:k] @ MOVES
+        q *= e[t, :k]
         q /= q.sum(axis=1, keepdims=True)
-        p = np.where(passed[t, :k, None], p[:k], q)
+        p = np.where(passed[t, :k, None], p[:k], q) if stops[t] else q
         fore[t, :k] = p
-    back = np.tile(ENDS, (len(order), 1))
+    back = np.tile(ENDS, (len(series), 1))
+    turned = np.ascontiguousarray(MOVES.T)
     for t in range(steps - 1, -1, -1):
         k = alive[t]
         fore[t, :k] *= back[:k]
-        b = (e[t, :k] * back[:k]) @ MOVES.T
+        b = (e[t, :k] * back[:k]) @ turned
         b /= b.sum(axis=1, keepdims=True)
-        back[:k] = np.where(passed[t, :k, None], back[:k], b)
-    fore /= np.maximum(fore.sum(axis=2, keepdims=True), 1e-300)
+        back[:k] = np.where(passed[t, :k, None], back[:k], b) if stops[t] else b
     kinds = np.stack([fore[..., 0], fore[..., 1:FIRST_STUCK].sum(axis=2), fore[..., FIRST_STUCK:].sum(axis=2), np.zeros(fore.shape[:2])], axis=2)
+    kinds /= np.maximum(kinds.sum(axis=2, keepdims=True), 1e-300)
     kinds[passed] = [0.0, 0.0, 0.0, 1.0]
-    out: list[np.ndarray] = [np.zeros((0, 4))] * len(series)
-    for k, i in enumerate(order):
-        out[i] = kinds[: lengths[k], k]
-    return out
+    return [kinds[: lengths[k], k] for k in range(len(series))]
 
 
 def _unit_series(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
