@@ -35,13 +35,37 @@ def test_fill_follows_a_line_with_growing_doubt(rows):
     assert got[30][5] > got[10][5] > 0
 
 
+def check_blocks(rows, monkeypatch, data, block=128):
+    whole = grid(rows, data)
+    monkeypatch.setattr(R, "BLOCK", block)
+    parts = grid(rows, data)
+    assert [(g[2], g[3], g[6]) for g in whole] == [(g[2], g[3], g[6]) for g in parts]
+    a, b = (np.array([g[4:6] for g in x if g[2] == 0], float) for x in (whole, parts))
+    assert np.isfinite(a).all() and b == pytest.approx(a, rel=1e-6, abs=1e-6)
+
+
 def test_blocks_agree_with_whole(rows, monkeypatch):
     rng = np.random.default_rng(1)
-    data = [reading(i, 2.0 * i + rng.uniform(-0.9, 0.9), float(rng.normal())) for i in range(700) if i % 9]
-    whole = grid(rows, data)
-    monkeypatch.setattr(R, "BLOCK", 128)
-    cut = grid(rows, data)
-    assert [(g[2], g[3], g[6]) for g in whole] == [(g[2], g[3], g[6]) for g in cut]
+    check_blocks(rows, monkeypatch, [reading(i, 2.0 * i + rng.uniform(-0.9, 0.9), float(rng.normal())) for i in range(700) if i % 9])
+
+
+def test_blocks_agree_over_a_long_gap(rows, monkeypatch):
+    """Whole blocks without any reading, and an outlier at the edge of one."""
+    rng = np.random.default_rng(2)
+    at = [i for i in range(1601) if i <= 100 or i >= 1500]
+    data = [reading(i, 2.0 * i, float(0.01 * i + rng.normal(0, 0.01) + (5 if i in (64, 1500) else 0))) for i in at]
+    check_blocks(rows, monkeypatch, data, 64)
+
+
+def test_blocks_agree_on_dense_readings(rows, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [reading(i, 0.1 * i + rng.uniform(0, 0.05), float(np.sin(i / 90) + rng.normal(0, 0.05))) for i in range(1500)]
+    check_blocks(rows, monkeypatch, data, 16)
+
+
+def test_blocks_begin_before_the_first_reading(rows, monkeypatch):
+    data = [reading(i, 2.0 * i, None if i < 150 else float(i % 3)) for i in range(300)]
+    check_blocks(rows, monkeypatch, data, 64)
 
 
 def test_units_without_plan_and_empty(rows):
@@ -55,9 +79,9 @@ def test_smoother_equals_dense_gaussian():
     t = np.array([0.0, 1.0, 2.5, 3.0])
     y = np.array([1.0, np.nan, 2.0, 1.5])
     r, q = 0.5, 0.2
-    level, var = R.smooth(t[:, None], y[:, None], np.array([r]), np.array([q]))
     n = len(t)
-    p11 = 100 * r / ((t[-1] - t[0]) / n) ** 2
+    p11 = 0.3
+    level, var = R.smooth(t[:, None], y[:, None], np.full((n, 1), r), np.array([r]), np.array([q]), np.array([[1.0, 0.0, 100 * r + 1e-12, 0.0, p11]]).T, np.zeros((5, 1)))
     cov = np.zeros((2 * n, 2 * n))
     mean = np.zeros(2 * n)
     mean[0] = 1.0
