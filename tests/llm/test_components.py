@@ -119,3 +119,18 @@ def test_groups_share_a_split_and_shares_are_met(rows):
 
 def test_split_of_nothing(rows):
     assert C.split_units(rows([], "unit string, n long"), rows([], "unit string, group_key string")).count() == 0
+
+
+def test_bitsets_stay_small_beside_giant_components():
+    import tracemalloc
+
+    for sizes in ({3: 10**6, 2 * 10**9: 1}, {3: 10**9, 3 * 10**9: 2}, {k: 1 for k in range(1, 2500)}):
+        tracemalloc.start()
+        given = C.quotas(sizes)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200_000_000
+        total = sum(s * n for s, n in sizes.items())
+        fits = [s for s in sizes if s <= 0.15 * total]
+        for name in ("validation", "test"):
+            assert abs(sum(s * n for s, n in given[name].items()) - round(0.15 * total)) <= max(fits) or sum(s * sizes[s] for s in fits) < 0.15 * total

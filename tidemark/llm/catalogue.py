@@ -11,6 +11,7 @@ QUERIES = {
     "p5_shares": spans.p5_shares,
     "p6_found": components.p6_found,
     "p6_splits": components.p6_splits,
+    "p6_group_splits": components.p6_group_splits,
     "p7_containers": packing.p7_containers,
     "p7_fill": packing.p7_fill,
     "p8_found": leakage.p8_found,
@@ -31,6 +32,14 @@ runs as (
   from i group by ga, gb, pb - pa, island having count(*) >= 32)
 """
 
+_LINKED = f"""m as (
+  select distinct {_TIDY.format('dataset_unit_key')} as u, k || {_TIDY.format('v')} as mark
+  from (select dataset_unit_key, 'p' as k, physical_unit_id as v from stress2_events
+        union all select dataset_unit_key, 'g', possible_duplicate_group from stress2_events)
+  where {_TIDY.format('v')} not in ('', '-', 'n/a', 'unknown')),
+e as (select distinct a.u as a, b.u as b from m a join m b using (mark)),
+r(u, w) as (select a, b from e union select r.u, e.b from r join e on r.w = e.a)"""
+
 ORACLE = {
     "p5_found": _RUNS + "select * from runs",
     "p5_shares": _RUNS + """,
@@ -41,13 +50,8 @@ sizes as (select gid, count(distinct row_pos) as n_rows from instrument_records
 hits as (select gid, count(*) as n_shared from covered group by gid)
 select gid, n_rows, coalesce(n_shared, 0) as n_shared, round(coalesce(n_shared, 0) / n_rows, 6) as share
 from sizes left join hits using (gid)""",
-    "p6_found": f"""
-with recursive m as (
-  select distinct {_TIDY.format('dataset_unit_key')} as u, k || {_TIDY.format('v')} as mark
-  from (select dataset_unit_key, 'p' as k, physical_unit_id as v from stress2_events
-        union all select dataset_unit_key, 'g', possible_duplicate_group from stress2_events)
-  where {_TIDY.format('v')} not in ('', '-', 'n/a', 'unknown')),
-e as (select distinct a.u as a, b.u as b from m a join m b using (mark)),
-r(u, w) as (select a, b from e union select r.u, e.b from r join e on r.w = e.a)
-select u as dataset_unit_key, min(w) as group_key from r group by u having count(distinct w) > 1""",
+    "p6_found": f"with recursive {_LINKED} select u as dataset_unit_key, min(w) as group_key from r group by u having count(distinct w) > 1",
+    "p6_group_splits": f"""with recursive {_LINKED}, g as (select u, min(w) as key from r group by u),
+s as (select distinct {_TIDY.format('dataset_unit_key')} as u from endpoint_labels union select distinct {_TIDY.format('outer_test_unit')} from prediction_ledger)
+select coalesce(key, u) as group_key, count(*) as n_units, 1 as n_splits from s left join g using (u) where u is not null group by 1 having count(*) > 1""",
 }

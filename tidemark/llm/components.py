@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import gcd
+from math import gcd, isqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ SALTS = 16
 MAX_ROUNDS = 200
 SPLITS = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 POOL_BITS = 1 << 22
+MOST_BITS = 1 << 30  # bits of the largest bitset times the number of sizes in it
 
 
 def links(marks: DataFrame) -> DataFrame:
@@ -73,18 +74,24 @@ def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many items of each size add up as closely as possible to ``target`` (below it on ties).
 
     Bit k of the running bitset says that total k can be reached; multiplicities enter in
-    powers of two, so a size with n items costs log n shifts.
+    powers of two, so a size with n items costs log n shifts. For the way back only every
+    so-manieth bitset is kept and those between are built again, so that memory grows with
+    the root of their number.
     """
-    layers: list[tuple[int, int, int]] = []
-    reach = 1
+    layers: list[tuple[int, int]] = []
     for size in sorted(sizes, reverse=True):
         left, step = sizes[size], 1
         while left > 0:
             n = min(step, left)
-            layers.append((size, n, reach))
-            reach |= reach << (size * n)
+            layers.append((size, n))
             left -= n
             step *= 2
+    stride = max(1, isqrt(len(layers)))
+    kept, reach = [], 1
+    for k, (size, n) in enumerate(layers):
+        if k % stride == 0:
+            kept.append(reach)
+        reach |= reach << (size * n)
     below = reach & ((1 << (target + 1)) - 1)
     above = reach >> (target + 1)
     total = below.bit_length() - 1
@@ -93,10 +100,15 @@ def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
         if up - target < target - total:
             total = up
     took = dict.fromkeys(sizes, 0)
-    for size, n, before in reversed(layers):
-        if not before >> total & 1:
-            took[size] += n
-            total -= size * n
+    for c in range(len(kept) - 1, -1, -1):
+        some = layers[c * stride : (c + 1) * stride]
+        before = [kept[c]]
+        for size, n in some[:-1]:
+            before.append(before[-1] | before[-1] << (size * n))
+        for (size, n), reach in zip(reversed(some), reversed(before), strict=True):
+            if not reach >> total & 1:
+                took[size] += n
+                total -= size * n
     return took
 
 
@@ -108,7 +120,8 @@ def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
     the sizes: in a longer list of changes, put in an order that keeps partial sums near
     zero, two partial sums are equal and the changes between them can be left out. Pools
     around the greedy choice therefore grow until they hold that many items of each size,
-    or until the total is as near as any multiple of g can be.
+    until the total is as near as any multiple of g can be, or until their bitsets reach
+    MOST_BITS; then the total is at least as near as the greedy one, within u.
     """
     if sum(s * n for s, n in sizes.items()) <= POOL_BITS:
         return subset(sizes, target)
@@ -135,7 +148,7 @@ def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
             chosen = subset({s: n for s, n in pool.items() if n}, target - sum(s * n for s, n in low.items()))
             took |= {s: n + chosen.get(s, 0) for s, n in low.items()}
             off = abs(sum(s * n for s, n in took.items()) - target)
-            if off == least or all(pool[s] == n or reach.get(s, 0) == enough for s, n in fits.items()):
+            if off == least or all(pool[s] == n or reach.get(s, 0) == enough for s, n in fits.items()) or bits * min(classes, len(fits)) * 16 > MOST_BITS:
                 break
             bits, classes = bits * 4, classes * 4
     # a component above the target is closest alone or not at all
@@ -202,3 +215,9 @@ def p6_splits(spark, sf_dir: str) -> DataFrame:
     return out.join(preds, "unit", "left").select(
         F.col("unit").alias("dataset_unit_key"), "group_key", "split", F.col("n").alias("n_labels"), F.coalesce("n_predictions", F.lit(0)).alias("n_predictions")
     )
+
+
+def p6_group_splits(spark, sf_dir: str) -> DataFrame:
+    """Of every group of linked units among those that are split: its units and the number of splits they lie in, which must be one."""
+    groups = p6_splits(spark, sf_dir).groupBy("group_key").agg(F.count("*").alias("n_units"), F.countDistinct("split").alias("n_splits"))
+    return groups.filter("n_units > 1")

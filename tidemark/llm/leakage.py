@@ -135,12 +135,49 @@ def document_windows(docs: DataFrame, names: list[str], sizes: list[int], vocabu
     return docs.select("doc_id", "text").mapInPandas(run, _MATCH)
 
 
+def document_hashes(docs: DataFrame, names: list[str], sizes: list[int], decimals: bool = False) -> DataFrame:
+    """``doc_id, h, n, at`` of all document windows, without their words; ``at`` counts words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        templates = Templates(names)
+        for b in batches:
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                tok = templates.of(words(text, decimals)) if isinstance(text, str) else np.zeros(0, np.uint64)
+                for n in sizes:
+                    if len(tok) >= n:
+                        h = rolling(tok, n, BASE).view(np.int64)[: len(tok) - n + 1]
+                        yield pd.DataFrame({"doc_id": doc, "h": h, "n": n, "at": np.arange(len(h))})
+
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(run, "doc_id long, h long, n int, at long")
+
+
+def fetched_windows(docs: DataFrame, hits: DataFrame, names: list[str], decimals: bool = False) -> DataFrame:
+    """``doc_id, h, n, pos, words`` of the windows named in ``hits`` (``doc_id, h, n, at``), read again from their texts."""
+    wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h", "n", "at")).alias("hits"))  # of one document, no more than its windows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        templates = Templates(names)
+        for b in batches:
+            out = []
+            for doc, text, hits in zip(b["doc_id"], b["text"], b["hits"], strict=True):
+                ws = words(text, decimals)
+                place = [0, *accumulate(1 + (not w.isalnum()) for w in ws)]
+                tok = templates.of(ws)
+                done = {n: rolling(tok, n, BASE).view(np.int64) for n in {x["n"] for x in hits}}
+                out += [(doc, x["h"], x["n"], place[x["at"]], ws[x["at"] : x["at"] + x["n"]]) for x in hits if x["at"] + x["n"] <= len(ws) and done[x["n"]][x["at"]] == x["h"]]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "h", "n", "pos", "words"])
+
+    return docs.select("doc_id", "text").filter("text is not null").join(wanted, "doc_id").mapInPandas(run, _MATCH)
+
+
 def leaks(docs: DataFrame, items: DataFrame, roster: DataFrame, decimals: bool = False) -> DataFrame:
     """``doc_id, item_id, pos, n, verbatim, consistent``: every joined window with its slot check.
 
     Null and blank texts match nothing. Repeated rows give repeated windows. Up to
     WINDOW_LIMIT item windows their hashes go along with the tasks and thin the document
-    windows before the join; beyond, all document windows are shuffled to the join. The
+    windows before the join; beyond, the hashes of all document windows are shuffled to those
+    of the items, and the words of the hits alone are read again. The
     names of the roster go along in any case; more than NAME_LIMIT are an error. With
     ``decimals``, windows are of twelve words of which a decimal is one.
     """
@@ -154,7 +191,11 @@ def leaks(docs: DataFrame, items: DataFrame, roster: DataFrame, decimals: bool =
         rows = wins.select("h", "n").distinct().collect()
         wanted = {n: np.array(sorted(r["h"] for r in rows if r["n"] == n), np.int64) for n in sizes}
         vocabulary = sorted(r["w"] for r in wins.select(F.explode("words").alias("w")).distinct().collect())
-    found = document_windows(docs, names, sizes, vocabulary, wanted, decimals)
+    if small:
+        found = document_windows(docs, names, sizes, vocabulary, wanted, decimals)
+    else:
+        hits = document_hashes(docs, names, sizes, decimals).join(wins.select("h", "n").distinct(), ["h", "n"], "left_semi").distinct()
+        found = fetched_windows(docs, hits, names, decimals)
     right = wins.select("item_id", "h", "n", F.col("words").alias("item_words"))
     both = found.join(F.broadcast(right) if small else right, ["h", "n"])
     slots = F.filter(F.arrays_zip(F.col("item_words").alias("i"), F.col("words").alias("d")), lambda z: z["i"] != z["d"])
