@@ -40,6 +40,7 @@ from tidemark.runtime import cut, table, tidy, whole_groups
 BLOCK = 2048
 TREND = 2e-3  # variance that the trend gains over one cadence, in units of the noise variance
 OUTLYING = 9.0  # squared standardised distance from the local median beyond which a reading's noise is inflated
+BROADCAST_ROWS = 100_000  # long sources whose keys may travel with the tasks; more are joined by shuffle
 BINS = 100  # histogram bins for each factor of e
 BESIDE = 5  # readings of other blocks that the local median may ask for
 _SCHEMA = "tab int, unit string, measure int, slot long, value double, sd double, n_readings int"
@@ -234,6 +235,7 @@ def _stacked(stretches: list[Stretch]) -> Iterator[tuple[np.ndarray, tuple]]:
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
     """Of every block on a grid: table, unit, block, first and last slot, cadence, and times, slots and readings of each measure."""
     for frame in whole_groups(batches, ["tab", "unit", "block"], 60_000):
+        frame = frame[~frame.duplicated(["tab", "unit", "block", "head", "row_key"])]
         group = frame.groupby(["tab", "unit", "block"], sort=False).ngroup().to_numpy()
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
         tab, unit, block, head, slot, t, low, cadence = (frame[c].to_numpy() for c in ("tab", "unit", "block", "head", "slot", "t", "low", "cadence"))
@@ -249,24 +251,28 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         yield frame, out
 
 
-def _rows(tab, unit, i, stretch: Stretch, slot, level, var) -> pd.DataFrame:
-    n = np.bincount(slot - stretch.slots[0], minlength=len(stretch.slots)) if len(slot) else np.zeros(len(stretch.slots), int)
-    return pd.DataFrame({"tab": tab, "unit": unit, "measure": i, "slot": stretch.slots, "value": level, "sd": np.sqrt(var), "n_readings": n})
+def _frame(done: list[tuple]) -> pd.DataFrame:
+    """done: table, unit, measure, stretch, slots of its readings, level and variance at its slots."""
+    sizes = [len(d[3].slots) for d in done]
+    each = lambda k: np.repeat(np.array([d[k] for d in done], dtype=object if k == 1 else np.int64), sizes)
+    n = [np.bincount(d[4] - d[3].slots[0], minlength=len(d[3].slots)) for d in done]
+    return pd.DataFrame({
+        "tab": each(0), "unit": each(1), "measure": each(2), "slot": np.concatenate([d[3].slots for d in done]), "value": np.concatenate([d[5] for d in done]),
+        "sd": np.sqrt(np.concatenate([d[6] for d in done])), "n_readings": np.concatenate(n),
+    })
 
 
 def _smoothed(jobs: list[tuple]) -> Iterator[pd.DataFrame]:
     """jobs: table, unit, measure, stretch, slots of its readings, noise, cadence, entry, behind (entry None: no reading anywhere)."""
     live = [k for k, j in enumerate(jobs) if j[7] is not None]
-    for k, (tab, unit, i, stretch, slot, *_) in enumerate(jobs):
-        if jobs[k][7] is None:
-            nothing = np.full(len(stretch.slots), np.nan)
-            yield _rows(tab, unit, i, stretch, slot, nothing, nothing)
+    empty = [j for j in jobs if j[7] is None]
+    if empty:
+        yield _frame([(*j[:5], *(np.full(len(j[3].slots), np.nan),) * 2) for j in empty])
     for some, (t, y, rk) in _stacked([jobs[k][3] for k in live]):
         mine = [jobs[live[k]] for k in some]
         r, cadence = np.array([j[5] for j in mine]), np.array([j[6] for j in mine])
         level, var = smooth(t, y, rk, r, TREND * r / cadence**3, np.array([j[7] for j in mine]).T, np.array([j[8] for j in mine]).T)
-        for k, (tab, unit, i, stretch, slot, *_) in enumerate(mine):
-            yield _rows(tab, unit, i, stretch, slot, level[stretch.at, k], var[stretch.at, k])
+        yield _frame([(*j[:5], level[j[3].at, k], var[j[3].at, k]) for k, j in enumerate(mine)])
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,32 +388,33 @@ def onto_grid(rows: DataFrame, plans: DataFrame) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
     ends = cut(ends.withColumn("one", at("_a") == at("_z")))
     key = ["tab", "unit", "block"]
-    heads = ends.withColumn("block", F.explode(F.sequence(at("_a"), at("_z")))).select(
-        *key, F.lit(True).alias("head"), F.least("_z", F.col("block") * BLOCK + BLOCK - 1).alias("slot"), F.greatest("_a", F.col("block") * BLOCK).alias("low"), "cadence",
-        F.lit(-1e300).alias("t"), *[F.lit(None).cast("double").alias(f"m{i}") for i in range(3)], F.lit(-1).cast("long").alias("row_key"), "one",
-    )
-    body = timed.join(ends.select("tab", "unit", "one"), ["tab", "unit"]).select(
-        "tab", "unit", at("slot").alias("block"), F.lit(False).alias("head"), "slot", F.lit(0).cast("long").alias("low"), "cadence", "t", "m0", "m1", "m2", "row_key", "one"
-    )
-
-    def laid(one: bool, more: DataFrame | None = None) -> DataFrame:
-        mine = heads.filter(F.col("one") == one).drop("one")
+    long = ends.filter("not one").select("tab", "unit")
+    n_long = long.count()
+    long = F.broadcast(long) if n_long <= BROADCAST_ROWS else long
+
+    def laid(one: bool, held: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        mine = ends.filter(F.col("one") == one).withColumn("block", F.explode(F.sequence(at("_a"), at("_z")))).select(
+            *key, F.lit(True).alias("head"), F.least("_z", F.col("block") * BLOCK + BLOCK - 1).alias("slot"), F.greatest("_a", F.col("block") * BLOCK).alias("low"), "cadence",
+            F.lit(-1e300).alias("t"), *[F.lit(None).cast("double").alias(f"m{i}") for i in range(3)], F.lit(-1).cast("long").alias("row_key"),
+        )
         mine = mine.join(more, key) if more is not None else mine
-        held = body.filter(F.col("one") == one).drop("one").dropDuplicates([*key, "row_key"])
-        both = mine.unionByName(held, allowMissingColumns=True).withColumn("cell", F.xxhash64(*key))
+        body = held.select("tab", "unit", at("slot").alias("block"), F.lit(False).alias("head"), "slot", F.lit(0).cast("long").alias("low"), "cadence", "t", "m0", "m1", "m2", "row_key")
+        both = mine.unionByName(body, allowMissingColumns=True).withColumn("cell", F.xxhash64(*key))
         # A key made after the union: partitions of its two sides by the same columns may be coalesced differently.
-        return both.repartition("cell").sortWithinPartitions(*key, F.desc("head"), "t", "row_key").drop("row_key", "cell")
+        return both.repartition("cell").sortWithinPartitions(*key, F.desc("head"), "t", "row_key").drop("cell")
 
-    whole = laid(True).mapInPandas(_whole, _SCHEMA)
-    if ends.filter("not one").isEmpty():
+    short = timed.join(long, ["tab", "unit"], "left_anti") if n_long else timed
+    whole = laid(True, short).mapInPandas(_whole, _SCHEMA)
+    if not n_long:
         return whole
+    held = cut(timed.join(long, ["tab", "unit"], "left_semi").select("tab", "unit", "slot", "cadence", "t", "m0", "m1", "m2", "row_key"))
     series = ["tab", "unit", "measure"]
     by_measure = lambda df, *cols: df.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.struct("measure", c)))[c].alias(c) for c in cols])  # noqa: E731  # at most three measures
-    merged = cut(laid(False).mapInPandas(_state, _STATED).groupBy(*series).applyInPandas(_merge, _MERGED))
+    merged = cut(laid(False, held).mapInPandas(_state, _STATED).groupBy(*series).applyInPandas(_merge, _MERGED))
     beside = by_measure(merged, "noise", "start", "before", "after")
-    states = cut(laid(False, beside).mapInPandas(_elements, _ELEMENT).groupBy(*series).applyInPandas(_scan, _STATE))
+    states = cut(laid(False, held, beside).mapInPandas(_elements, _ELEMENT).groupBy(*series).applyInPandas(_scan, _STATE))
     known = beside.join(by_measure(states, "entry", "behind"), key)
-    return whole.unionByName(laid(False, known).mapInPandas(_finish, _SCHEMA))
+    return whole.unionByName(laid(False, held, known).mapInPandas(_finish, _SCHEMA))
 
 
 def p2_grid(spark, sf_dir: str) -> DataFrame:

@@ -95,7 +95,10 @@ def exact_duplicates(spark, d):
 
 
 def near_duplicates(spark, d):
-    return overlap.near_duplicates(table(spark, d, "embeddings"), "vec_id", "embedding").select("id_a", "id_b", F.round("r", 6).alias("r"), F.round("nrmse", 6).alias("nrmse"))
+    """All vectors beside a slightly scaled copy of each."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    copies = v.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * F.lit(1.000002)).alias("embedding"))
+    return overlap.near_duplicates(v.unionByName(copies), "vec_id", "embedding").select("id_a", "id_b", F.round("r", 6).alias("r"), F.round("nrmse", 6).alias("nrmse"))
 
 
 def shingle_hashes(spark, d):
@@ -151,11 +154,6 @@ def hash_chain_verify(spark, d):
     return ledger.verify_chain(_tampered(spark, d), "o_custkey").select("o_custkey", F.col("row_number").cast("long").alias("row_number"), "bad_link", "bad_hash")
 
 
-def chain_seals(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return ledger.seal(ledger.with_chain(o, "o_custkey", ["o_orderkey"]), "o_custkey").select("o_custkey", "row_count")
-
-
 def causal_barrier_violations(spark, d):
     """Labels revealed without a committed prediction, or not after it, or for another target event."""
     p = table(spark, d, "prediction_ledger").select(orphans.record_id("prediction_id").alias("id"), F.col("prediction_commit_seq").alias("commit_seq"), F.col("expected_target_event_index_0based").cast("string").alias("commit_hash")).filter("id is not null").distinct()
@@ -170,10 +168,11 @@ def status_precedence(spark, d):
 
 
 def generation_grid(spark, d):
-    """Planned cells (unit, model, target, horizon) of the prediction ledger that have no prediction."""
+    """Cells (unit, model, target, horizon) planned for all labelled units, against those the ledger holds, both ways."""
     p = table(spark, d, "prediction_ledger").select(tidy("outer_test_unit").alias("unit"), "model", "target_name", "horizon_event_steps").distinct()
     models = p.select("model", "target_name", "horizon_event_steps").distinct()
-    grid = p.select("unit").distinct().crossJoin(F.broadcast(models))  # at most models x targets x horizons rows, fixed by the protocol
+    units = table(spark, d, "endpoint_labels").select(tidy("dataset_unit_key").alias("unit")).distinct()
+    grid = units.crossJoin(models)  # every unit is planned for every arm; arms are few, and units meet them in blocks
     return ledger.missing_cells(grid, p, ["unit", "model", "target_name", "horizon_event_steps"])
 
 
@@ -208,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chronology_counters, chronology_merge, segment_evidence, segment_summary_join, cycle_sign_buckets, status_chains, time_gap_audit, cycle_axis_audit, lineitem_axis_audit, finite_profile, missingness_geometry,
-        trajectory_signature_dups, exact_duplicates, near_duplicates, shingle_hashes, winnow_words, winnow_fingerprints, fingerprint_pairs, confirmed_spans, source_spans, hash_chain, hash_chain_verify, chain_seals,
+        trajectory_signature_dups, exact_duplicates, near_duplicates, shingle_hashes, winnow_words, winnow_fingerprints, fingerprint_pairs, confirmed_spans, source_spans, hash_chain, hash_chain_verify,
         causal_barrier_violations, status_precedence, generation_grid, listing_diff, path_groups, member_safety, clock_parse,
     )
 }

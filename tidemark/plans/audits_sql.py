@@ -75,7 +75,7 @@ ORACLE = {
     "trajectory_signature_dups": f"""with a as (select distinct {tidy('dataset_unit_key')} as unit, event_index_0based as i, row_id, cast(round(case when abs(capacity_loss_pct) < 1e12 then capacity_loss_pct end * 10000) as bigint) as v from stress2_events),
       s as (select unit, string_agg(i || '|' || coalesce(cast(v as varchar), '-'), ',' order by i, row_id) as sig from a group by 1), c as (select sig, min(unit) as class_key, count(*) as n_members from s group by 1) select unit, class_key, n_members from s join c using (sig)""",
     "exact_duplicates": "with c as (select text, min(doc_id) as class_key, count(distinct doc_id) as n_members from documents where text is not null group by 1) select distinct doc_id, class_key, n_members from documents join c using (text)",
-    "near_duplicates": """with v as (select vec_id, i, cast(embedding[i] as double) as x from embeddings, unnest(range(1, 65)) as u(i)), p as (select a.vec_id as id_a, b.vec_id as id_b, corr(a.x, b.x) as r, sqrt(avg((a.x - b.x) ** 2)) / greatest(sqrt(avg((a.x * a.x + b.x * b.x) / 2)), 1e-300) as nrmse
+    "near_duplicates": """with v0 as (select vec_id, i, cast(embedding[i] as double) as x from embeddings, unnest(range(1, 65)) as u(i)), v as (from v0 union all select vec_id + 1000000000, i, x * 1.000002 from v0), p as (select a.vec_id as id_a, b.vec_id as id_b, corr(a.x, b.x) as r, sqrt(avg((a.x - b.x) ** 2)) / greatest(sqrt(avg((a.x * a.x + b.x * b.x) / 2)), 1e-300) as nrmse
       from v a join v b on a.i = b.i and a.vec_id < b.vec_id group by 1, 2) select id_a, id_b, round(r, 6) as r, round(nrmse, 6) as nrmse from p where r >= 0.999999 and nrmse <= 1e-5""",
     "shingle_hashes": f"with {SHINGLES} select grp, pos, digest from sh",
     "winnow_words": f"""with {SHINGLES}, n as (select *, row_number() over (partition by grp order by pos) as rn, count(*) over (partition by grp) as n, min(digest) over (partition by grp order by pos rows between 24 preceding and current row) as m from sh),
@@ -89,13 +89,13 @@ ORACLE = {
       select grp, fragment, cast(sum(n_rows) over w - n_rows as bigint) as lo, cast(sum(n_rows) over w as bigint) as hi from g window w as (partition by grp order by fragment)""",
     "hash_chain": f"with recursive {CHAIN} select o_orderkey, rn as row_number, payload as row_payload_json, prev as prev_row_hash, hash as row_hash from h",
     "hash_chain_verify": f"with recursive {CHAIN} select o_custkey, rn as row_number, false as bad_link, true as bad_hash from h where st = 'P' and pri like '1%'",
-    "chain_seals": "select o_custkey, count(*) as row_count from orders group by 1",
     "causal_barrier_violations": f"""with p0 as (select distinct {pid('prediction_id')} as id, prediction_commit_seq as cs, cast(expected_target_event_index_0based as varchar) as ch from prediction_ledger where prediction_id is not null),
       p as (select * from (select *, row_number() over (partition by id order by cs nulls first, ch nulls first) as rn from p0) where rn = 1), m as (select distinct {pid('prediction_id')} as id, row_id, cast(target_event_index_0based as varchar) as rh, label_available_seq as rs from maturity_ledger where prediction_id is not null),
       v as (select case when ch is null then 'NO_CHECKPOINT' when ch <> rh then 'HASH_MISMATCH' when cs >= rs then 'REVEALED_BEFORE_COMMIT' end as violation from m left join p using (id) where id <> '') select violation, count(*) as n_rows from v where violation is not null group by 1""",
     "status_precedence": """with o as (select o_custkey, case when o_orderstatus = 'F' then 3 when o_orderstatus = 'O' then 2 when o_orderpriority like '1%' then 0 end as k from orders) select o_custkey, coalesce(['FAIL', 'BLOCKED', 'AMBER', 'PASS'][min(k) + 1], 'BLOCKED') as status from o group by 1""",
-    "generation_grid": f"""with p as (select distinct {tidy('outer_test_unit')} as unit, model, target_name, horizon_event_steps from prediction_ledger), m as (select distinct model, target_name, horizon_event_steps from p), u as (select distinct unit from p)
-      select *, 'MISSING' as problem from (select unit, model, target_name, horizon_event_steps from u cross join m except select * from p)""",
+    "generation_grid": f"""with p as (select distinct {tidy('outer_test_unit')} as unit, model, target_name, horizon_event_steps from prediction_ledger), m as (select distinct model, target_name, horizon_event_steps from p),
+      u as (select distinct {tidy('dataset_unit_key')} as unit from endpoint_labels), g as (select unit, model, target_name, horizon_event_steps from u cross join m)
+      select *, 'MISSING' as problem from (from g except from p) union all select *, 'UNPLANNED' from (from p except from g)""",
     "listing_diff": f"""with {REC}, f as (select gid, count(*) as n from r group by 1), e as (select distinct gid, n_rows from record_groups)
       select gid, case when n is null then 'MISSING' when e.gid is null then 'UNEXPECTED' else 'CHANGED' end as kind, case when n is not null and e.gid is not null then 'n_rows' end as changed_fields from e full join f using (gid) where n is null or e.gid is null or n is distinct from n_rows""",
     "path_groups": "select regexp_extract(container, '^([a-z]+[0-9]+)/', 1) as batch, count(*) as n_containers, string_agg(container, ';' order by container) as containers from (select distinct container, n_rows from record_groups) group by 1",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import series
-from tidemark.runtime import table
+from tidemark.runtime import shared_folder, table
 from tidemark.streaming import replay
 
 
@@ -16,8 +15,7 @@ def stream_replay_maturity(spark, d):
     """Events replayed as a stream: forecasts made from revealed prefixes, then joined to their targets."""
     s = series.trajectories(table(spark, d, "events"), "user_id", "ts", "event_id", "value")
     s = s.select("unit", "event_index", F.col("ts").cast("timestamp").alias("at"), "value")
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-stream-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     s.write.parquet(f"{base}/events")
     events = spark.readStream.schema(s.schema).parquet(f"{base}/events")
     q = replay.commit_batches(replay.forecasts(events), f"{base}/predictions", f"{base}/checkpoint").trigger(availableNow=True).start()

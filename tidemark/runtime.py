@@ -44,17 +44,26 @@ def tidy(col: Column | str) -> Column:
     return F.lower(F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(BLANKS)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the session's ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a local one is
-    set only if the session names none (tests on one machine). The files outlive any
-    executor, so a lost executor costs the retried tasks only.
+    Where none is set, a local one is made, on a local master only: a folder of one machine is no use to a cluster.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        named = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+
+    The files outlive any executor, so a lost executor costs the retried tasks only.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
