@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.pii_model import FRAME, TAGS, allowed, emissions, encode, load
+from tidemark.llm.pii_model import FRAME, TAGS, allowed, emissions, encode, load, one_core
 from tidemark.llm.pii_text import TYPES
 from tidemark.runtime import table
 
@@ -216,6 +216,7 @@ def find(texts: list[str], w: dict) -> list[list[tuple[int, int, str]]]:
 
 def _spans(w: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_core()
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             out = [(doc, kind, text[a:z]) for doc, text, spans in zip(b["doc_id"], texts, find(texts, w), strict=True) for a, z, kind in spans]
@@ -226,6 +227,7 @@ def _spans(w: dict):
 
 def _redact(w: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_core()
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             clean, counts = [], []

@@ -7,6 +7,7 @@ exact CRF likelihood; inference runs many windows of a text side by side.
 
 from __future__ import annotations
 
+import ctypes
 import multiprocessing as mp
 import unicodedata
 from functools import lru_cache
@@ -320,6 +321,20 @@ def save(w: dict[str, np.ndarray], path: Path = WEIGHTS) -> None:
     np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in w.items()})
 
 
+@lru_cache(maxsize=1)
+def one_core() -> bool:
+    """Keep numpy's matrix products of this process on one core; a task has one, and more threads only wait for each other."""
+    done = False
+    for library in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            try:
+                getattr(ctypes.CDLL(str(library)), name)(1)
+                done = True
+            except (AttributeError, OSError):
+                pass
+    return done
+
+
 def load(path: Path = WEIGHTS) -> dict[str, np.ndarray]:
     with np.load(path) as f:
         return {k: f[k].astype(np.float32) for k in f.files}
