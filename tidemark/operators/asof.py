@@ -68,9 +68,10 @@ def _in_block(changes: DataFrame, events: DataFrame) -> DataFrame:
         "entity", "block", "salt", F.col("known").alias("at"), F.lit(0).alias("is_event"), "place", "change_id", F.lit(None).cast("string").alias("rid")
     ).unionByName(events.select("entity", "block", "salt", "at", F.lit(1).alias("is_event"), F.col("bound").alias("place"), F.lit(None).cast("long").alias("change_id"), "rid"))
     return (
-        both.withColumn("change_id", F.coalesce("change_id", F.lit(-1)))
-        .repartition("entity", "block", "salt")
+        both.withColumns({"change_id": F.coalesce("change_id", F.lit(-1)), "cell": F.xxhash64("entity", "block", "salt")})
+        .repartition("cell")  # a key made after the union: its sides may be laid out by the same columns, but coalesced differently
         .sortWithinPartitions("entity", "block", "salt", "at", "is_event", "change_id")
+        .drop("cell")
         .mapInPandas(_carry, _FOUND)
     )
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 CHAIN = ["row_payload_json", "prev_row_hash", "row_hash"]
@@ -32,21 +37,32 @@ def _json_text(c: str) -> str:
 def with_chain(df: DataFrame, chain: str, order: list[str]) -> DataFrame:
     """Each row with its payload, the hash of its predecessor in its chain and its own hash.
 
-    A chain is sequential by definition: each hash contains the one before. Chains are
-    folded side by side, one array of payloads each; a ledger is cut into chains (one per
-    unit or day) that are small enough for that, and ``verify_chain`` has no such limit.
+    A chain is sequential by definition: each hash contains the one before. Sorted rows
+    stream through their task, which carries one hash, so a chain of any length takes one
+    row's memory; many chains run side by side. Rows without a chain form one of their own.
     """
-    taken = set(CHAIN) & set(df.columns)
+    taken = {*CHAIN, "row_number"} & set(df.columns)
     if taken:
         raise ValueError(f"columns already there: {sorted(taken)}")
-    kinds = dict(df.dtypes)
-    rows = df.withColumn("row_payload_json", payload_json(df.columns, kinds)).withColumn("_rn", F.row_number().over(Window.partitionBy(chain).orderBy(*order, "row_payload_json")))
-    folded = rows.groupBy(chain).agg(F.sort_array(F.collect_list(F.struct("_rn", "row_payload_json"))).alias("_p"))
-    start = F.array(F.lit(GENESIS))
-    hashes = F.aggregate("_p", start, lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), F.lit("\n"), x["row_payload_json"]), 256))))
-    links = folded.withColumn("_h", hashes).select(chain, F.posexplode("_p").alias("_i", "_x"), "_h")
-    links = links.select(chain, F.col("_x._rn").alias("_rn"), F.element_at("_h", F.col("_i") + 1).alias("prev_row_hash"), F.element_at("_h", F.col("_i") + 2).alias("row_hash"))
-    return rows.join(links, [chain, "_rn"]).withColumnRenamed("_rn", "row_number")
+    rows = df.withColumn("row_payload_json", payload_json(df.columns, dict(df.dtypes)))
+    added = [T.StructField("row_number", T.IntegerType()), T.StructField("prev_row_hash", T.StringType()), T.StructField("row_hash", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, n = None, GENESIS, 0
+        for b in batches:
+            numbers, links, hashes = [], [], []
+            for key, payload in zip(b.column(chain).to_pylist(), b.column("row_payload_json").to_pylist(), strict=True):
+                if n == 0 or key != here:
+                    here, last, n = key, GENESIS, 0
+                n += 1
+                numbers.append(n)
+                links.append(last)
+                last = hashlib.sha256(f"{last}\n{payload}".encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int32()), pa.array(links, pa.string()), pa.array(hashes, pa.string())], names=[*b.schema.names, *[f.name for f in added]])
+
+    laid = rows.repartition(chain).sortWithinPartitions(chain, *order, "row_payload_json")
+    return laid.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
 
 def verify_chain(ledger: DataFrame, chain: str, order: str = "row_number") -> DataFrame:

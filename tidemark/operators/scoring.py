@@ -94,6 +94,31 @@ def select_config(errors: DataFrame, tolerance: float = 1e-15) -> DataFrame:
     return sorted_.select("grp", F.aggregate("c", start, step).alias("w")).select("grp", F.col("w.config").alias("config"), F.col("w.score").alias("score"))
 
 
+def nested_selection(metrics: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """Every configuration in every outer fold with its inner score, and which one the fold takes.
+
+    ``metrics`` has ``family, config, config_order, horizon, unit, mae`` of forecasts that rest on
+    their own prefix alone. In the fold that holds a unit out, a configuration scores the
+    mean over the other units, each of them once the validation unit; one that failed on any
+    of them is FAIL there and never taken. As such forecasts do not change with the fold,
+    all folds follow from one sum: rows are units times configurations, not folds squared.
+    """
+    key = ["family", "config", "config_order", "horizon"]
+    sums = metrics.groupBy(*key).agg(F.sum("mae").alias("_t"), F.count_if(F.col("mae").isNull()).alias("_bad"), F.count("*").alias("_n"))
+    own_bad = F.when(F.col("mae").isNull(), 1).otherwise(0)
+    sound = (F.col("_bad") - own_bad == 0) & (F.col("_n") > 1)
+    score = F.when(sound, (F.col("_t") - F.coalesce("mae", F.lit(0.0))) / (F.col("_n") - 1))
+    each = metrics.join(sums, key).select("unit", "family", "horizon", F.struct("config_order", "config", score.alias("score")).alias("_c"))
+    grid = each.groupBy("unit", "family", "horizon").agg(F.sort_array(F.collect_list("_c")).alias("_c"))  # a family's configurations are few
+    step = lambda acc, x: F.when(x["score"].isNotNull() & (acc["score"].isNull() | (x["score"] < acc["score"] - F.lit(tolerance))), x).otherwise(acc)
+    none = F.struct(F.lit(None).cast("long").alias("config_order"), F.lit(None).cast("string").alias("config"), F.lit(None).cast("double").alias("score"))
+    won = grid.withColumn("_w", F.aggregate("_c", none, step)["config"]).withColumn("_c", F.explode("_c"))
+    return won.select(
+        F.col("unit").alias("outer_test_unit"), "family", "horizon", "_c.config", F.when(F.col("_c.score").isNull(), "FAIL").otherwise("OK").alias("status"), F.col("_c.score").alias("inner_macro_mae"),
+        F.coalesce(F.col("_c.config") == F.col("_w"), F.lit(False)).alias("selected"),
+    )
+
+
 def unequal_keys(planned: DataFrame, model: str = "model", keys: tuple[str, ...] = ("horizon", "unit", "origin")) -> DataFrame:
     """Keys that not every model has: empty if all models share one key set."""
     n = planned.select(model).distinct().count()

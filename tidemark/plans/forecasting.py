@@ -128,6 +128,17 @@ def config_selection(spark, d):
     return scoring.select_config(errors).select("grp", "config", _r("score"))
 
 
+def nested_selection(spark, d):
+    """Outer folds by configurations of all window models, scored on inner folds."""
+    m = scoring.unit_metrics(window_predictions(spark, d))
+    family = F.regexp_extract("model", "^(last_value|global_drift|local_linear|exponential)", 1)
+    grid = m.select(family.alias("family"), F.col("model").alias("config"), F.length("model").cast("long").alias("len"), "horizon", "unit", "mae")
+    order = F.when(F.col("family") == "local_linear", F.substring("config", -1, 1).cast("long")).otherwise(F.col("len"))
+    out = scoring.nested_selection(grid.withColumn("config_order", order).drop("len"))
+    score = F.when(F.col("family") == "exponential", F.round("inner_macro_mae", 3)).otherwise(F.round("inner_macro_mae", 9))
+    return out.select("outer_test_unit", "family", "horizon", "config", "status", score.alias("inner_macro_mae"), "selected")
+
+
 def residual_quantiles(spark, d):
     p = M.predictions(users(spark, d), "last_value", M.last_value(), CONTEXT, HORIZONS)
     return M.residual_quantiles(p, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]).select("model", "horizon", "level", F.round("offset", 9).alias("offset"))
@@ -366,7 +377,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         trajectory_events, origin_grid, window_features, derived_ratios, at_risk_flags, interval_labels, unit_metrics, macro_metrics, unit_mase, macro_mase, last_value_macro_mae, mase_scale_leave_one_out, skill_vs_last_value,
-        config_selection, residual_quantiles, qualification, common_key_parity, kalman_predictions, rls_predictions, ridge_predictions, particle_predictions, elastic_net_predictions, theta_predictions, holt_predictions, robust_scale, arm_permissions, maturity_join, never_matured,
+        config_selection, nested_selection, residual_quantiles, qualification, common_key_parity, kalman_predictions, rls_predictions, ridge_predictions, particle_predictions, elastic_net_predictions, theta_predictions, holt_predictions, robust_scale, arm_permissions, maturity_join, never_matured,
         ledger_unit_metrics, ledger_macro_metrics, failure_ledger_dedup, duplicate_prediction_ids, target_lookup, cluster_mean_se, enum_argmin, paired_t_moments, paired_t_decisions, holm_rejections,
         clopper_pearson, design_simulation_cells, action_space_96, action_space_19, predicate_225, program_count, convex_fusion, emit_shift_inflate, all_or_fallback, median_bundle, fallback_weights, disagreement_route,
     )

@@ -147,6 +147,11 @@ ORACLE = {
       case when mae is null then 'NA_failed' when base is null then 'NA_baseline_failed' when base = 0 then 'NA_zero_baseline' else 'OK' end as comparison_status from um left join b on horizon = bh and unit = bu""",
     "config_selection": f"""{preds('local_linear_2', 'local_linear_3', 'local_linear_4')}, {metrics('p')}, ma as (select horizon as grp, model as config, avg(mae) as score from um group by 1, 2)
       select grp, config, round(score, 9) as score from (select *, row_number() over (partition by grp order by score, config) as rn from ma) where rn = 1""",
+    "nested_selection": f"""{preds(*ALL)}, {metrics('p')},
+      g as (select regexp_extract(model, '^(last_value|global_drift|local_linear|exponential)', 1) as family, model as config, case when model like 'local_linear%' then cast(right(model, 1) as bigint) else length(model) end as ord, horizon, unit, mae from um),
+      s as (select a.unit as outer_test_unit, a.family, a.horizon, a.config, a.ord, case when bool_and(b.mae is not null) then avg(b.mae) end as score from g a join g b on a.family = b.family and a.config = b.config and a.horizon = b.horizon and a.unit <> b.unit group by all),
+      w as (select *, row_number() over (partition by outer_test_unit, family, horizon order by round(score, 9) nulls last, ord) as rn from s)
+      select outer_test_unit, family, horizon, config, case when score is null then 'FAIL' else 'OK' end as status, case when family = 'exponential' then round(score, 3) else round(score, 9) end as inner_macro_mae, rn = 1 and score is not null as selected from w""",
     "residual_quantiles": f"""{preds('last_value')} select model, horizon, cast(level as double) as level, round(quantile_cont(actual - point, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95])[i], 9) as "offset"
       from p cross join (values (1, 0.05), (2, 0.1), (3, 0.25), (4, 0.5), (5, 0.75), (6, 0.9), (7, 0.95)) as l(i, level) group by model, horizon, i, level""",
     "qualification": f"""{preds(*ALL)}, o as (select model, unit, origin, count(distinct horizon) as n, count(*) as m, bool_and(point is not null and isfinite(point)) as ok from p group by 1, 2, 3),
