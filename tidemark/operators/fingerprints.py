@@ -31,22 +31,19 @@ def tokens(frame: pd.DataFrame) -> np.ndarray:
 
 
 def winnowed(digests: list[bytes], window: int = WINDOW) -> list[int]:
-    """Places of the rightmost smallest digest of every window, each once; a short list keeps its smallest."""
+    """Places of the rightmost smallest digest of every window, each once; a short list is one window.
+
+    Digests are ranked as four big-endian words; rank and place together make one number
+    that is smallest at the wanted place, so all windows are settled by one minimum.
+    """
     n = len(digests)
-    if n == 0:
+    if not n:
         return []
-    if n < window:
-        return [min(range(n), key=lambda i: (digests[i], -i))]
-    chosen, keep = [], []
-    for i in range(n):  # increasing candidates: the first is the smallest of the window
-        while keep and digests[keep[-1]] >= digests[i]:
-            keep.pop()
-        keep.append(i)
-        if keep[0] <= i - window:
-            keep.pop(0)
-        if i >= window - 1 and (not chosen or chosen[-1] != keep[0]):
-            chosen.append(keep[0])
-    return chosen
+    parts = np.frombuffer(b"".join(digests), ">u8").reshape(n, -1).astype(np.uint64)
+    rank = np.unique(parts, axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64)
+    key = rank * n + np.arange(n)[::-1]
+    lowest = np.lib.stride_tricks.sliding_window_view(key, min(window, n)).min(axis=1)
+    return np.unique(n - 1 - lowest % n).tolist()
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
