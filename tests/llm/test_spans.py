@@ -98,5 +98,20 @@ def test_share(rows):
     base = list(range(60))
     g = {1: base, 2: base[10:30], 3: base[20:50] + [999], 4: [5]}
     df = rows(recs(g), SCHEMA)
-    got = {r["gid"]: (r["n_rows"], r["n_shared"]) for r in S.shared_share(df, S.shared_runs(df, 8)).collect()}
+    got = {r["gid"]: (r["n_rows"], r["n_shared"]) for r in S.shared_share(df, 8).collect()}
     assert got == {1: (60, 40), 2: (20, 20), 3: (31, 30), 4: (1, 0)}
+
+
+def test_share_equals_runs_over_blocks(rows, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    r = random.Random(4)
+    base = [r.randint(0, 10**6) for _ in range(90)]
+    g = {1: base, 2: base[5:33] + [1, 2] + base[33:60], 3: [r.randint(0, 10**6) for _ in range(50)] + base[40:52], 4: base[80:]}
+    df = rows(recs(g), SCHEMA)
+    want = {k: set() for k in g}
+    for x in S.shared_runs(df, 8).collect():
+        want[x["gid_a"]] |= set(range(x["start_a"], x["start_a"] + x["n_rows"]))
+        want[x["gid_b"]] |= set(range(x["start_b"], x["start_b"] + x["n_rows"]))
+    got = {x["gid"]: x["n_shared"] for x in S.shared_share(df, 8).collect()}
+    assert got == {k: len(v) for k, v in want.items()} and got[1] > 50
+    assert S.shared_share(df.limit(0), 8).count() == 0

@@ -180,14 +180,21 @@ def shared_runs(records: DataFrame, least: int = LEAST, key: str = "gid", place:
     return runs.select("gid_a", F.col("pos_a").alias("start_a"), "gid_b", F.col("pos_b").alias("start_b"), (F.col("end_a") - F.col("pos_a") + least).alias("n_rows"))
 
 
-def shared_share(records: DataFrame, runs: DataFrame, key: str = "gid", place: str = "row_pos") -> DataFrame:
-    """``gid, n_rows, n_shared, share``: how much of each group lies in any of its shared runs."""
-    sizes = records.filter(F.col(key).isNotNull() & F.col(place).isNotNull()).select(F.col(key).alias("gid"), place).distinct().groupBy("gid").agg(F.count("*").alias("n_rows"))
-    side = lambda s: runs.select(F.col(f"gid_{s}").alias("gid"), F.col(f"start_{s}").alias("a"), (F.col(f"start_{s}") + F.col("n_rows")).alias("z"))
-    spans = side("a").unionByName(side("b")).groupBy("gid", "a").agg(F.max("z").alias("z"))
-    upto = F.max("z").over(Window.partitionBy("gid").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), F.col("z") - F.greatest("a", F.coalesce(upto, F.col("a"))))
-    covered = spans.withColumn("fresh", fresh).groupBy("gid").agg(F.sum("fresh").cast("long").alias("n_shared"))
+def shared_share(records: DataFrame, least: int = LEAST, key: str = "gid", place: str = "row_pos", fields: list[str] = FIELDS) -> DataFrame:
+    """``gid, n_rows, n_shared, share``: how much of each group lies in any run of at least ``least`` rows shared with another.
+
+    The shared windows alone say so: each covers ``least`` rows, less where the next one begins
+    earlier. No pairs of groups are made, so the work grows with the rows. Places are cut
+    into blocks; only the first place of each block crosses them.
+    """
+    at = records.filter(F.col(key).isNotNull() & F.col(place).isNotNull()).select(F.col(key).cast("long").alias("gid"), F.col(place).alias("pos")).distinct()
+    sizes = at.groupBy("gid").agg(F.count("*").alias("n_rows"))
+    places = cut(repeated_windows(tokens(records, key, place, fields), least).select("gid", "pos").distinct().withColumn("block", F.floor(F.col("pos") / BLOCK)))
+    begins = places.groupBy("gid", "block").agg(F.min("pos").alias("first"))
+    begins = begins.select("gid", "block", F.lead("first").over(Window.partitionBy("gid").orderBy("block")).alias("beyond"))
+    inside = F.lead("pos").over(Window.partitionBy("gid", "block").orderBy("pos"))
+    follow = places.withColumn("inside", inside).join(begins, ["gid", "block"]).withColumn("gap", F.coalesce("inside", "beyond") - F.col("pos"))
+    covered = follow.groupBy("gid").agg(F.sum(F.least(F.coalesce("gap", F.lit(least)), F.lit(least))).cast("long").alias("n_shared"))
     out = sizes.join(covered, "gid", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)).cast("long"))
     return out.withColumn("share", F.round(F.col("n_shared") / F.col("n_rows"), 6))
 
@@ -197,5 +204,4 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_shares(spark, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "instrument_records")
-    return shared_share(records, cut(shared_runs(records)))
+    return shared_share(table(spark, sf_dir, "instrument_records"))
